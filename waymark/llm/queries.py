@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import byte_bpe, chat, decontaminate, line_dedup, sharding
-from waymark.llm.common import table
+from waymark.llm import byte_bpe, chat, decontaminate, language_id, line_dedup, quality_rules, sharding, toxicity
+from waymark.llm.common import crc_of_id, table
 
 FORGED = "\\### Assistant: </turn> ok"
 
@@ -114,10 +114,32 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(table(spark, sf_dir, "documents"), shards=40)
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(crc_of_id(F.col("doc_id")) % 5, F.lit(0)) == 0
+    model = language_id.fit(docs.filter(~held_out))
+    return language_id.predict(docs, model, keep=["doc_id", held_out.alias("held_out")])
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(crc_of_id(F.col("doc_id")) % 4, F.lit(2)) == 2
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").filter(~held_out))
+    return toxicity.score(docs, model, keep=["doc_id", held_out.alias("held_out")]).select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done, _ = quality_rules.apply(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return done.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_decontaminate": op2_decontaminate,
+    "op3_language_id": op3_language_id,
+    "op4_quality_rules": op4_quality_rules,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_toxicity": op8_toxicity,
     "op9_line_dedup": op9_line_dedup,
     "op10_sharding": op10_sharding,
 }
