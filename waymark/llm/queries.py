@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import byte_bpe, chat, decontaminate, language_id, line_dedup, near_dedup, quality_rules, sharding, toxicity
+from waymark.llm import byte_bpe, chat, decontaminate, language_id, line_dedup, near_dedup, quality_rules, sharding, suffix_dedup, toxicity
 from waymark.llm.common import crc_of_id, table
 
 FORGED = "\\### Assistant: </turn> ok"
@@ -137,11 +137,16 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_decontaminate": op2_decontaminate,
     "op3_language_id": op3_language_id,
     "op4_quality_rules": op4_quality_rules,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_near_dedup": op6_near_dedup,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_toxicity": op8_toxicity,
