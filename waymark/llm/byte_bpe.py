@@ -15,7 +15,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import os
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,7 @@ from pyspark.sql import types as T
 from waymark.llm.common import column_names, ship
 
 #: Matches kept in a worker's memo, and the longest match that is kept.
-MEMO_SIZE, MEMO_CHARS = 300_000, 48
+MEMO_SIZE, MEMO_CHARS = 100_000, 48
 
 
 def byte_table() -> list[str]:
@@ -44,6 +46,7 @@ class Codec:
     """Encoder and decoder for one rank file."""
 
     def __init__(self, path: str, pattern: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core a task; its threads would also hold memory of their own
         import regex
         from tokenizers import Tokenizer, models, pre_tokenizers
 
@@ -66,8 +69,8 @@ class Codec:
             known = self.memo = {}
             fresh = list({w for words in cut for w in words})
         spare = {}
-        for lo in range(0, len(fresh), 20_000):
-            part = fresh[lo : lo + 20_000]
+        for lo in range(0, len(fresh), 5_000):
+            part = fresh[lo : lo + 5_000]
             for word, got in zip(part, self.model.encode_batch_fast(part, add_special_tokens=False)):
                 (known if len(word) <= MEMO_CHARS and len(known) < MEMO_SIZE else spare)[word] = np.array(got.ids, "<u4").tobytes()
         both = {**known, **spare} if spare and len(spare) > 1000 else None
@@ -91,6 +94,12 @@ class Codec:
         return np.stack([begun[np.minimum(starts + 1, len(data))] - 1 if len(data) else starts, begun[ends]], axis=1).astype(np.int32)
 
 
+@lru_cache(maxsize=1)
+def codec_of(path: str, pattern: str) -> Codec:
+    """The worker's codec, built once for all its tasks."""
+    return Codec(path, pattern)
+
+
 def decode_pieces(pieces: list[bytes]) -> list[str]:
     """Text of consecutive token bytes, one string a token; a split character appears with the token that completes it."""
     import codecs
@@ -114,9 +123,8 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", wit
     n_keep = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = None
+        codec = codec_of(path, pattern)
         for whole in batches:
-            codec = codec or Codec(path, pattern)
             for lo in range(0, whole.num_rows, 512):
                 batch = whole.slice(lo, 512)
                 texts = [t or "" for t in batch.column(n_keep).to_pylist()]
