@@ -1,0 +1 @@
+"""Registered queries with the SQL that each must equal."""
