@@ -34,16 +34,16 @@ def is_generic(label: Column) -> Column:
     return F.lower(F.trim(label)).isin(*GENERIC_LABELS)
 
 
+# Evidence sources by reference prefix; any other reference is a photograph.
+PREFIXES = {"caption:": "stay_caption", "photo:": "single_caption", "screen:": "screen", "place:": "journey", "stay:": "stay_caption", "single:": "single_caption", "profile:": "kept_reading"}
+
+
 def source_of(reference: Column) -> Column:
     """The evidence source that a reference names by its prefix."""
-    return (
-        F.when(reference.startswith("place:"), "journey")
-        .when(reference.startswith("caption:") | reference.startswith("stay:"), "stay_caption")
-        .when(reference.startswith("single:"), "single_caption")
-        .when(reference.startswith("screen:"), "screen_reading")
-        .when(reference.startswith("topic:") | reference.startswith("profile:"), "kept_reading")
-        .otherwise("photograph")
-    )
+    out = F.lit("photograph")
+    for prefix, source in PREFIXES.items():
+        out = F.when(reference.startswith(prefix), source).otherwise(out)
+    return out
 
 
 def blurred(reference: Column, decimals: int = 2) -> Column:

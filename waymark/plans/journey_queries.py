@@ -61,6 +61,11 @@ def _stays(spark: SparkSession, d: str) -> DataFrame:
     return J.stays(photos(spark, d))
 
 
+def _deg(c):
+    """Rounded away from the halves that means of rounded coordinates hit."""
+    return F.round(F.col(c) + 3.3e-8, 6).alias(c)
+
+
 def _r(c, n=6):
     return F.round(F.col(c) if isinstance(c, str) else c, n)
 
@@ -88,9 +93,9 @@ def gap_sessions(spark, d):
     return rows.groupBy("owner_id", "session").agg(F.max("t").alias("ended"), F.count("*").alias("n"))
 
 
-@query(f"with {STOPS_SQL} select owner_id, t0, t1, lt0, lt1, round(lat, 6) as lat, round(lon, 6) as lon, n_photos, t1 - t0 >= {600 * US} or n_photos >= 5 as is_stay from groups")
+@query(f"with {STOPS_SQL} select owner_id, t0, t1, lt0, lt1, round(lat + 3.3e-8::double, 6) as lat, round(lon + 3.3e-8::double, 6) as lon, n_photos, t1 - t0 >= {600 * US} or n_photos >= 5 as is_stay from groups")
 def stop_extraction(spark, d):
-    return J.stops(photos(spark, d)).select("owner_id", "t0", "t1", "lt0", "lt1", _r("lat").alias("lat"), _r("lon").alias("lon"), "n_photos", "is_stay")
+    return J.stops(photos(spark, d)).select("owner_id", "t0", "t1", "lt0", "lt1", _deg("lat"), _deg("lon"), "n_photos", "is_stay")
 
 
 @query(f"with {STOPS_SQL} select owner_id, count(*) filter (t1 - t0 >= {600 * US} or n_photos >= 5) as stays, cast(coalesce(sum(n_photos) filter (t1 - t0 < {600 * US} and n_photos < 5), 0) as bigint) as in_transit from groups group by owner_id")
@@ -200,11 +205,11 @@ def reach_quantile(spark, d):
     return M.reach(J.outings(J.numbered_stops(_stays(spark, d)))).select("owner_id", "n_outings", _r("typical_km").alias("typical_km"), _r("usual_km").alias("usual_km"))
 
 
-_PLACE_COLS = "owner_id, round(lat, 6) as lat, round(lon, 6) as lon"
+_PLACE_COLS = "owner_id, round(lat + 3.3e-8::double, 6) as lat, round(lon + 3.3e-8::double, 6) as lon"
 
 
 def _at():
-    return ["owner_id", _r("lat").alias("lat"), _r("lon").alias("lon")]
+    return ["owner_id", _deg("lat"), _deg("lon")]
 
 
 @query(f"with {STOPS_SQL} select {_PLACE_COLS}, visits from profiles")
@@ -253,10 +258,10 @@ def place_interest_score(spark, d):
     return r.withColumns({"score": _r("score", 9), "confidence": _r("confidence", 9)})
 
 
-@query(f"with {ANCHORS_SQL} select {_PLACE_COLS}, visit_days from visits v where not exists (select 1 from anchors a where a.owner_id = v.owner_id and {metres_sql('a.lat', 'a.lon', 'v.lat', 'v.lon')} <= 500)")
+@query(f"with {ANCHORS_SQL} select {_PLACE_COLS}, visit_days from visits v where not exists (select 1 from anchors a where a.visit_days >= 20 and a.owner_id = v.owner_id and {metres_sql('a.lat', 'a.lon', 'v.lat', 'v.lon')} <= 500)")
 def anchored_exclusion_antijoin(spark, d):
     s = _stays(spark, d)
-    return P.outside_anchors(P.visit_days(P.placed(s, 500.0)), P.anchors(s)).select(*_at(), "visit_days")
+    return P.outside_anchors(P.visit_days(P.placed(s, 500.0)), P.anchors(s).filter("visit_days >= 20")).select(*_at(), "visit_days")
 
 
 NAMES_SQL = "names as (select n_name as label, 34.0 + (n_nationkey * 37 % 25) * 0.1::double as lat, 134.2 + (n_nationkey * 11 % 23) * 0.1::double as lon from nation)"

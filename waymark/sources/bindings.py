@@ -67,7 +67,7 @@ def subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
 SUBJECTS_SQL = """
 subjects as (
   select doc_id as key, ['src_' || (doc_id % 13), ' ' || lang, case when doc_id % 5 = 0 then 'image' else 'tag' || (doc_id % 7) end] as labels,
-         1704067200 + (doc_id * 7919) % 8000000 as at from documents
+         1704067200 + (doc_id * 7919) % 8000000 as seen_at from documents
 )"""
 
 # Themes of the fixture, in order; a later theme wins a shared member.
@@ -99,7 +99,7 @@ cuts(seq, day) as (values (0, 8), (1, 15), (2, 22), (3, 30)),
 history as (
   select seq, date '2024-01-01' + day::int as generated_at, 'src ' || (k % 12) as topic, count(*) / (count(*) + 2.0::double) as score,
          0.2::double + ((any_value(k) % 12) * 5 + seq * 3) % 7 / 10.0::double as confidence, list_slice(list_sort(list(distinct photo_id)), 1, 9) as refs
-  from (select *, (t - 1704067200 * 1000000) // {DAY_US} as d from photos), cuts
+  from (select *, (t - 1704067200000000) // {DAY_US} as d from photos), cuts
   where d < day and d >= day - 8 and (k % 12 + seq * seq * 2) % 5 < 3 group by seq, day, k % 12
 )"""
 )
