@@ -10,7 +10,7 @@ Each round is written to the shared folder. A node with very many replies is a h
 which AQE splits. One formatted conversation is one value by definition; nothing else is gathered per key.
 
 Cases: null text and null role count as empty; a parent that is missing makes its reply a root; a cycle has no root, so its
-nodes give no path; equal scores fall back to depth, then node id; an empty table gives no conversations; extra columns are
+nodes (and replies below them) give no path; equal scores fall back to depth, then node id; an empty table gives no conversations; extra columns are
 ignored.
 """
 
@@ -32,30 +32,34 @@ def unescape(text: Column) -> Column:
     return F.replace(F.replace(F.replace(text, F.lit("\\g"), F.lit(">")), F.lit("\\l"), F.lit("<")), F.lit("\\b"), F.lit("\\"))
 
 
-def _levels(nodes: DataFrame) -> list[DataFrame]:
-    """Pointer tables (tree, node, ptr, total, steps): level k points 2**k ancestors up; the last has no pointers left."""
+def _levels(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Hops (tree, node, ptr), level k reaching 2**k ancestors up, and (tree, node, total, steps) of all that reach a root.
+
+    A node leaves the rounds as soon as its pointer has passed the root, so a round joins only what is still on its way.
+    """
     parent = nodes.select(F.col("tree").alias("pt"), F.col("node").alias("pn"))
-    at = nodes.join(parent, (F.col("tree") == F.col("pt")) & (F.col("parent") == F.col("pn")), "left").select("tree", "node", F.col("pn").alias("ptr"), F.col("score").alias("total"), F.lit(1).cast("long").alias("steps"))
-    levels, most = [stage(at, "chat-level")], nodes.count()
-    while levels[-1].filter("ptr is not null").limit(1).count() and 2 ** (len(levels) - 1) <= most:
-        now = levels[-1]
-        up = now.select(F.col("tree").alias("ut"), F.col("node").alias("un"), F.col("ptr").alias("up"), F.col("total").alias("more"), F.col("steps").alias("far"))
-        joined = now.join(up, (F.col("tree") == F.col("ut")) & (F.col("ptr") == F.col("un")), "left")
-        levels.append(stage(joined.select("tree", "node", F.col("up").alias("ptr"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"), (F.col("steps") + F.coalesce("far", F.lit(0))).alias("steps")), "chat-level"))
-    return levels
+    at = nodes.join(parent, (F.col("tree") == F.col("pt")) & (F.col("parent") == F.col("pn")), "left")
+    at = stage(at.select("tree", "node", F.col("pn").alias("ptr"), F.col("score").alias("total"), F.lit(1).cast("long").alias("steps")), "chat-level")
+    done, hops, most = at.filter("ptr is null"), [], at.count()
+    now = at.filter("ptr is not null")
+    while now.limit(1).count() and 2 ** len(hops) <= most:
+        hops.append(now.select("tree", "node", "ptr"))
+        up = done.unionByName(now).select(F.col("tree").alias("ut"), F.col("node").alias("un"), F.col("ptr").alias("up"), F.col("total").alias("more"), F.col("steps").alias("far"))
+        joined = now.join(up, (F.col("tree") == F.col("ut")) & (F.col("ptr") == F.col("un")))
+        at = stage(joined.select("tree", "node", F.col("up").alias("ptr"), (F.col("total") + F.col("more")).alias("total"), (F.col("steps") + F.col("far")).alias("steps")), "chat-level")
+        done, now = done.unionByName(at.filter("ptr is null")), at.filter("ptr is not null")
+    return hops, done.select("tree", "node", "total", "steps")
 
 
 def paths(messages: DataFrame, top: int = 1) -> DataFrame:
     """Rows (tree, leaf, branch, depth, node) of the ``top`` best root-to-leaf paths of each tree. Messages: tree, node, parent, score."""
     nodes = messages.select("tree", "node", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
-    levels = _levels(nodes)
-    full = levels[-1].filter("ptr is null")  # what still has a pointer runs in a cycle
-    leaves = full.join(levels[0].filter("ptr is not null").select("tree", F.col("ptr").alias("node")).distinct(), ["tree", "node"], "left_anti")
+    hops, full = _levels(nodes)
+    leaves = full if not hops else full.join(hops[0].select("tree", F.col("ptr").alias("node")).distinct(), ["tree", "node"], "left_anti")
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("total"), F.desc("steps"), "node"))
     chosen = leaves.withColumn("branch", rank).filter(F.col("branch") <= top).select("tree", F.col("node").alias("leaf"), "branch", "node")
     found = stage(chosen, "chat-path")
-    for level in levels[-2::-1]:
-        hop = level.filter("ptr is not null").select("tree", "node", "ptr")
+    for hop in reversed(hops):
         found = stage(found.unionByName(found.join(hop, ["tree", "node"]).select("tree", "leaf", "branch", F.col("ptr").alias("node"))), "chat-path")
     return found.join(full.select("tree", "node", F.col("steps").alias("depth")), ["tree", "node"]).select("tree", "leaf", "branch", "depth", "node")
 
