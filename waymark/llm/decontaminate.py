@@ -13,7 +13,6 @@ count on their own row; an empty benchmark hits nothing; extra columns are ignor
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from waymark.llm.common import lower_az, ship
+from waymark.llm.common import column_names, lower_az, ship
 
 #: Benchmarks of more words than this are joined, not broadcast (about 200 MB of window tables in each Python worker).
 MAX_WORDS = 1_000_000
@@ -88,7 +87,10 @@ def _spans(mask: np.ndarray | None) -> list[list[int]]:
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, keep: list[str] | None = None, max_words: int = MAX_WORDS, text_col: str = "text") -> DataFrame:
-    """``keep`` columns plus n_words, n_hit, items (sorted as strings) and spans ([start, end) word positions of hits)."""
+    """``keep`` columns plus n_words, n_hit, items (sorted as strings) and spans ([start, end) word positions of hits).
+
+    A result column whose name is taken gets an underscore.
+    """
     keep = ["doc_id"] if keep is None else keep
     counted = benchmark.select(F.regexp_count(lower_az("text"), F.lit(WORD)).alias("n"))
     if (counted.agg(F.sum("n")).first()[0] or 0) > max_words:
@@ -97,7 +99,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, keep: list[str] | N
     rows = benchmark.select(F.col("item_id").cast("string"), "text").collect()
     items = docs.sparkSession.sparkContext.broadcast([(str(r[0]), r[1]) for r in rows if r[1]])
     base = docs.select(*keep)
-    extra = [("n_words", T.LongType()), ("n_hit", T.LongType()), ("items", T.ArrayType(T.StringType())), ("spans", T.ArrayType(T.ArrayType(T.IntegerType())))]
+    extra = list(zip(_names(base), (T.LongType(), T.LongType(), T.ArrayType(T.StringType()), T.ArrayType(T.ArrayType(T.IntegerType())))))
     schema = T.StructType([*base.schema.fields, *(T.StructField(a, b) for a, b in extra)])
     k = len(keep)
 
@@ -119,6 +121,10 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, keep: list[str] | N
     return docs.select(*keep, F.col(text_col).alias("text_in")).mapInArrow(run, schema)
 
 
+def _names(df: DataFrame) -> list[str]:
+    return column_names(df, "n_words", "n_hit", "items", "spans")
+
+
 def _joined(docs: DataFrame, benchmark: DataFrame, n: int, keep: list[str], text_col: str) -> DataFrame:
     """The same result by an equi-join of windows, for a benchmark too large to broadcast. Rows alike in all kept columns and text share one scan."""
     words = lambda c: F.regexp_extract_all(lower_az(F.coalesce(c, F.lit(""))), F.lit(WORD), F.lit(0))
@@ -127,9 +133,10 @@ def _joined(docs: DataFrame, benchmark: DataFrame, n: int, keep: list[str], text
     item = item.select("item", F.least(F.size("w"), F.lit(n)).alias("len"), F.explode(cut(F.least(F.size("w"), F.lit(n)))).alias("win"))
     item = item.groupBy("len", "win").agg(F.sort_array(F.collect_set("item")).alias("its"))
     lens = [r[0] for r in item.select("len").distinct().collect()]  # n numbers at most
-    key = F.sha2(F.to_json(F.struct(*keep, F.col(text_col).alias("text_in"))), 256)
-    rows = docs.select(*keep, F.col(text_col).alias("text_in"), key.alias("k"))
-    once = rows.groupBy("k").agg(F.first("text_in").alias("t")).select("k", words(F.col("t")).alias("w"))
+    kept, names = [F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], _names(docs.select(*keep))
+    key = F.sha2(F.to_json(F.struct(*kept, F.col(text_col).alias("t"))), 256)
+    rows = docs.select(*kept, F.col(text_col).alias("t"), key.alias("k"))
+    once = rows.groupBy("k").agg(F.first("t").alias("t")).select("k", words(F.col("t")).alias("w"))
     hits = None
     for size in lens:
         at = once.filter(F.size("w") >= size).select("k", F.lit(size).alias("len"), F.posexplode(cut(F.lit(size))).alias("pos", "win"))
@@ -142,22 +149,15 @@ def _joined(docs: DataFrame, benchmark: DataFrame, n: int, keep: list[str], text
     hits = hits.withColumn("run", F.sum(F.when(F.col("pos") <= far, 0).otherwise(1)).over(w))
     runs = hits.groupBy("k", "run").agg(F.min("pos").alias("a"), F.max("end").alias("b"), F.array_distinct(F.flatten(F.collect_set("its"))).alias("its"))
     per = runs.groupBy("k").agg(F.sum(F.col("b") - F.col("a")).alias("n_hit"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("its")))).alias("items"), F.transform(F.sort_array(F.collect_list(F.struct("a", "b"))), lambda s: F.array(s["a"], s["b"])).alias("spans"))
-    none = F.array().cast("array<string>")
-    return (
-        rows.withColumn("n_words", F.size(words(F.col("text_in"))).cast("long"))
-        .join(per, "k", "left")
-        .select(*keep, "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", none).alias("items"), F.coalesce("spans", F.array().cast("array<array<int>>")).alias("spans"))
-    )
-
-
-def digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()
+    done = rows.withColumn("n_words", F.size(words(F.col("t"))).cast("long")).join(per, "k", "left")
+    values = (F.col("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long"), F.coalesce("items", F.array().cast("array<string>")), F.coalesce("spans", F.array().cast("array<array<int>>")))
+    return done.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), *(v.alias(n) for v, n in zip(values, names)))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_words: int = MAX_WORDS) -> DataFrame:
     """Documents without a hit word, with the columns they came with."""
     found = scan(docs, benchmark, n, docs.columns, max_words)
-    return found.filter("n_hit = 0").select(*docs.columns)
+    return found.filter(F.col(found.columns[-3]) == 0).select(*docs.columns)
 
 
 def cut_spans(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_words: int = MAX_WORDS) -> DataFrame:
@@ -180,7 +180,7 @@ def cut_spans(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_words: int
             out.append(t)
         return pd.Series(out)
 
-    found = found.withColumn("text", F.when(F.col("n_hit") > 0, cut("text", "spans")).otherwise(F.col("text")))
+    found = found.withColumn("text", F.when(F.col(found.columns[-3]) > 0, cut("text", found.columns[-1])).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         found = found.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
     return found.select(*docs.columns)

@@ -95,7 +95,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mode
         def rows():
             for lang, c in held.items():
                 at = np.flatnonzero(c)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at.astype(np.int32)), pa.array(c[at])], names=["lang", "bucket", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(c[at])], names=["lang", "bucket", "n"])
 
         for batch in batches:
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
