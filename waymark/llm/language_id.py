@@ -6,7 +6,7 @@ weighted logistic loss against the predicted margins. A bit weighs for a languag
 
 Trigram counts come from all training rows, added up within a partition first, so what is shuffled is one row per
 (partition, language, bucket). The model holds languages x 16,384 numbers. Predictions read each text where it lies; no
-shuffle. Up to five languages get the exhaustive code, more get a seeded random code.
+shuffle. Up to six languages get the exhaustive code, more get a seeded random code.
 
 Cases: null texts and texts without a letter give ``und`` with score 0 and count as ambiguous; without training rows every
 text does; one language alone is always predicted; ties go to the first language by name; repeated rows count repeatedly in
@@ -46,14 +46,15 @@ def grams(text: str) -> np.ndarray:
 
 def codewords(k: int) -> np.ndarray:
     """(k, bits) of +1 and -1, all rows and columns different, no column constant."""
-    if k <= 5:
+    if k <= 6:
         rest = [c for c in product((1, -1), repeat=k - 1) if -1 in c]
         return np.array([(1, *c) for c in rest], np.float32).T.reshape(k, -1)
-    rng, size = np.random.default_rng(11), int(np.ceil(10 * np.log2(k)))
-    while True:
-        code = rng.choice(np.array([-1, 1], np.float32), (k, size))
-        if (np.abs(code.sum(0)) < k).all() and len(np.unique(code, axis=0)) == k and len(np.unique(code * code[:1], axis=1).T) == size:
-            return code
+    rng, columns = np.random.default_rng(11), {}
+    while len(columns) < np.ceil(10 * np.log2(k)) or len(np.unique(np.array(list(columns)), axis=1).T) < k:
+        column = (1, *rng.choice((-1, 1), k - 1).tolist())
+        if -1 in column:
+            columns[column] = True
+    return np.array(list(columns), np.float32).T
 
 
 class Model:

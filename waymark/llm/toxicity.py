@@ -101,10 +101,12 @@ class Model:
         return np.fromiter(map(self.memo.__getitem__, words), np.float64, len(words))
 
     def fit_lambda(self, s: np.ndarray, n: np.ndarray) -> None:
-        """From the scores of background words and their counts."""
-        p = n / max(1, n.sum())
+        """From the scores of background words and their counts; the highest score counts as half seen, else it would prove too much."""
+        top = float(self.odds[self.z >= SIGNIFICANT].max(initial=0.0))
+        s, n = np.append(s, top), np.append(n, 0.5)
+        p = n / n.sum()
         f = lambda x: float((p * np.exp(np.minimum(x * s, 500))).sum()) - 1
-        if not len(s) or (s * p).sum() >= 0 or s.max() <= 0:
+        if (s * p).sum() >= 0 or s.max() <= 0:
             return
         lo, hi = 1e-6, 1.0
         while f(hi) < 0 and hi < 1e3:
