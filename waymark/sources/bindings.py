@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Centres (cell, latitude, longitude); cell 5 lies more than 50 km away from the rest.
-CELLS = ((0, 35.00, 135.00), (1, 35.10, 135.00), (2, 35.00, 135.15), (3, 35.30, 135.05), (4, 34.65, 135.20), (5, 36.20, 136.00))
+CELLS = ((0, 35.0000000371, 135.0000000371), (1, 35.1000000371, 135.0000000371), (2, 35.0000000371, 135.1500000371), (3, 35.3000000371, 135.0500000371), (4, 34.6500000371, 135.2000000371), (5, 36.2000000371, 136.0000000371))
 #: Hours of offset by owner: wall clock against instant.
 OFFSETS = (0, 9, -5, 1)
 DAY_US, HOUR_US = 86_400_000_000, 3_600_000_000
