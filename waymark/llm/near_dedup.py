@@ -5,11 +5,12 @@ holds the ``K`` smallest values of that one hash. Texts with equal sets form a c
 
 Candidates: two sets alike enough share ``SHARED`` of their sketch values (five deviations below the mean at 0.85), so they
 share one of the rarest ``K - SHARED + 1`` of either; only these values get inverted lists, which keeps values that very many
-documents hold out of the lists unless whole families share little else. Within a list, members are first compared with the
-list's leader only; members that a link or a chain of links has joined need no further comparison among themselves. While
-lists still hold much that is unjoined, another leader follows; then every unjoined member meets all others of its list, so
-no link between different components is lost. Sizes and the estimate from the union of two sketches filter the pairs, and
-the exact Jaccard index of the full sets decides.
+documents hold out of the lists unless whole families share little else. Lists of up to ``SHORT`` members give their pairs; sizes and the estimate from the
+union of two sketches filter them, and the exact Jaccard index of the full sets decides. A longer list is mostly one family of
+copies. Its members meet in a task with their full sets, which finds overlaps through inverted lists of shingles and gives out
+links that join what is still apart, never all pairs. Members that share too little with the rest of the long lists for any
+link are left out first, by an exact bound, and lists that the short ones have already joined are left out as well. A list of
+more than ``BLOCK`` members is dealt out as pairs of blocks, so no task gathers more than two blocks and no link is lost.
 
 Equal texts never form pairs, links and components stay distributed, and every intermediate is a table in the shared folder.
 64-bit hashes stand for shingles and sets.
@@ -37,8 +38,10 @@ K, SHARED = 64, 40
 WORDS = 5
 #: Least Jaccard index, in percent.
 PERCENT = 85
-#: Pairs within lists, per list row, that are still worth another leader; leaders at most before all are compared.
-MANY, LEADERS = 30, 6
+#: Lists of at most this many members give all their pairs at once.
+SHORT = 24
+#: Members of a long list that one task compares, at most (twice as many for a pair of blocks).
+BLOCK = 10_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _P, _M = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _memo: dict[bytes, int] = {}
@@ -109,7 +112,16 @@ def _lists(classes: DataFrame, percent: int) -> DataFrame:
     keep = F.greatest(F.lit(0), F.size("held") - (need - 1)).cast("int")  # values of one class only come first and take their places
     chosen = held.select("c", "n", F.explode(F.slice("held", 1, keep)).alias("x")).select(F.col("x.v").alias("v"), "c", "n")
     chosen = stage(chosen, "near-chosen")
-    return chosen.join(chosen.groupBy("v").agg(F.count("*").alias("f")).filter("f > 1").select("v"), "v")
+    return chosen.join(chosen.groupBy("v").agg(F.count("*").alias("k")).filter("k > 1"), "v")
+
+
+def _single_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Columns c, full to a row for each shingle."""
+    for whole in batches:
+        for lo in range(0, whole.num_rows, 256):
+            batch = whole.slice(lo, 256)
+            sets = [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), [len(x) for x in sets])), pa.array(np.concatenate(sets))], names=["c", "s"])
 
 
 class _Verifier:
@@ -131,17 +143,93 @@ class _Verifier:
         return stage(both.mapInArrow(lambda it: _exact(it, percent), "a long, b long"), "near-links")
 
 
-def _rooted(lists: DataFrame, roots: DataFrame) -> DataFrame:
+def _own(lists: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Long lists with ``u``, a class's shingles that no other class of them has; classes that this leaves no partner go."""
+    classes = full.join(lists.select("c").distinct(), "c", "left_semi")
+    single = classes.mapInArrow(_single_shingles, "c long, s long").groupBy("s").agg(F.count("*").alias("k"), F.max("c").alias("c")).filter("k = 1")
+    rows = lists.join(single.groupBy("c").agg(F.count("*").alias("u")), "c", "left").withColumn("u", F.coalesce("u", F.lit(0)))
+    return rows.filter((F.col("n") - F.col("u")) * 100 >= F.col("n") * percent)
+
+
+def _open(lists: DataFrame, roots: DataFrame) -> DataFrame:
     """Lists with components; lists within one component are done and go."""
     rows = lists.join(roots.select(F.col("node").alias("c"), "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
-    main = rows.groupBy("v", "root").agg(F.count("*").alias("k")).groupBy("v").agg(F.sum("k").alias("size"), F.max(F.struct("k", "root")).alias("top")).filter("size > top.k")
-    return stage(rows.join(main.select("v", F.col("top.root").alias("main"), "size"), "v"), "near-open")
+    apart = rows.groupBy("v").agg(F.min("root").alias("p"), F.max("root").alias("q"), F.count("*").alias("size")).filter("p <> q").select("v", "size")
+    return rows.join(apart, "v")
+
+
+def _pairs(short: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of one list, once each, whose sizes allow a link."""
+    one, two = (short.select("v", F.col("c").alias(c), F.col("n").alias(f"n_{c}")) for c in ("a", "b"))
+    fit = (F.col("a") < F.col("b")) & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
+    return one.join(two, "v").filter(fit).select("a", "b").distinct()
+
+
+def _family_links(sets: list[np.ndarray], roots: list[int], first: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links that join components; with both kinds present only pairs of a first and a second member count."""
+    parent: dict[int, int] = {}
+    for r in roots:
+        parent[r] = r
+
+    def find(r: int) -> int:
+        while parent[r] != r:
+            parent[r] = parent[parent[r]]
+            r = parent[r]
+        return r
+
+    sizes = np.array([len(x) for x in sets])
+    flat = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    values, starts, counts = np.unique(flat, return_index=True, return_counts=True)
+    where = dict(zip(values.tolist(), zip(starts.tolist(), (starts + counts).tolist())))
+    out = []
+    for i, x in enumerate(sets):
+        hits = np.concatenate([owner[a:b] for a, b in map(where.__getitem__, x.tolist())])
+        shared = np.bincount(hits, minlength=len(sets))[:i]
+        for j in np.flatnonzero(100 * shared >= percent * (sizes[i] + sizes[:i] - shared)).tolist():
+            p, q = find(roots[i]), find(roots[j])
+            if p != q and (first.all() or not first.any() or first[i] != first[j]):
+                parent[max(p, q)] = min(p, q)
+                out.append((i, j))
+    return out
+
+
+def _compare_families(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows (v, i, j, mine, c, root, full), ordered by (v, i, j), to links (a, b); a group may run over several batches."""
+    held: list[tuple] = []
+    last, out = None, []
+
+    def close():
+        if len(held) > 1:
+            sets = [np.frombuffer(h[3], np.int64) for h in held]
+            out.extend((held[i][1], held[j][1]) for i, j in _family_links(sets, [h[2] for h in held], np.array([h[0] for h in held]), percent))
+        held.clear()
+
+    def made():
+        got = pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
+        out.clear()
+        return got
+
+    for batch in batches:
+        for v, i, j, *rest in zip(*(batch.column(k).to_pylist() for k in range(7))):
+            if (v, i, j) != last:
+                close()
+                last = (v, i, j)
+            held.append(tuple(rest))
+        yield made()
+    close()
+    yield made()
 
 
-def _alike(pairs: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b), once each, whose sizes allow a link."""
-    fit = pairs.filter(F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * percent)
-    return fit.select(F.least("c1", "c2").alias("a"), F.greatest("c1", "c2").alias("b")).distinct()
+def _long_links(rows: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Links within long lists (v, c, root, size), by list and pair of blocks."""
+    blocks = F.ceil(F.col("size") / BLOCK)
+    rows = rows.withColumn("m", F.pmod(F.xxhash64("c"), blocks)).select("v", "c", "root", "m", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("o"))
+    rows = rows.select("v", F.least("m", "o").alias("i"), F.greatest("m", "o").alias("j"), (F.col("m") <= F.col("o")).alias("mine"), "c", "root").join(full, "c")
+    rows = rows.select("v", "i", "j", "mine", "c", "root", "full").repartition("v", "i", "j").sortWithinPartitions("v", "i", "j")
+    return stage(rows.mapInArrow(lambda it: _compare_families(it, percent), "a long, b long"), "near-long-links")
 
 
 def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -151,27 +239,14 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     sets = stage(docs.mapInArrow(_sketches, "doc_id long, n long, c long, sketch array<long>"), "near-sketch")
     classes = stage(sets.filter("n > 0").groupBy("c").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.first("sketch").alias("sketch")), "near-classes")
     lists = stage(_lists(classes, percent), "near-lists")
-    verify, links, roots = _Verifier(docs, classes, lists, percent), None, None
-    rows = lists.withColumn("root", F.col("c")).withColumn("main", F.lit(None).cast("long"))
-    for turn in range(LEADERS + 1):
-        if turn:
-            rows = _rooted(lists, roots)
-            minor = rows.filter("root <> main")
-            todo = minor.groupBy("v").agg((F.count("*") * F.first("size")).alias("w")).agg(F.coalesce(F.sum("w"), F.lit(0)), F.count("*")).first()
-            if not todo[1]:
-                break
-            last = turn == LEADERS or todo[0] <= MANY * rows.count()
-        if turn and last:
-            left = minor.select("v", F.col("c").alias("c1"), F.col("n").alias("n1"), F.col("root").alias("r1"))
-            pairs = left.join(rows.select("v", F.col("c").alias("c2"), F.col("n").alias("n2"), F.col("root").alias("r2")), "v").filter("r1 <> r2")
-        else:
-            first = (minor if turn else rows).groupBy("v").agg(F.min(F.struct("c", "n", "root")).alias("x")).select("v", F.col("x.c").alias("c1"), F.col("x.n").alias("n1"), F.col("x.root").alias("r1"))
-            pairs = rows.select("v", F.col("c").alias("c2"), F.col("n").alias("n2"), F.col("root").alias("r2")).join(first, "v").filter("r1 <> r2")
-        found = verify.links(_alike(pairs, percent))
-        links = found if links is None else links.unionByName(found)
+    verify = _Verifier(docs, classes, lists, percent)
+    links = verify.links(_pairs(lists.filter(F.col("k") <= SHORT), percent))
+    roots = components(links)
+    long = _own(_open(lists.filter(F.col("k") > SHORT), roots), verify.full, percent)
+    found = _long_links(long, verify.full, percent)
+    if found.limit(1).count():
+        links = links.unionByName(found)
         roots = components(links)
-        if turn and last:
-            break
     named = classes.select("c", "rep").join(roots.select(F.col("node").alias("c"), "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     lowest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     done = sets.select("doc_id", F.col("n").alias("n_shingles"), "c").join(named.join(lowest, "root").select("c", "component_id"), "c", "left")
