@@ -3,17 +3,18 @@
 Removes each byte that is covered by a ``LENGTH``-byte string which also starts anywhere else; matches do not cross texts.
 
 1. Texts are scanned for anchors: the leftmost smallest ``GRAM``-byte window hash among those inside each ``LENGTH``-byte string.
-   Equal strings have equal anchors at equal offsets, so every repeat shows at a pair of anchors with equal grams.
-2. Grams that occur once are dropped by a count; the rest get their contexts (the bytes around the anchor that a repeat can
-   reach). Copies of a whole text are dealt with by its digest and enter once.
-3. The occurrences of a gram are sorted by what follows and by what precedes them: multikey quicksort on eight-byte words to a
-   shallow depth, then blind tries for groups that are still equal there. From the two orders with their common-prefix lengths
-   follow the longest repeat that reaches left and the longest that reaches right of each anchor; together they are one span.
+   Equal strings have equal anchors at equal offsets, so every repeat shows at a pair of anchors with equal grams. The scan
+   also hashes an anchor's context, the bytes around it that a repeat can reach. Copies of a whole text are dealt with by its
+   hash and enter once.
+2. Grams that occur once are dropped by a count. Equal contexts are repeats as they stand. Grams with several different contexts get the bytes of one of each.
+3. The contexts of a gram are sorted by what follows and by what precedes the anchor: multikey quicksort on eight-byte words to
+   a shallow depth, then blind tries for groups that are still equal there. From the two orders with their common-prefix
+   lengths follow the longest repeat that reaches left and the longest that reaches right; together they are one span.
 4. Spans are merged per text and cut out.
 
-A gram of more than ``GROUP`` occurrences is not gathered in a task: all strings around its anchors are counted by digest
-instead, with a partial aggregate and an equi-join back, which gives the same spans. 64-bit gram hashes only propose; bytes
-decide. Rounds are written to the shared folder.
+A gram of more than ``GROUP`` different contexts is not gathered in a task: all strings around its anchors are counted by digest
+instead, with a partial aggregate and an equi-join back, which gives the same spans. Between different contexts bytes decide;
+64-bit hashes stand for equal contexts and texts. Rounds are written to the shared folder.
 
 Cases: null text counts as empty; texts shorter than ``LENGTH`` lose nothing; repeated rows are copies of each other and lose
 everything from ``LENGTH`` bytes on; an empty table gives an empty result; extra columns are ignored unless named in ``keep``.
@@ -26,14 +27,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from waymark.llm.common import column_names, ship, stage
 
-LENGTH, GRAM = 400, 160
-#: Occurrences of a gram that one task sorts, at most.
+LENGTH, GRAM = 400, 240
+#: Different contexts of a gram that one task sorts, at most.
 GROUP = 20_000
 #: Depth of the quicksort in eight-byte words; groups of this size or less go to the blind trie at once.
 SHALLOW, FEW = 4, 8
@@ -207,56 +209,62 @@ def reach(before: list[bytes], after: list[bytes], length: int, gram: int) -> tu
 
 
 def _scan(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("at", pa.int32()), ("g", pa.int64())]))
+    """Columns h, t to a row for each anchor: h, len, at, gram and context hash."""
+    reach_left = length - gram
     for whole in batches:
         for lo in range(0, whole.num_rows, 512):
             batch = whole.slice(lo, 512)
-            got = [anchors(t or b"", length, gram) for t in batch.column(2).to_pylist()]
-            ends = np.concatenate([[0], np.cumsum([len(p) for p, _ in got])]).astype(np.int32)
-            flat = pa.StructArray.from_arrays([pa.array(np.concatenate([p for p, _ in got]).astype(np.int32)), pa.array(np.concatenate([h for _, h in got]))], fields=list(kind.value_type))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(ends), flat, type=kind)], names=["d", "h", "anchors"])
+            texts = batch.column(1).to_pylist()
+            got = [anchors(t, length, gram) for t in texts]
+            x = [xxhash.xxh3_64_intdigest(t[max(0, i - reach_left) : i + length], seed=min(i, reach_left)) for t, (p, _) in zip(texts, got) for i in p.tolist()]
+            n = [len(p) for p, _ in got]
+            cols = (
+                np.repeat(batch.column(0).to_numpy(), n), np.repeat(np.array([len(t) for t in texts], np.int32), n),
+                np.concatenate([p for p, _ in got]).astype(np.int32), np.concatenate([h for _, h in got]), np.array(x, np.uint64).view(np.int64),
+            )
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["h", "len", "at", "g", "x"])
 
 
 def _contexts(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for lo in range(0, whole.num_rows, 128):
             batch = whole.slice(lo, 128)
-            out: tuple[list, ...] = ([], [], [], [], [])
-            for h, text, spots in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            out: tuple[list, ...] = ([], [], [], [])
+            for text, spots in zip(*(batch.column(i).to_pylist() for i in range(2))):
                 for s in spots:
                     at = s["at"]
-                    for col, x in zip(out, (s["g"], h, at, text[max(0, at - length + gram) : at][::-1], text[at : at + length])):
-                        col.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.string(), pa.int32(), pa.binary(), pa.binary()))], names=["g", "h", "at", "before", "after"])
+                    for col, v in zip(out, (s["g"], s["x"], text[max(0, at - length + gram) : at][::-1], text[at : at + length])):
+                        col.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["g", "x", "before", "after"])
 
 
 def _sort_groups(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """Rows come ordered by gram; a group may run over several batches."""
-    held: tuple[list, ...] = ([], [], [], [])
-    last, out = None, ([], [], [])
+    """Contexts ordered by gram to (g, x, l, r), how far repeats reach; a group may run over several batches."""
+    held: tuple[list, ...] = ([], [], [])
+    last, out = None, ([], [], [], [])
 
     def close():
         if len(held[0]) > 1:
-            left, right = reach(held[2], held[3], length, gram)
+            left, right = reach(held[1], held[2], length, gram)
             for i in np.flatnonzero(left >= 0).tolist():
-                for col, x in zip(out, (held[0][i], held[1][i] - int(left[i]), held[1][i] + int(right[i]))):
-                    col.append(x)
+                for col, v in zip(out, (last, held[0][i], int(left[i]), int(right[i]))):
+                    col.append(v)
         for col in held:
             col.clear()
 
     def made():
-        got = pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32())], names=["h", "a", "b"])
+        got = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["g", "x", "l", "r"])
         for col in out:
             col.clear()
         return got
 
     for batch in batches:
-        for g, *rest in zip(*(batch.column(i).to_pylist() for i in range(5))):
+        for g, *rest in zip(*(batch.column(i).to_pylist() for i in range(4))):
             if g != last:
                 close()
                 last = g
-            for col, x in zip(held, rest):
-                col.append(x)
+            for col, v in zip(held, rest):
+                col.append(v)
         yield made()
     close()
     yield made()
@@ -276,51 +284,54 @@ def _cut(data: bytes, spans: list, n_copies: int, length: int) -> tuple[int, int
     return len(data), len(data) - len(left), runs, left
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(h, n, spans): by text digest, its number of copies and the byte spans [a, b) that repeats cover."""
+def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP, text_col: str = "text") -> DataFrame:
+    """(h, len, n, spans): by text, its number of copies and the byte spans [a, b) that repeats cover; texts without either are left out."""
     ship(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("string").alias("d"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("h"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("t"))
-    long = rows.filter(F.octet_length("t") >= length)
-    found = stage(long.mapInArrow(lambda it: _scan(it, length, gram), "d string, h string, anchors array<struct<at:int,g:long>>"), "suffix-anchors")
-    copies = stage(found.groupBy("h").agg(F.count("*").alias("n"), F.min(F.coalesce("d", F.lit(""))).alias("one")), "suffix-copies")
-    once = found.join(copies, (found["h"] == copies["h"]) & (F.coalesce(found["d"], F.lit("")) == F.col("one"))).select(found["h"], "one", "anchors").dropDuplicates(["h"])
-    spots = stage(once.select("h", "one", F.inline("anchors")), "suffix-spots")
-    often = stage(spots.groupBy("g").agg(F.count("*").alias("k")).filter("k > 1"), "suffix-often")
-    need = spots.join(often, "g").groupBy("h", "one").agg(F.collect_list(F.struct("at", "g")).alias("spots"))
-    texts = long.withColumn("one", F.coalesce("d", F.lit(""))).select("h", "one", "t").join(need, ["h", "one"]).select("h", "t", "spots")
-    around = texts.mapInArrow(lambda it: _contexts(it, length, gram), "g long, h string, at int, before binary, after binary")
-    hot = often.filter(F.col("k") > group)
+    data = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
+    texts = docs.select(F.xxhash64(data).alias("h"), data.alias("t")).filter(F.octet_length("t") >= length)
+    found = stage(texts.mapInArrow(lambda it: _scan(it, length, gram), "h long, len int, at int, g long, x long"), "suffix-anchors")
+    copies = texts.groupBy("h", F.octet_length("t").alias("len")).agg(F.count("*").alias("n"))
+    often = found.groupBy("g").agg(F.count("*").alias("k")).filter("k > 1").select("g")
+    spots = stage(found.join(often, "g").dropDuplicates(["h", "at"]), "suffix-spots")
+    sets = stage(spots.groupBy("g", "x").agg(F.count("*").alias("k"), F.min(F.struct("h", "at")).alias("one")), "suffix-sets")
+    many = sets.groupBy("g").agg(F.count("*").alias("kinds")).filter("kinds > 1")
+    need = sets.join(many, "g").select(F.col("one.h").alias("h"), F.struct(F.col("one.at").alias("at"), "g", "x").alias("s"))
+    need = need.groupBy("h").agg(F.collect_list("s").alias("spots"))
+    around = texts.join(need, "h").dropDuplicates(["h"]).select("t", "spots").mapInArrow(lambda it: _contexts(it, length, gram), "g long, x long, before binary, after binary")
+    hot, counted = many.filter(F.col("kinds") > group).select("g"), None
     if hot.limit(1).count():
         around = stage(around, "suffix-contexts")
-        counted = _by_digest(around.join(hot.select("g"), "g"), length, gram)
-        around = around.join(hot.select("g"), "g", "left_anti")
-    else:
-        counted = None
-    sorted_ = around.repartition("g").sortWithinPartitions("g").mapInArrow(lambda it: _sort_groups(it, length, gram), "h string, a int, b int")
-    spans = (sorted_ if counted is None else sorted_.unionByName(counted)).groupBy("h").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
-    return copies.select("h", "n").join(spans, "h", "left").filter("n > 1 or spans is not null")
-
-
-def _by_digest(around: DataFrame, length: int, gram: int) -> DataFrame:
-    """Spans around hot grams: every string around an anchor is counted by its digest."""
-    whole = around.select("g", "h", (F.col("at") - F.octet_length("before")).alias("lo"), F.octet_length("before").alias("k"), F.unhex(F.concat(F.array_join(F.reverse(F.filter(F.split(F.regexp_replace(F.hex("before"), "(..)", "$1 "), " "), lambda x: x != "")), ""), F.hex("after"))).alias("t"))
+        counted, around = _by_digest(around.join(hot, "g"), length), around.join(hot, "g", "left_anti")
+    reached = around.repartition("g").sortWithinPartitions("g").mapInArrow(lambda it: _sort_groups(it, length, gram), "g long, x long, l int, r int")
+    if counted is not None:
+        reached = reached.unionByName(counted)
+    before, after = F.least(F.col("at"), F.lit(length - gram)), F.least(F.col("len") - F.col("at"), F.lit(length))
+    alike = spots.join(sets.filter("k > 1").select("g", "x"), ["g", "x"]).filter(before + after >= length).select("h", (F.col("at") - before).alias("a"), (F.col("at") + after).alias("b"))
+    partly = spots.join(reached, ["g", "x"]).select("h", (F.col("at") - F.col("l")).alias("a"), (F.col("at") + F.col("r")).alias("b"))
+    spans = alike.unionByName(partly).groupBy("h").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+    return copies.join(spans, "h", "left").filter("n > 1 or spans is not null")
+
+
+def _by_digest(around: DataFrame, length: int) -> DataFrame:
+    """Reach of repeats around hot grams: every string around an anchor is counted by its digest over all contexts."""
+    forward = F.unhex(F.array_join(F.reverse(F.regexp_extract_all(F.hex("before"), F.lit(".."), F.lit(0))), ""))
+    whole = around.select("g", "x", F.octet_length("before").alias("k"), F.concat(forward, F.col("after")).alias("t"))
     starts = F.sequence(F.lit(0), F.least(F.col("k"), F.octet_length("t") - length))
-    strings = whole.filter(F.octet_length("t") >= length).select("h", "lo", "t", F.explode(starts).alias("i")).select("h", (F.col("lo") + F.col("i")).alias("a"), F.md5(F.substring("t", F.col("i") + 1, F.lit(length))).alias("s"))
-    place = F.struct("h", "a")
-    often = strings.groupBy("s").agg(F.min(place).alias("x"), F.max(place).alias("y")).filter("x <> y").select("s")
-    return strings.join(often, "s").select("h", "a", (F.col("a") + length).alias("b")).distinct()
+    strings = whole.filter(F.octet_length("t") >= length).select("g", "x", "k", "t", F.explode(starts).alias("i")).select("g", "x", (F.col("k") - F.col("i")).alias("l"), F.md5(F.substring("t", F.col("i") + 1, F.lit(length))).alias("s"))
+    often = strings.groupBy("g", "l", "s").agg(F.count("*").alias("n")).filter("n > 1").select("g", "l", "s")
+    return strings.join(often, ["g", "l", "s"]).groupBy("g", "x").agg(F.max("l").alias("l"), (F.lit(length) - F.min("l")).cast("int").alias("r"))
 
 
 def suffix_dedup(docs: DataFrame, keep: list[str] | None = None, length: int = LENGTH, gram: int = GRAM, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """``keep`` columns plus n_bytes, n_removed, n_spans, kept_sha256, and with ``with_text`` the remaining bytes as ``kept``."""
     keep = [id_col] if keep is None else keep
-    spans = repeated_spans(docs, length, gram, group, id_col, text_col)
+    spans = repeated_spans(docs, length, gram, group, text_col)
     base = docs.select(*keep)
     names = column_names(base, "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else []))
     kinds = [T.LongType(), T.LongType(), T.LongType(), T.StringType()] + [T.BinaryType()] * with_text
     schema, k = T.StructType([*base.schema.fields, *(T.StructField(n, t) for n, t in zip(names, kinds))]), len(keep)
     data = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    rows = docs.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), data.alias("t"), F.md5(data).alias("h")).join(spans, "h", "left").select(*(f"k{i}" for i in range(k)), "t", "spans", "n")
+    rows = docs.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), data.alias("t"), F.xxhash64(data).alias("h"), F.octet_length(data).alias("len")).join(spans, ["h", "len"], "left").select(*(f"k{i}" for i in range(k)), "t", "spans", "n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
