@@ -79,12 +79,12 @@ def test_line_dedup(docs, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
-@pytest.mark.parametrize("short,block", [(24, 10_000), (4, 10_000), (4, 7)])
-def test_near_dedup(docs, empty, monkeypatch, short, block):
+@pytest.mark.parametrize("short,block,percent", [(24, 10_000, 85), (4, 10_000, 85), (4, 7, 85), (24, 10_000, 80), (4, 7, 80)])
+def test_near_dedup(docs, empty, monkeypatch, short, block, percent):
     monkeypatch.setattr(near_dedup, "SHORT", short)
     monkeypatch.setattr(near_dedup, "BLOCK", block)
-    got = rows(near_dedup.near_dedup(docs), "doc_id", "n_shingles", "component_id", "kept")
-    assert got == [(d, n, c, c == d) for d, n, c in brute.near_dedup(DOCS)]
+    got = rows(near_dedup.near_dedup(docs, percent), "doc_id", "n_shingles", "component_id", "kept")
+    assert got == [(d, n, c, c == d) for d, n, c in brute.near_dedup(DOCS, percent)]
     assert near_dedup.near_dedup(empty).count() == 0
 
 

@@ -3,8 +3,8 @@
 A text's set holds the hashes of its distinct five-word shingles (lower-cased A-Z, words between ASCII white space); its sketch
 holds the ``K`` smallest values of that one hash. Texts with equal sets form a class, and one of each stands for it.
 
-Candidates: two sets alike enough share ``SHARED`` of their sketch values (five deviations below the mean at 0.85), so they
-share one of the rarest ``K - SHARED + 1`` of either; only these values get inverted lists, which keeps values that very many
+Candidates: two sets alike enough share ``shared_values`` of their sketch values (five deviations below the mean), so they
+share one of the rarest ``K - shared_values + 1`` of either; only these values get inverted lists, which keeps values that very many
 documents hold out of the lists unless whole families share little else. Lists of up to ``SHORT`` members give their pairs; sizes and the estimate from the
 union of two sketches filter them, and the exact Jaccard index of the full sets decides. A longer list is mostly one family of
 copies. Its members meet in a task with their full sets, which finds overlaps through inverted lists of shingles and gives out
@@ -22,6 +22,7 @@ repeated rows share a component; an empty table gives an empty result; extra col
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +34,8 @@ from pyspark.sql import functions as F
 from waymark.llm.common import ship, stage
 from waymark.llm.graph import components
 
-#: Sketch size, and the sketch values that linked sets share but for one pair in a million.
-K, SHARED = 64, 40
+#: Sketch size.
+K = 64
 WORDS = 5
 #: Least Jaccard index, in percent.
 PERCENT = 85
@@ -47,6 +48,12 @@ _P, _M = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _memo: dict[bytes, int] = {}
 
 
+def shared_values(percent: int) -> int:
+    """Sketch values that sets of this Jaccard index share: five standard deviations below the mean."""
+    p = percent / 100
+    return int(K * p - 5 * math.sqrt(K * p * (1 - p)))
+
+
 def shingles(text: str | None) -> np.ndarray:
     """Sorted distinct hashes (int64) of a text's shingles."""
     words = (text or "").encode("utf-8", "replace").translate(_LOWER).split()
@@ -108,7 +115,7 @@ def _lists(classes: DataFrame, percent: int) -> DataFrame:
     held = rows.join(often, "v").groupBy("c").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("f", "v"))).alias("held"))
     size = F.least(F.col("n"), F.lit(K))
     full = F.col("n") * 100 <= K * percent  # its partners' sets fit into their sketches, too
-    need = F.when(full, F.ceil(F.col("n") * percent / 100)).otherwise(SHARED)
+    need = F.when(full, F.ceil(F.col("n") * percent / 100)).otherwise(shared_values(percent))
     keep = F.greatest(F.lit(0), F.size("held") - (need - 1)).cast("int")  # values of one class only come first and take their places
     chosen = held.select("c", "n", F.explode(F.slice("held", 1, keep)).alias("x")).select(F.col("x.v").alias("v"), "c", "n")
     chosen = stage(chosen, "near-chosen")
@@ -137,7 +144,7 @@ class _Verifier:
         est = pairs.join(of(self.sketches, "a", "sketch"), "a").join(of(self.sketches, "b", "sketch"), "b")
         union = F.slice(F.sort_array(F.array_union("sketch_a", "sketch_b")), 1, K)
         est = est.select("a", "b", F.size(F.array_intersect(F.array_intersect("sketch_a", "sketch_b"), union)).alias("m"), F.size(union).alias("u"))
-        likely = stage(est.filter(F.col("m") * K >= SHARED * F.col("u")).select("a", "b"), "near-likely")
+        likely = stage(est.filter(F.col("m") * K >= shared_values(self.percent) * F.col("u")).select("a", "b"), "near-likely")
         both = likely.join(of(self.full, "b", "full"), "b").join(of(self.full, "a", "full"), "a").select("a", "b", "full_a", "full_b")
         percent = self.percent
         return stage(both.mapInArrow(lambda it: _exact(it, percent), "a long, b long"), "near-links")
