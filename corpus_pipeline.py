@@ -15,6 +15,8 @@ from waymark.llm.queries import tokenizer_path, tokenizer_pattern
 
 #: Documents whose toxicity reaches this score go.
 TOXIC = 0.3
+#: Least Jaccard index of near copies, in percent.
+ALIKE = 80
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +34,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of near copies, once."""
-    kept = near_dedup.near_dedup(docs).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    kept = near_dedup.near_dedup(docs, ALIKE).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
     left = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
     return left.withColumn("text_key", F.xxhash64("text")).dropDuplicates(["doc_id", "text_key"]).select(*docs.columns)
 
