@@ -13,7 +13,7 @@ def test_stages_keep_columns_and_take_effect(spark, sf):
         docs = stage(step(spark, docs, sf), "test")
         assert docs.columns == cols, name
     got = [(r.doc_id, r.text) for r in docs.collect()]
-    assert got and all(n == c for n, _, c in [(d, 0, c) for d, _, c in brute.near_dedup(got)])
+    assert got and all(n == c for n, _, c in [(d, 0, c) for d, _, c in brute.near_dedup(got, corpus_pipeline.ALIKE)])
     assert not any(h for _, _, h, _ in brute.decontaminate(got, bench))
     last = corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()
     assert len(last) == len(got) and all(r.decoded == (r.text or "") for r in last)
