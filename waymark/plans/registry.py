@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from waymark.plans import journey_queries, reading_queries
+from waymark.plans import evidence_queries, journey_queries, reading_queries
 
-MODULES = [journey_queries, reading_queries]
+MODULES = [journey_queries, reading_queries, evidence_queries]
 
 
 def queries() -> dict:
