@@ -104,6 +104,14 @@ def revivals(lifecycles: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
     return rows.select(F.col("topic").alias("reference"), "seen_profiles", "baseline", F.least(F.lit(1.0), F.col("seen_profiles") / cfg.suggestion_full).alias("confidence"), F.row_number().over(Window.orderBy(F.desc("baseline"), "topic")).alias("rank"))
 
 
+def suggestions(revisits: DataFrame, revivals: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
+    """(owner_id, rank, kind, reference, confidence): an owner's overdue places, most overdue first, then dormant topics; one cap over both."""
+    a = revisits.select("owner_id", F.lit("revisit").alias("kind"), "reference", "confidence", (-F.col("ratio")).alias("order"))
+    b = revivals.select("owner_id", F.lit("revive").alias("kind"), "reference", "confidence", F.col("rank").cast("double").alias("order"))
+    rank = F.row_number().over(Window.partitionBy("owner_id").orderBy(F.when(F.col("kind") == "revisit", 0).otherwise(1), "order", "reference"))
+    return a.unionByName(b).withColumn("rank", rank).filter(F.col("rank") <= cfg.suggestion_cap).select("owner_id", "rank", "kind", "reference", "confidence")
+
+
 def annotate(suggestions: DataFrame, notes: DataFrame) -> DataFrame:
     """Suggestions with the first note on their reference; notes never add a suggestion."""
     w = Window.partitionBy("reference", "source").orderBy("seq")

@@ -34,9 +34,10 @@ def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
 
 def thinnable(profiles: DataFrame, newest: int) -> DataFrame:
     """Snapshots (seq, generated_at) that retention may drop: not among the newest and not the first of their month."""
-    recent = F.row_number().over(Window.orderBy(F.desc("seq")))
-    first = F.row_number().over(Window.partitionBy(F.date_format("generated_at", "yyyy-MM")).orderBy("seq"))
-    return profiles.withColumns({"recent": recent}).filter(F.col("recent") > newest).withColumn("first", first).filter("first > 1").select("seq", "generated_at")
+    kept = profiles.orderBy(F.desc("seq")).limit(newest).agg(F.min("seq").alias("from"))
+    older = profiles.join(F.broadcast(kept), F.col("seq") < F.col("from")).select("seq", "generated_at")  # one row
+    first = older.groupBy(F.date_format("generated_at", "yyyy-MM").alias("month")).agg(F.min("seq").alias("seq"))
+    return older.join(first.select("seq"), "seq", "left_anti")
 
 
 def outdated(readings: DataFrame, current: str) -> DataFrame:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from waymark.operators import change as C
 from waymark.operators import evidence as E
 from waymark.operators import interests as I
 from waymark.operators import retrieval as R
+from waymark.plans import journey_queries, reading_queries
 from waymark.plans.reading_queries import _SCORE, CAPTIONS_SQL, SEEN_SQL, _readings
 from waymark.sources.bindings import PHOTOS_SQL, photos, subjects, table
 
@@ -125,3 +127,14 @@ def included_files(spark, d):
     pick = lambda xs, i: F.element_at(F.array(*(F.lit(x) for x in xs)), (i + 1).cast("int"))
     path = F.concat(pick(["backup/a/", "trip/", ""], k % 3), F.lit("img"), k, pick([".png", ".jpg", ".jpeg"], k % 4 % 3))
     return table(spark, d, "part").select("p_partkey", path.alias("path")).filter(~E.excluded(F.col("path"), ["backup/*", "*.png", "img?.jp*"])).select("p_partkey")
+
+
+@query(
+    f"""with a as (select owner_id, 'revisit' as kind, reference, confidence, -ratio as o from ({journey_queries.SQL["suggest_revisit"]})),
+    b as (select unnest([0, 1, 2, 3]) as owner_id, 'revive' as kind, reference, confidence, rank as o from ({reading_queries.SQL["suggest_revive"]})),
+    r as (select *, (row_number() over (partition by owner_id order by kind = 'revive', o, reference))::int as rank from (select * from a union all select * from b))
+    select owner_id, rank, kind, reference, confidence from r where rank <= 5"""
+)
+def suggestions(spark, d):
+    topics = reading_queries.suggest_revive(spark, d).withColumn("owner_id", F.explode(F.array(*(F.lit(i).cast("long") for i in range(4)))))
+    return C.suggestions(journey_queries.suggest_revisit(spark, d), topics)
