@@ -221,10 +221,9 @@ docs as (
 def _readings(spark, d):
     n, i, docs = table(spark, d, "events").count(), F.col("doc_id"), table(spark, d, "documents")
     photo = lambda x: F.concat(F.lit("photo-"), x % n)
-    short = F.substring("text", 1, 40)
-    captions = docs.filter(i % 3 == 0).select(i.cast("string").alias("key"), F.array(photo(i), photo(i * 7 + 1)).alias("photo_ids"), F.when(i % 9 != 0, short).alias("text"))
-    singles = docs.filter(i % 3 == 1).select(photo(i).alias("photo_id"), F.when(i % 10 != 1, short).alias("text"))
-    shots = docs.filter(i % 3 == 2).select(photo(i).alias("photo_id"), F.when(i % 4 == 0, "chat").otherwise("article").alias("category"), short.alias("text"))
+    captions = docs.filter(i % 3 == 0).select(i.cast("string").alias("key"), F.array(photo(i), photo(i * 7 + 1)).alias("photo_ids"), F.when(i % 9 != 0, F.col("text")).alias("text"))
+    singles = docs.filter(i % 3 == 1).select(photo(i).alias("photo_id"), F.when(i % 10 != 1, F.col("text")).alias("text"))
+    shots = docs.filter(i % 3 == 2).select(photo(i).alias("photo_id"), F.when(i % 4 == 0, "chat").otherwise("article").alias("category"), "text")
     return captions, singles, shots
 
 
