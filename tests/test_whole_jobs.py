@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+from waymark.operators import retrieval as R
 from waymark.plans.registry import queries, sql
 
 
@@ -26,3 +27,22 @@ def test_index_documents_hold_whole_texts(spark, sf, con):
     whole = sql()["index_documents"].replace("substr(text, 1, 40)", "text")
     assert got == sorted(con.sql(f"select doc_key, kind, text, t from ({whole})").fetchall())
     assert max(len(r[2]) for r in got) > 1000
+
+
+def test_every_hundredth_vector_is_a_query(spark, sf, con):
+    got = queries()["match_meaning_all"](spark, sf).groupBy("query_id").count().collect()
+    assert sorted(map(tuple, got)) == [(i, 30) for (i,) in con.sql("select vec_id from embeddings where vec_id % 100 = 0 order by 1").fetchall()]
+
+
+@pytest.mark.parametrize("block", [1, 3, 1000])
+def test_dense_all_with_ties_widths_and_nulls(spark, monkeypatch, block):
+    monkeypatch.setattr(R, "QUERY_BLOCK", block)
+    monkeypatch.setattr(R, "ROW_BLOCK", block)
+    made = [(f"d{i:02d}", [float(i % 4), float(i % 3)]) for i in range(40)] + [("wide", [9.0, 9.0, 9.0]), ("none", None), ("hole", [9.0, None]), ("empty", [])]
+    asked = [(1, [1.0, 0.5]), (2, [0.0, -1.0]), (3, [1.0, 1.0, 1.0]), (4, [2.0])]
+    got = rows(R.dense_all(spark.createDataFrame(made, "doc_key string, embedding array<float>").repartition(3), spark.createDataFrame(asked, "query_id long, embedding array<float>"), 7), "query_id", "doc_key", "score")
+    want = []
+    for q, v in asked:
+        all_of = [(-sum(a * b for a, b in zip(v, e)), k) for k, e in made if e and None not in e and len(e) == len(v)]
+        want += [(q, k, -s) for s, k in sorted(all_of)[:7]]
+    assert got == sorted(want)

@@ -10,6 +10,8 @@ from waymark.functions.geo import metres
 
 #: BM25 parameters (Robertson and Zaragoza).
 K1, B = 1.2, 0.75
+#: Vectors in a block of queries and in a block of rows.
+QUERY_BLOCK, ROW_BLOCK = 128, 1024
 TOKEN = r"(?U)\w+"
 # A citation of numbered facts, and a year.
 CITATION = r"\[\s*F\s*\d+(?:\s*,\s*F?\s*\d+)*\s*\]"
@@ -70,6 +72,93 @@ def dense(embeddings: DataFrame, query: list[float], depth: int) -> DataFrame:
     return embeddings.filter(F.size("embedding") == len(query)).select("doc_key", dot.alias("score")).orderBy(F.desc("score"), "doc_key").limit(depth)
 
 
+def _packed(vectors: DataFrame, key: str, most: int) -> DataFrame:
+    """Rows (key, embedding) as blocks of up to ``most`` vectors of one width: width, keys and the doubles as bytes."""
+    kind = vectors.schema[key].dataType.simpleString()
+    rows = vectors.filter(F.size("embedding") > 0).filter(~F.exists("embedding", lambda x: x.isNull())).select(key, F.col("embedding").cast("array<double>").alias("embedding"))
+
+    def pack(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for b in batches:
+            wide = pc.list_value_length(b.column(1))
+            for w in pc.unique(wide).to_pylist():
+                own = b.filter(pc.equal(wide, w))
+                for i in range(0, own.num_rows, most):
+                    part = own.slice(i, most)
+                    data = np.asarray(part.column(1).flatten(), "<f8").tobytes()
+                    keys = pa.array([part.column(0).to_pylist()], pa.list_(part.column(0).type))
+                    yield pa.RecordBatch.from_arrays([pa.array([w], pa.int32()), keys, pa.array([data], pa.binary())], ["width", "keys", "data"])
+
+    return rows.mapInArrow(pack, f"width int, keys array<{kind}>, data binary")
+
+
+def dense_all(embeddings: DataFrame, queries: DataFrame, depth: int) -> DataFrame:
+    """(query_id, doc_key, score): the best dot products of every query (query_id, embedding) among all (doc_key, embedding).
+
+    Blocks of queries meet blocks of rows; a task keeps the best ``depth`` of each query of the block at hand, so that few rows per
+    query and task are shuffled. Sums run over the dimensions in order, so equal vectors get equal scores in any block.
+    A query skips vectors of another width; null vectors and vectors with a null element give no row.
+    """
+    q = _packed(queries, "query_id", QUERY_BLOCK).select(F.col("width").alias("qw"), F.col("keys").alias("qk"), F.col("data").alias("qd"))
+    kind = queries.schema["query_id"].dataType.simpleString()
+
+    def score(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def best(scores, keys):
+            order = np.where(np.isnan(scores), np.inf, scores)
+            if len(order) > depth:
+                near = np.flatnonzero(order >= np.partition(order, -depth)[-depth])
+                scores, keys, order = scores[near], keys[near], order[near]
+            at = sorted(range(len(order)), key=lambda i: (-order[i], keys[i]))[:depth]
+            return scores[at], keys[at]
+
+        def out(ids, top):
+            n = [len(s) for s, _ in top]
+            cols = [pa.array(np.repeat(np.array(ids, object), n).tolist(), kinds[0]), pa.array([k for _, ks in top for k in ks], pa.string()), pa.array(np.concatenate([s for s, _ in top]), pa.float64())]
+            return pa.RecordBatch.from_arrays(cols, ["query_id", "doc_key", "score"])
+
+        now, ids, top, kinds = None, None, None, []
+        for b in batches:
+            for i in range(b.num_rows):
+                qw, qd, width, data = (b.column(c)[i].as_py() for c in ("qw", "qd", "width", "data"))
+                if qw != width:
+                    continue
+                mine = b.column("qk")[i].as_py()
+                if now is None or mine != ids or qd != now:
+                    if top:
+                        yield out(ids, top)
+                    now, ids, top, kinds = qd, mine, None, [b.column("qk").type.value_type]
+                    block = np.frombuffer(qd, "<f8").reshape(-1, qw)
+                rows = np.ascontiguousarray(np.frombuffer(data, "<f8").reshape(-1, width).T)
+                keys = np.array(b.column("keys")[i].as_py(), object)
+                dots = np.zeros((len(block), rows.shape[1]))
+                for j in range(width):
+                    dots += block[:, j : j + 1] * rows[j]
+                found = [best(d, keys) for d in dots]
+                top = found if top is None else [best(np.concatenate([s, t]), np.concatenate([k, m])) for (s, k), (t, m) in zip(top, found)]
+        if top:
+            yield out(ids, top)
+
+    part = q.crossJoin(_packed(embeddings, "doc_key", ROW_BLOCK)).mapInArrow(score, f"query_id {kind}, doc_key string, score double")
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_key"))
+    return part.withColumn("nth", nth).filter(F.col("nth") <= depth).drop("nth")
+
+
+def fuse_all(channels: dict[str, DataFrame], cfg: Settings = DEFAULT, limit: int | None = None) -> DataFrame:
+    """``fuse`` for every question: channels (query_id, doc_key, score) are cut, ranked and fused by query_id."""
+    best, ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_key"), None
+    for name, df in channels.items():
+        one = df.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= cfg.depth).select("query_id", "doc_key", F.lit(name).alias("channel"), "rank")
+        ranked = one if ranked is None else ranked.unionByName(one)
+    fused = ranked.groupBy("query_id", "doc_key").agg(F.sum(1.0 / (cfg.rrf_k + F.col("rank"))).alias("score"), F.array_sort(F.collect_set("channel")).alias("channels"))
+    return fused.withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= (limit or cfg.answer_limit)).drop("nth")
+
+
 def fuse(channels: dict[str, DataFrame], cfg: Settings = DEFAULT, limit: int | None = None) -> DataFrame:
     """Reciprocal rank fusion of (doc_key, score) channels cut to their depth: score, and the channels that found the document."""
     ranked = None
@@ -85,10 +174,10 @@ def within_reach(located: DataFrame, lat: float, lon: float, cfg: Settings = DEF
     return located.filter(metres(F.lit(lat), F.lit(lon), F.col("lat"), F.col("lon")) <= cfg.ask_reach_m)
 
 
-def confidence(found: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
-    """One row: n and the confidence that the best score and the coverage give; 0 without evidence."""
+def confidence(found: DataFrame, cfg: Settings = DEFAULT, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row, or one for each ``by``: n and the confidence that the best score and the coverage give; 0 without evidence."""
     top = F.least(F.lit(1.0), F.max("score") * (cfg.rrf_k + 1) / 2)
-    return found.agg(F.count("*").alias("n"), F.coalesce(top * F.count("*") / (F.count("*") + cfg.coverage_half), F.lit(0.0)).alias("confidence"))
+    return found.groupBy(*by).agg(F.count("*").alias("n"), F.coalesce(top * F.count("*") / (F.count("*") + cfg.coverage_half), F.lit(0.0)).alias("confidence"))
 
 
 def citation_defects(answers: DataFrame) -> DataFrame:

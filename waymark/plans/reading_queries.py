@@ -295,6 +295,44 @@ def ask_confidence(spark, d):
     return R.confidence(_fused(spark, d)).withColumn("confidence", _r("confidence"))
 
 
+QUESTIONS_SQL = """questions as (select vec_id as query_id, embedding::double[] as q from embeddings where vec_id % 100 = 0),
+alldot as (select * from (select query_id, doc_key, score, row_number() over (partition by query_id order by score desc, doc_key) as r
+  from (select query_id, 'stay:' || vec_id as doc_key, list_inner_product(embedding::double[], q) as score from embeddings, questions)) where r <= 30)"""
+ALL_FUSED_SQL = f"""{BM25_SQL}, {QUESTIONS_SQL}, tx as (select doc_key, row_number() over (order by score desc, doc_key) as r from bm where score > 0),
+rk as (select query_id, doc_key, 'words' as channel, r from tx, questions where r <= 30 union all select query_id, doc_key, 'meaning', r from alldot),
+sums as (select query_id, doc_key, sum(1.0::double / (60 + r)) as score, array_to_string(list_sort(list(distinct channel)), '+') as channels from rk group by query_id, doc_key),
+fused as (select * from (select *, row_number() over (partition by query_id order by score desc, doc_key) as nth from sums) where nth <= 8)"""
+
+
+def _questions(spark, d):
+    return table(spark, d, "embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+def _all_dense(spark, d):
+    rows = table(spark, d, "embeddings").select(F.concat(F.lit("stay:"), "vec_id").alias("doc_key"), "embedding")
+    return R.dense_all(rows, _questions(spark, d), 30)
+
+
+@query(f"with {QUESTIONS_SQL} select query_id, doc_key, round(score, 6) as score from alldot")
+def match_meaning_all(spark, d):
+    return _all_dense(spark, d).withColumn("score", _r("score", 6))
+
+
+def _all_fused(spark, d):
+    words = R.bm25(_texts(spark, d), WORDS).orderBy(F.desc("score"), "doc_key").limit(30)  # the same words for every question
+    return R.fuse_all({"words": _questions(spark, d).select("query_id").crossJoin(F.broadcast(words)), "meaning": _all_dense(spark, d)})
+
+
+@query(f"with {ALL_FUSED_SQL} select query_id, doc_key, round(score, 9) as score, channels from fused")
+def rrf_fusion_all(spark, d):
+    return _all_fused(spark, d).select("query_id", "doc_key", _r("score").alias("score"), F.array_join("channels", "+").alias("channels"))
+
+
+@query(f"with {ALL_FUSED_SQL} select query_id, count(*) as n, round(least(1.0, max(score) * 61 / 2) * count(*) / (count(*) + 2.0), 9) as confidence from fused group by query_id")
+def ask_confidence_all(spark, d):
+    return R.confidence(_all_fused(spark, d), by=("query_id",)).withColumn("confidence", _r("confidence"))
+
+
 @query(f"with {PHOTOS_SQL} select photo_id, owner_id from photos where lat is not null and {metres_sql('35.0', '135.0', 'lat', 'lon')} <= 30000")
 def reach_filter(spark, d):
     return R.within_reach(photos(spark, d).filter("lat is not null"), 35.0, 135.0).select("photo_id", "owner_id")
