@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+from waymark.operators import places as P
 from waymark.operators import retrieval as R
 from waymark.plans.registry import queries, sql
 
@@ -46,3 +47,35 @@ def test_dense_all_with_ties_widths_and_nulls(spark, monkeypatch, block):
         all_of = [(-sum(a * b for a, b in zip(v, e)), k) for k, e in made if e and None not in e and len(e) == len(v)]
         want += [(q, k, -s) for s, k in sorted(all_of)[:7]]
     assert got == sorted(want)
+
+
+# The thresholds in the SQL of these queries fit tables of 30 days; production has every anchor, 2 visits and 30 days.
+PRODUCTION = [("anchored_exclusion_antijoin", "a.visit_days >= 20 and ", ""), ("day_trips", "visits <= 1000", "visits <= 2"), ("suggest_revisit", "86400000000 >= 20", "86400000000 >= 30")]
+
+
+@pytest.mark.parametrize("name,tuned,whole", PRODUCTION)
+def test_production_thresholds(spark, sf, con, name, tuned, whole):
+    assert tuned in sql()[name]
+    df = queries()[name](spark, sf)
+    want = con.sql(f"select {', '.join(df.columns)} from ({sql()[name].replace(tuned, whole)})").fetchall()
+    assert rows(df, *df.columns) == [pytest.approx(r) for r in sorted(want)]
+
+
+def test_places_inside_an_anchor_of_five_days_are_no_interests(spark):
+    day, s = 86_400_000_000, []
+    for owner, days in ((1, 5), (2, 4)):
+        s += [(owner, i * day, i * day + 1, i * day, i * day + 1, 35.0, 135.0, 3) for i in range(days)]
+        s += [(owner, i * day + 2, i * day + 3, i * day + 2, i * day + 3, 35.1, 135.0, 3) for i in range(2)]
+    df = spark.createDataFrame(s, "owner_id long, t0 long, t1 long, lt0 long, lt1 long, lat double, lon double, n_photos long")
+    got = rows(P.outside_anchors(P.visit_days(P.placed(df, 500.0)), P.anchors(df)), "owner_id", "lat", "visit_days")
+    assert [(o, round(y, 3), n) for o, y, n in got] == [(1, 35.1, 2), (2, 35.0, 4), (2, 35.1, 2)]
+
+
+def test_little_known_places_and_regular_spans(spark):
+    day = 86_400_000_000
+    cols = "owner_id long, place long, lat double, lon double, visits long, first_t long, last_t long, gap_days int, only_on_trips boolean"
+    made = [(1, 1, 35.0, 135.0, 9, 0, 40 * day, 4, False), (1, 2, 35.05, 135.0, 2, 0, 9 * day, 9, False), (1, 3, 35.1, 135.0, 3, 0, 29 * day, 9, False), (1, 4, 35.15, 135.0, 3, 0, 30 * day, 9, False)]
+    df = spark.createDataFrame(made, cols)
+    reach = spark.createDataFrame([(1, 50.0)], "owner_id long, usual_km double")
+    assert rows(P.day_trips(df, reach, 400 * day), "reference") == [("place:35.05000,135.00000",)]
+    assert rows(P.revisits(df, 400 * day), "reference") == [("place:35.00000,135.00000",), ("place:35.15000,135.00000",)]

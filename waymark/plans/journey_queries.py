@@ -261,7 +261,7 @@ def place_interest_score(spark, d):
 @query(f"with {ANCHORS_SQL} select {_PLACE_COLS}, visit_days from visits v where not exists (select 1 from anchors a where a.visit_days >= 20 and a.owner_id = v.owner_id and {metres_sql('a.lat', 'a.lon', 'v.lat', 'v.lon')} <= 500)")
 def anchored_exclusion_antijoin(spark, d):
     s = _stays(spark, d)
-    return P.outside_anchors(P.visit_days(P.placed(s, 500.0)), P.anchors(s).filter("visit_days >= 20")).select(*_at(), "visit_days")
+    return P.outside_anchors(P.visit_days(P.placed(s, 500.0)), P.anchors(s)).select(*_at(), "visit_days")
 
 
 NAMES_SQL = "names as (select n_name as label, 34.0 + (n_nationkey * 37 % 25) * 0.1::double as lat, 134.2 + (n_nationkey * 11 % 23) * 0.1::double as lon from nation)"
@@ -333,13 +333,8 @@ TODAY = (1704067200 + 400 * 86400) * US
     from s where visits >= 3 and trip_visits <> visits and gap_days > 0 and (last_t - first_t) // 86400000000 >= 20 and days > 2 * gap_days"""
 )
 def suggest_revisit(spark, d):
-    from dataclasses import replace
-
-    from waymark.config import DEFAULT
-
     trips, numbered, placed, profiles = _trips(spark, d)
-    cfg = replace(DEFAULT, regular_span_days=20)  # the test tables span 30 days
-    r = P.revisits(P.with_trip_visits(profiles, placed, trips, numbered), TODAY, cfg)
+    r = P.revisits(P.with_trip_visits(profiles, placed, trips, numbered), TODAY)
     return r.withColumns({"confidence": _r("confidence", 9), "ratio": _r("ratio")})
 
 
@@ -352,12 +347,8 @@ def suggest_revisit(spark, d):
     select owner_id, reference, days_since, round(km, 6) as km, round(least(1.0, visits / 6.0), 9) as confidence from k where nth <= 3"""
 )
 def day_trips(spark, d):
-    from dataclasses import replace
-
-    from waymark.config import DEFAULT
-
     s = _stays(spark, d)
-    r = P.day_trips(P.place_profiles(P.placed(s, 150.0)), M.reach(J.outings(J.numbered_stops(s))), TODAY, replace(DEFAULT, day_trip_max_visits=1000))
+    r = P.day_trips(P.place_profiles(P.placed(s, 150.0)), M.reach(J.outings(J.numbered_stops(s))), TODAY)
     return r.withColumns({"km": _r("km"), "confidence": _r("confidence", 9)})
 
 
