@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+from waymark.operators import evidence as E
 from waymark.operators import places as P
 from waymark.operators import retrieval as R
 from waymark.plans.registry import queries, sql
@@ -79,3 +80,23 @@ def test_little_known_places_and_regular_spans(spark):
     reach = spark.createDataFrame([(1, 50.0)], "owner_id long, usual_km double")
     assert rows(P.day_trips(df, reach, 400 * day), "reference") == [("place:35.05000,135.00000",)]
     assert rows(P.revisits(df, 400 * day), "reference") == [("place:35.00000,135.00000",), ("place:35.15000,135.00000",)]
+
+
+def test_numbered_facts_are_whole_texts_of_the_results(spark):
+    made = [("a", "stay", "long  text\n" * 400, 0), ("b", "screen", "short", 86_400_000_000), ("c", "single", "latest, not found", 900 * 86_400_000_000)]
+    docs = spark.createDataFrame(made, "doc_key string, kind string, text string, t long")
+    got = E.numbered_facts(docs, spark.createDataFrame([("b", 0.1), ("a", 0.2)], "doc_key string, score double")).first()
+    assert (got.n, got.facts) == (2, f"[F1] (1970-01-01, stay) {made[0][2]}\n[F2] (1970-01-02, screen) short")
+
+
+def test_registered_facts_keep_whole_texts(spark, sf, con):
+    got = queries()["numbered_facts"](spark, sf).first()
+    whole = sql()["index_documents"].replace("substr(text, 1, 40)", "text")
+    texts = [t for (t,) in con.sql(f"select distinct text from ({whole}) where length(text) > 90").fetchall()]
+    assert got.n >= 8 and any(t in got.facts for t in texts)
+
+
+def test_eight_subjects_become_facts(spark, sf, con):
+    assert "nth <= 3" in sql()["subject_facts"]
+    want = con.sql(f"select topic, fact from ({sql()['subject_facts'].replace('nth <= 3', 'nth <= 8')})").fetchall()
+    assert rows(queries()["subject_facts"](spark, sf), "topic", "fact") == sorted(want) and len(want) == 8

@@ -61,6 +61,7 @@ class Settings:
     rrf_k: int = 60
     depth: int = 30
     answer_limit: int = 8
+    subject_facts: int = 8
     ask_reach_m: float = 30_000.0
     coverage_half: float = 2.0
     theme_strong: float = 0.75

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from waymark.config import DEFAULT, Settings
+
 # A citation of facts, alone, listed or as a range; a number; the shortest number that is checked; the length of a quote.
 CITED = r"\[\s*F\s*(\d+)(?:\s*(?:,|-|--|to)\s*F?\s*(\d+))*\s*\]"
 NUMBER = r"\d[\d,._]*"
@@ -73,18 +75,21 @@ def clipped(text: Column, most: int = QUOTE_LENGTH) -> Column:
     return F.when(F.length(flat) <= most, flat).otherwise(F.concat(F.substring(flat, 1, most), F.lit("...")))
 
 
-def numbered_facts(documents: DataFrame, most: int) -> DataFrame:
-    """One row: the latest documents (doc_key, kind, text, t) as ``[Fi] (date, kind) text`` lines."""
-    top = documents.orderBy(F.desc("t"), "doc_key").limit(most)
-    line = F.struct((-F.col("t")).alias("o"), "doc_key", F.date_format(F.timestamp_micros("t"), "yyyy-MM-dd").alias("day"), "kind", clipped(F.col("text")).alias("text"))
-    rows = top.agg(F.sort_array(F.collect_list(line)).alias("all"))  # ``most`` rows
+def numbered_facts(documents: DataFrame, found: DataFrame) -> DataFrame:
+    """One row: the whole texts of the results (doc_key, score) of ``fuse`` as ``[Fi] (date, kind) text`` lines, best first.
+
+    documents: doc_key, kind, text, t.
+    """
+    top = documents.join(F.broadcast(found.select("doc_key", "score")), "doc_key")  # a bounded number of results
+    line = F.struct((-F.col("score")).alias("o"), "doc_key", F.date_format(F.timestamp_micros("t"), "yyyy-MM-dd").alias("day"), "kind", "text")
+    rows = top.agg(F.sort_array(F.collect_list(line)).alias("all"))
     told = F.transform("all", lambda x, i: F.concat(F.lit("[F"), i + 1, F.lit("] ("), x["day"], F.lit(", "), x["kind"], F.lit(") "), x["text"]))
     return rows.select(F.size("all").alias("n"), F.array_join(told, "\n").alias("facts"))
 
 
-def subject_facts(profile: DataFrame, most: int = 3) -> DataFrame:
+def subject_facts(profile: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
     """Sentences on the strongest subjects of a profile (topic, score, confidence, evidence, first_at, last_at)."""
-    top = profile.withColumn("strength", F.round(F.col("score") * F.col("confidence"), 12)).orderBy(F.desc("strength"), "topic").limit(most)
+    top = profile.withColumn("strength", F.round(F.col("score") * F.col("confidence"), 12)).orderBy(F.desc("strength"), "topic").limit(cfg.subject_facts)
     month = lambda c: F.date_format(F.timestamp_seconds(c), "yyyy-MM")
     text = "Subject '%s' was seen at %d recorded sightings between %s and %s (score %.2f, confidence %.2f)."
     return top.select("topic", F.format_string(text, "topic", F.size("evidence"), month("first_at"), month("last_at"), F.bround("score", 2), F.bround("confidence", 2)).alias("fact"))

@@ -91,7 +91,11 @@ def document_points(spark, d):
     select count(*)::int as n, string_agg('[F' || k || '] (' || strftime(make_timestamp(t), '%Y-%m-%d') || ', ' || kind || ') ' || case when length(f) <= 90 then f else f[1:90] || '...' end, chr(10) order by k) as facts from flat"""
 )
 def numbered_facts(spark, d):
-    return E.numbered_facts(R.gather(*_readings(spark, d), photos(spark, d)), 8)
+    docs = R.gather(*_readings(spark, d), photos(spark, d))
+    vectors, question = reading_queries._vectors(spark, d)
+    words = R.bm25(docs, reading_queries.WORDS)
+    meaning = R.dense(vectors.join(docs.select("doc_key").distinct(), "doc_key", "left_semi"), question, 30)
+    return E.numbered_facts(docs, R.fuse({"words": words, "meaning": meaning}))
 
 
 @query(r"select doc_id, case when length(f) <= 90 then f else f[1:90] || '...' end as quote from (select doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) as f from documents)")
