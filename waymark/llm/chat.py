@@ -10,9 +10,10 @@ Each round is written to the shared folder. A node with very many replies is a h
 which AQE splits. One formatted conversation is one value by definition; nothing else is gathered per key.
 
 Cases: null text and null role count as empty; the messages with a null tree (conversation id) are one tree, whose output has a
-null tree; stored turns with a null turn come last; node ids are given and not null; a parent that is missing makes its reply a root; a cycle has no root, so its
-nodes (and replies below them) give no path; equal scores fall back to depth, then node id; an empty table gives no conversations; extra columns are
-ignored.
+null tree; stored turns with a null turn come last; repeated rows of a conversation stored by turn are turns of their own; of
+messages that repeat one (tree, node) the least by parent, score, role and text counts (nulls first); messages with a null node
+are left out; a parent that is missing makes its reply a root; a cycle has no root, so its nodes (and replies below them) give
+no path; equal scores fall back to depth, then node id; an empty table gives no conversations; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,6 +39,12 @@ def _same() -> Column:
     return F.col("tree").eqNullSafe(F.col("kt")) & (F.col("node") == F.col("kn"))
 
 
+def one_per_node(messages: DataFrame) -> DataFrame:
+    """tree, node, parent, score, role, text: one row for each (tree, node)."""
+    row = F.struct("parent", F.col("score").cast("double").alias("score"), "role", "text")
+    return messages.filter("node is not null").groupBy("tree", "node").agg(F.min(row).alias("m")).select("tree", "node", "m.*")
+
+
 def _levels(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     """Hops (tree, node, ptr), level k reaching 2**k ancestors up, and (tree, node, total, steps) of all that reach a root.
 
@@ -58,7 +65,7 @@ def _levels(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
 
 
 def paths(messages: DataFrame, top: int = 1) -> DataFrame:
-    """Rows (tree, leaf, branch, depth, node) of the ``top`` best root-to-leaf paths of each tree. Messages: tree, node, parent, score."""
+    """Rows (tree, leaf, branch, depth, node) of the ``top`` best root-to-leaf paths of each tree. Messages: tree, node, parent, score, one row a node."""
     nodes = messages.select("tree", "node", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
     hops, full = _levels(nodes)
     leaves = full if not hops else full.join(hops[0].select(F.col("tree").alias("kt"), F.col("ptr").alias("kn")).distinct(), _same(), "left_anti")
@@ -71,12 +78,13 @@ def paths(messages: DataFrame, top: int = 1) -> DataFrame:
     return found.join(full.select(F.col("tree").alias("kt"), F.col("node").alias("kn"), F.col("steps").alias("depth")), _same()).select("tree", "leaf", "branch", "depth", "node")
 
 
-def format_paths(messages: DataFrame, top: int = 1, loss_role: str = "assistant") -> DataFrame:
-    """One row a path: tree, leaf, branch, formatted and loss_spans.
+def format_paths(messages: DataFrame, top: int = 1, loss_role: str = "assistant", unique: bool = False) -> DataFrame:
+    """One row a path: tree, leaf, branch, formatted and loss_spans. ``unique``: nodes are known to be given once (as by ``linear``).
 
     ``loss_spans`` lists the texts of ``loss_role`` in order: turn, start and end in the formatted conversation, and ``at``,
     the start within the turn's block; all in code points.
     """
+    messages = messages if unique else stage(one_per_node(messages), "chat-nodes")
     block = F.concat(F.lit(OPEN), escape(F.col("role")), F.lit(MID), escape(F.col("text")), F.lit(CLOSE))
     rows = paths(messages, top).join(messages.select(F.col("tree").alias("kt"), F.col("node").alias("kn"), "role", "text"), _same())
     rows = rows.select("tree", "leaf", "branch", "depth", "role", block.alias("block"), F.length(escape(F.col("text"))).cast("long").alias("len"), (F.length(escape(F.col("role"))) + len(OPEN) + len(MID)).alias("at"))

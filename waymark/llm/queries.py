@@ -26,7 +26,7 @@ def tokenizer_pattern() -> str:
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(FORGED).alias("text"))
-    made = chat.format_paths(chat.linear(rows.unionByName(extra)))
+    made = chat.format_paths(chat.linear(rows.unionByName(extra)), unique=True)
     turns = chat.read_back(F.col("formatted"))
     loss = chat.read_loss(F.col("formatted"), F.col("loss_spans"))
     return made.select(
