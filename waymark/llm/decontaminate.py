@@ -3,16 +3,18 @@
 Words are runs outside ``[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]`` after lower-casing A-Z. A window is ``n`` consecutive words of a
 benchmark item (a shorter item is one window). A document word inside any occurrence of a window is hit.
 
-While the benchmark stays within ``max_words`` words (checked with one count), its windows are broadcast as a hash set:
+While the benchmark stays within ``max_words`` words and ``MAX_BYTES`` bytes (checked with one aggregate), its windows are broadcast as a hash set:
 each document is scanned where it lies, candidate windows found by a rolling hash are verified word by word, and nothing is
 shuffled. A larger benchmark takes the join path: document windows meet item windows on their text, keyed by hash.
 
-Cases: null text has no words and no hits; an item without words has no window; repeated items and repeated documents each
-count on their own row; an empty benchmark hits nothing; extra columns are ignored unless named in ``keep``.
+Cases: null text has no words and no hits; an item without words has no window; items with one id count as one, items without an
+id as one null at the end of ``items``; repeated documents each count on their own row; an empty table gives an empty result, an
+empty benchmark hits nothing; extra columns are ignored unless named in ``keep``, clashing result names get an underscore.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +27,8 @@ from waymark.llm.common import column_names, lower_az, ship
 
 #: Benchmarks of more words than this are joined, not broadcast (about 200 MB of window tables in each Python worker).
 MAX_WORDS = 1_000_000
+#: And bytes of all texts that have a word.
+MAX_BYTES = 64 << 20
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Lower-cases A-Z and blanks every ASCII byte outside 0-9 and a-z; bytes of other characters stay.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -35,12 +39,16 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").translate(_FOLD).split()
 
 
+def _nulls_last(item: str | None) -> tuple[bool, str]:
+    return item is None, item or ""
+
+
 class Windows:
     """Windows of the benchmark by length: rolling hashes for the scan, exact word ids for the check."""
 
     def __init__(self, items: list[tuple[str, list[bytes]]], n: int):
         self.ids: dict[bytes, int] = {}
-        self.items = sorted({i for i, _ in items})
+        self.items = sorted({i for i, _ in items}, key=_nulls_last)
         at = {i: k for k, i in enumerate(self.items)}
         self.exact: dict[int, dict[tuple, set[int]]] = {}
         for item, words in items:
@@ -79,6 +87,17 @@ class Windows:
         return len(words), mask, found
 
 
+_built: dict[str, Windows] = {}
+
+
+def _windows(key: str, items, n: int) -> Windows:
+    """The windows of a broadcast benchmark, built once a worker for a scan."""
+    if key not in _built:
+        _built.clear()
+        _built[key] = Windows([(i, words_of(t)) for i, t in items.value], n)
+    return _built[key]
+
+
 def _spans(mask: np.ndarray | None) -> list[list[int]]:
     if mask is None:
         return []
@@ -92,33 +111,34 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, keep: list[str] | N
     A result column whose name is taken gets an underscore.
     """
     keep = ["doc_id"] if keep is None else keep
-    counted = benchmark.select(F.regexp_count(lower_az("text"), F.lit(WORD)).alias("n"))
-    if (counted.agg(F.sum("n")).first()[0] or 0) > max_words:
+    worded = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").alias("t"), F.regexp_count(lower_az("text"), F.lit(WORD)).alias("n")).filter("n > 0")
+    total = worded.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()
+    if total[0] > max_words or total[1] > MAX_BYTES:
         return _joined(docs, benchmark, n, keep, text_col)
     ship(docs.sparkSession)
-    rows = benchmark.select(F.col("item_id").cast("string"), "text").collect()
-    items = docs.sparkSession.sparkContext.broadcast([(str(r[0]), r[1]) for r in rows if r[1]])
+    items = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in worded.select("item", "t").collect()])
+    key = uuid.uuid4().hex
     base = docs.select(*keep)
     extra = list(zip(_names(base), (T.LongType(), T.LongType(), T.ArrayType(T.StringType()), T.ArrayType(T.ArrayType(T.IntegerType())))))
     schema = T.StructType([*base.schema.fields, *(T.StructField(a, b) for a, b in extra)])
     k = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = None
         for whole in batches:
-            windows = windows or Windows([(i, words_of(t)) for i, t in items.value], n)
+            windows = _windows(key, items, n)
             for lo in range(0, whole.num_rows, 512):
                 batch = whole.slice(lo, 512)
                 got = [windows.scan(t) for t in batch.column(k).to_pylist()]
                 made = [
                     pa.array([g[0] for g in got], pa.int64()),
                     pa.array([0 if g[1] is None else int(g[1].sum()) for g in got], pa.int64()),
-                    pa.array([sorted(windows.items[i] for i in g[2]) for g in got], pa.list_(pa.string())),
+                    pa.array([sorted((windows.items[i] for i in g[2]), key=_nulls_last) for g in got], pa.list_(pa.string())),
                     pa.array([_spans(g[1]) for g in got], pa.list_(pa.list_(pa.int32()))),
                 ]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:k], *made], names=[*batch.schema.names[:k], *(a for a, _ in extra)])
 
-    return docs.select(*keep, F.col(text_col).alias("text_in")).mapInArrow(run, schema)
+    (text,) = column_names(base, "text_in")
+    return docs.select(*keep, docs[text_col].alias(text)).mapInArrow(run, schema)
 
 
 def _names(df: DataFrame) -> list[str]:
@@ -131,7 +151,7 @@ def _joined(docs: DataFrame, benchmark: DataFrame, n: int, keep: list[str], text
     cut = lambda size: F.transform(F.sequence(F.lit(1), F.size("w") - size + 1), lambda i: F.array_join(F.slice("w", i, size), " "))
     item = benchmark.select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("w")).filter(F.size("w") > 0)
     item = item.select("item", F.least(F.size("w"), F.lit(n)).alias("len"), F.explode(cut(F.least(F.size("w"), F.lit(n)))).alias("win"))
-    item = item.groupBy("len", "win").agg(F.sort_array(F.collect_set("item")).alias("its"))
+    item = item.groupBy("len", "win").agg(F.collect_set(F.struct("item")).alias("its"))  # as structs, else a null id would be lost
     lens = [r[0] for r in item.select("len").distinct().collect()]  # n numbers at most
     kept, names = [F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], _names(docs.select(*keep))
     key = F.sha2(F.to_json(F.struct(*kept, F.col(text_col).alias("t"))), 256)
@@ -148,7 +168,7 @@ def _joined(docs: DataFrame, benchmark: DataFrame, n: int, keep: list[str], text
     far = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     hits = hits.withColumn("run", F.sum(F.when(F.col("pos") <= far, 0).otherwise(1)).over(w))
     runs = hits.groupBy("k", "run").agg(F.min("pos").alias("a"), F.max("end").alias("b"), F.array_distinct(F.flatten(F.collect_set("its"))).alias("its"))
-    per = runs.groupBy("k").agg(F.sum(F.col("b") - F.col("a")).alias("n_hit"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("its")))).alias("items"), F.transform(F.sort_array(F.collect_list(F.struct("a", "b"))), lambda s: F.array(s["a"], s["b"])).alias("spans"))
+    per = runs.groupBy("k").agg(F.sum(F.col("b") - F.col("a")).alias("n_hit"), F.array_sort(F.transform(F.array_distinct(F.flatten(F.collect_list("its"))), lambda x: x["item"])).alias("items"), F.transform(F.sort_array(F.collect_list(F.struct("a", "b"))), lambda s: F.array(s["a"], s["b"])).alias("spans"))
     done = rows.withColumn("n_words", F.size(words(F.col("t"))).cast("long")).join(per, "k", "left")
     values = (F.col("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long"), F.coalesce("items", F.array().cast("array<string>")), F.coalesce("spans", F.array().cast("array<array<int>>")))
     return done.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), *(v.alias(n) for v, n in zip(values, names)))
