@@ -5,7 +5,8 @@ distributions of the languages on either side) predicts it; a text goes to the l
 weighted logistic loss against the predicted margins. A bit weighs for a language what it separates on average there.
 
 Trigram counts come from all training rows, added up within a partition first, so what is shuffled is one row per
-(partition, language, bucket). The model holds languages x 16,384 numbers. Predictions read each text where it lies; no
+(partition, language, bucket). The model holds languages x 16,384 numbers; more than ``MOST_LANGUAGES`` values of the language
+column raise an error, as that is no language column. Predictions read each text where it lies; no
 shuffle. Up to six languages get the exhaustive code, more get a seeded random code.
 
 Cases: null texts and texts without a letter give ``und`` with score 0 and count as ambiguous; without training rows every
@@ -30,6 +31,8 @@ BITS = 14
 UNKNOWN = "und"
 #: Best and second language closer than this in probability: ambiguous.
 AMBIGUOUS = 0.2
+#: Languages of a model, at most (64 MB of counts on the driver).
+MOST_LANGUAGES = 512
 #: Trigrams that count in full towards certainty.
 FULL_GRAMS = 60
 _FOLD = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
@@ -112,6 +115,8 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mode
         yield from rows()
 
     some = docs.filter(F.col(lang_col).isNotNull()).select(F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
+    if (kinds := some.select("l").distinct().limit(MOST_LANGUAGES + 1).count()) > MOST_LANGUAGES:
+        raise ValueError(f"{lang_col} has more than {kinds - 1} values; a model holds {MOST_LANGUAGES} languages at most")
     total = some.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     counts: dict[str, np.ndarray] = {}
     for r in total.toLocalIterator(prefetchPartitions=True):
@@ -133,4 +138,5 @@ def predict(docs: DataFrame, model: Model, keep: list[str | Column] | None = Non
             made = [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.bool_())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:k], *made], names=[*batch.schema.names[:k], *names])
 
-    return docs.select(*(docs.columns if keep is None else keep), F.col(text_col).alias("text_in")).mapInArrow(run, schema)
+    (text,) = column_names(base, "text_in")
+    return docs.select(*(docs.columns if keep is None else keep), docs[text_col].alias(text)).mapInArrow(run, schema)

@@ -11,7 +11,8 @@ driver. Tokens fall into 2**18 buckets, so the model has a fixed size. Scoring r
 
 Cases: null and empty texts get the score of a text without evidence; without labels of both classes every score is the share
 of label 1 (0.5 without any); a document with several labels counts as toxic if one says so; null labels are left out;
-repeated rows get equal scores; extra columns pass through ``keep`` and clashing result names get an underscore.
+labels of unknown documents count for nothing; ids may have any type, those of the labels are read as that; repeated rows get
+equal scores; an empty table gives an empty result; extra columns pass through ``keep``, clashing result names get an underscore.
 """
 
 from __future__ import annotations
@@ -140,9 +141,10 @@ def _sample(labels: DataFrame, most: int) -> dict:
 def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
     spark = docs.sparkSession
     ship(spark)
-    sample = spark.sparkContext.broadcast(_sample(labels, most))
+    kind = docs.schema["doc_id"].dataType
+    sample = spark.sparkContext.broadcast(_sample(labels.select(F.col("doc_id").try_cast(kind).alias("doc_id"), "toxic"), most))
     share = sum(sample.value.values()) / max(1, len(sample.value))
-    ids = spark.createDataFrame([(i,) for i in sample.value], "doc_id long")
+    ids = spark.createDataFrame([(i,) for i in sample.value], T.StructType([T.StructField("doc_id", kind)]))
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi")  # 2 x most ids at most
     held_back = lambda i: zlib.crc32(f"fit{i}".encode()) % 3 == 0
 
@@ -229,4 +231,5 @@ def score(docs: DataFrame, model: Model, keep: list[str | Column] | None = None,
             made = [pa.array([g[0] for g in got], pa.float64()), pa.array([[dict(zip(("start", "end", "score"), s)) for s in g[1]] for g in got], arrow)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:k], *made], names=[*batch.schema.names[:k], *names])
 
-    return docs.select(*chosen, F.col(text_col).alias("text_in")).mapInArrow(run, schema)
+    (text,) = column_names(base, "text_in")
+    return docs.select(*chosen, docs[text_col].alias(text)).mapInArrow(run, schema)
