@@ -10,8 +10,8 @@ Repeated windows: window hashes that are all different settle most texts; texts
 strings themselves. Both ways take near-linear time in the row. Nothing is shuffled but statistics of labelled rows.
 
 Cases: null text has no words and fails the base; labels without quality or of unknown documents are left out; a document
-with several labels counts as bad if one says so; without labels no rule is learned; repeated rows get equal results; extra
-columns are ignored unless named in ``keep``.
+with several labels counts as bad if one says so; without labels no rule is learned; repeated rows get equal results; an empty
+table gives an empty result; extra columns are ignored unless named in ``keep``, clashing result names get an underscore.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from math import log2
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import stage
+from waymark.llm.common import column_names, stage
 
 SPACE = r"[\x20\x09-\x0D]"
 WINDOW = 8
@@ -43,6 +43,9 @@ FEATURES = {
 }
 
 
+STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct", "n_capitals", "n_marks")
+
+
 def _let(value: Column, body) -> Column:
     """``body`` of ``value``, which is evaluated once."""
     return F.get(F.transform(F.array(value), body), 0)
@@ -63,22 +66,24 @@ def _repeat_words(w: Column) -> Column:
 
 
 def text_stats(docs: DataFrame, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:
-    """``keep`` columns plus the counts that the rules look at, all long."""
+    """``keep`` columns plus ``STATS``, the counts that the rules look at, all long; names that are taken get an underscore."""
     keep = ["doc_id"] if keep is None else keep
     text = F.coalesce(F.col(text_col), F.lit(""))
     by_words = lambda w: F.struct(F.size(w).alias("n_words"), F.length(F.array_join(w, "")).alias("word_chars"), _repeat_words(w).alias("n_repeat_words"), F.size(F.array_distinct(w)).alias("n_distinct"))
     worded = F.filter(F.split(text, "\n", -1), lambda x: F.regexp_like(x, F.lit(r"[^\x20\x09-\x0D]")))
     by_lines = lambda x: F.struct(F.size(x).alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).alias("n_dup_lines"))
     less = lambda pattern: F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
+    kept, names = [F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], column_names(docs.select(*keep), *STATS)
     got = docs.select(
-        *keep,
+        *kept,
         _let(F.array_remove(F.split(text, SPACE + "+", -1), ""), by_words).alias("a"),
         _let(worded, by_lines).alias("b"),
         less(r"[#*$%&|<>]").alias("n_symbols"),
         less(r"[A-Z]").alias("n_capitals"),
         less(r"[!-/:-@\[-`{-~]").alias("n_marks"),
     )
-    return got.select(*keep, *(F.col(f"a.{c}").cast("long").alias(c) for c in ("n_words", "word_chars")), F.col("n_symbols").cast("long").alias("n_symbols"), F.col("b.n_dup_lines").cast("long").alias("n_dup_lines"), F.col("a.n_repeat_words").cast("long").alias("n_repeat_words"), F.col("b.n_lines").cast("long").alias("n_lines"), F.col("a.n_distinct").cast("long").alias("n_distinct"), F.col("n_capitals").cast("long").alias("n_capitals"), F.col("n_marks").cast("long").alias("n_marks"))
+    where = {"n_dup_lines": "b.n_dup_lines", "n_lines": "b.n_lines"} | {c: f"a.{c}" for c in ("n_words", "word_chars", "n_repeat_words", "n_distinct")}
+    return got.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), *(F.col(where.get(c, c)).cast("long").alias(n) for c, n in zip(STATS, names)))
 
 
 def base_failed() -> Column:
@@ -177,9 +182,13 @@ def _prune(rest: DataFrame, rule: Rule, cuts: dict[str, list[float]]) -> Rule:
     return rule[: 1 - k] if (worth + 1) / 2 >= MIN_PRECISION else ()
 
 
-def apply(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None) -> tuple[DataFrame, list[Rule]]:
-    """Statistics of all documents with base_failed and kept, and the rules behind ``kept``."""
-    keep = ["doc_id"] if keep is None else keep
-    stats = stage(text_stats(docs, keep), "rules-stats")
+def apply(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, list[Rule]]:
+    """``keep`` columns, ``STATS``, base_failed and kept of all documents, and the rules behind ``kept``."""
+    keep = [id_col] if keep is None else keep
+    held = [f"k{i}" for i in range(len(keep))]
+    inner = docs.select(*(F.col(c).alias(k) for c, k in zip(keep, held)), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    stats = stage(text_stats(inner, [*held, "doc_id"]), "rules-stats")
     rules = learn(stats, labels)
-    return stats.withColumns({"base_failed": base_failed(), "kept": ~base_failed() & verdict(rules)}), rules
+    done = stats.withColumns({"base_failed": base_failed(), "kept": ~base_failed() & verdict(rules)})
+    made = (*STATS, "base_failed", "kept")
+    return done.select(*(F.col(k).alias(c) for c, k in zip(keep, held)), *(F.col(c).alias(n) for c, n in zip(made, column_names(docs.select(*keep), *made)))), rules
