@@ -1,8 +1,9 @@
 """Minimax contiguous sharding (operator 10).
 
 Rows with equal texts form an atomic group; groups are ordered by the SHA-256 digest of the text, so the order depends on
-content alone. A binary search finds the smallest capacity at which a greedy pass over that order fits into the shards, and
-the cuts are made there. Groups larger than a fair share take a shard each first; the search deals with the rest.
+content alone. A binary search finds the smallest capacity at which a greedy pass over that order fits into the shards. The
+cuts are made within it: each shard ends as near to an equal part of what is left as the capacity allows the shards after it,
+so the slack of the last greedy shard is spread over all. Groups larger than a fair share take a shard each first; the search deals with the rest.
 
 The driver never sees the groups: it holds totals for digest prefixes (4096 at first). A greedy pass over prefixes gives an
 early and a late bound of every cut; only prefixes in which a cut of the current capacity is undecided are split further,
@@ -11,7 +12,7 @@ prefixes, so rows find their shard by comparison without a join. Slots are numbe
 each block's first slot, and a row number within the block the rest; no shard passes through one task.
 
 Cases: null text counts as empty (16 bytes, crc32 0) and shares the group of empty texts; ties and repeated rows get
-distinct slots; fewer groups than shards leave shards empty; an empty table gives an empty result; extra columns pass
+distinct slots (rows alike in ``keep`` and text are numbered in one task); fewer groups than shards leave shards empty; an empty table gives an empty result; extra columns pass
 through ``keep``.
 """
 
@@ -72,6 +73,25 @@ class _Order:
         return self.ends[i - 1] if i else 0
 
 
+    def spread(self, cap: int, shards: int) -> list[str]:
+        """First keys of shards within ``cap``, each near an equal part of what is left; a greedy pass within ``cap`` is known to fit."""
+        at, out = 0, []
+        for left in range(shards, 0, -1):
+            i = bisect_right(self.ends, at)
+            out.append(self.keys[i] if at < self.total else "~")
+            i = bisect_right(self.ends, at + -(-(self.total - at) // left))  # ends[i - 1] is at most the aim, ends[i] beyond it
+            aims = [self.ends[j] for j in (i, i - 1) if 0 <= j < len(self.ends) and at <= self.ends[j] <= at + cap]
+            aims.sort(key=lambda end: abs(end - at - (self.total - at) / left))
+            at = next((end for end in aims if self._reaches(end, cap, left - 1)), self._cut(at + cap, set(), False))
+        return out
+
+    def _reaches(self, at: int, cap: int, shards: int) -> bool:
+        """Whether a greedy pass over whole prefixes surely gets from ``at`` to the end."""
+        for _ in range(shards):
+            at = self._cut(at + cap, set(), False)
+        return at >= self.total
+
+
 def minimax_bounds(groups: DataFrame, shards: int) -> tuple[list[str], list[str], int]:
     """(first digest prefix of each shard, digests that have a shard of their own, capacity). ``groups``: digest, bytes."""
     own, total = [], groups.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
@@ -92,7 +112,7 @@ def minimax_bounds(groups: DataFrame, shards: int) -> tuple[list[str], list[str]
             lo = cap + 1
         else:
             order.split(undecided)
-    return best, own, hi
+    return order.spread(hi, left) if best else best, own, hi
 
 
 def shard_by_bytes(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, overhead: int = 16) -> DataFrame:
@@ -105,7 +125,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", te
     firsts, own, _ = minimax_bounds(groups, shards)
     placed = rows.withColumn("shard", _shard(F.col("digest"), firsts, own).cast("int"))
     blocks = max(4, -(-rows.count() // (BLOCK_ROWS * shards)))
-    placed = placed.withColumn("block", F.pmod(F.xxhash64(*keep), F.lit(blocks)))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64(*keep, "digest"), F.lit(blocks)))
     sizes = placed.groupBy("shard", "block").agg(F.count("*").alias("n"))
     starts = sizes.withColumn("start", F.sum("n").over(Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))).select("shard", "block", F.coalesce("start", F.lit(0)).alias("start"))
     nth = F.row_number().over(Window.partitionBy("shard", "block").orderBy(*keep, "digest")) - 1
