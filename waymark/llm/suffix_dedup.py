@@ -3,21 +3,23 @@
 Removes each byte that is covered by a ``LENGTH``-byte string which also starts anywhere else; matches do not cross texts.
 
 1. Texts are scanned for anchors: the leftmost smallest ``GRAM``-byte window hash among those inside each ``LENGTH``-byte string.
-   Equal strings have equal anchors at equal offsets, so every repeat shows at a pair of anchors with equal grams. The scan
-   also hashes an anchor's context, the bytes around it that a repeat can reach. Copies of a whole text are dealt with by its
-   hash and enter once.
-2. Grams that occur once are dropped by a count. Equal contexts are repeats as they stand. Grams with several different contexts get the bytes of one of each.
-3. The contexts of a gram are sorted by what follows and by what precedes the anchor: multikey quicksort on eight-byte words to
-   a shallow depth, then blind tries for groups that are still equal there. From the two orders with their common-prefix
-   lengths follow the longest repeat that reaches left and the longest that reaches right; together they are one span.
+   Equal strings have equal anchors at equal offsets, so every repeat shows at a pair of anchors with equal grams. Copies of a
+   whole text (equal in 128 bits of hash and in length) enter once; their number is kept.
+2. Grams that occur once are dropped by a count. An anchor's context is the bytes around it that a repeat can reach. Before they
+   are shuffled, contexts are thinned to two of each, found by 128 bits of hash: two are enough to show that it repeats.
+3. The contexts of a gram, equal ones included, are sorted by what follows and by what precedes the anchor: multikey quicksort on
+   eight-byte words to a shallow depth, then blind tries for groups that are still equal there. From the two orders with their
+   common-prefix lengths follow the longest repeat that reaches left and the longest that reaches right; together one span.
+   Bytes decide here, for contexts of different texts as for those of one.
 4. Spans are merged per text and cut out.
 
-A gram of more than ``GROUP`` different contexts is not gathered in a task: all strings around its anchors are counted by digest
-instead, with a partial aggregate and an equi-join back, which gives the same spans. Between different contexts bytes decide;
-64-bit hashes stand for equal contexts and texts. Rounds are written to the shared folder.
+A gram that still has more than ``GROUP`` contexts is not gathered in a task; the exact way for these: all strings around its anchors are
+counted by digest, with a partial aggregate and an equi-join back, which gives the same spans. Counts and sets that meet large
+tables are written first, so that adaptive execution may split hot keys in the joins. Rounds are written to the shared folder.
 
 Cases: null text counts as empty; texts shorter than ``LENGTH`` lose nothing; repeated rows are copies of each other and lose
-everything from ``LENGTH`` bytes on; an empty table gives an empty result; extra columns are ignored unless named in ``keep``.
+everything from ``LENGTH`` bytes on; an empty table gives an empty result; extra columns are ignored unless named in ``keep``,
+clashing result names get an underscore.
 """
 
 from __future__ import annotations
@@ -28,14 +30,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from waymark.llm.common import column_names, ship, stage
 
-LENGTH, GRAM = 400, 240
-#: Different contexts of a gram that one task sorts, at most.
+LENGTH, GRAM = 400, 120
+#: Contexts of a gram that one task sorts, at most.
 GROUP = 20_000
 #: Depth of the quicksort in eight-byte words; groups of this size or less go to the blind trie at once.
 SHALLOW, FEW = 4, 8
@@ -209,62 +211,66 @@ def reach(before: list[bytes], after: list[bytes], length: int, gram: int) -> tu
 
 
 def _scan(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """Columns h, t to a row for each anchor: h, len, at, gram and context hash."""
+    """Columns h1, h2, t to h1, h2, len and anchors: position, gram hash, two halves of the context's hash."""
     reach_left = length - gram
     for whole in batches:
         for lo in range(0, whole.num_rows, 512):
             batch = whole.slice(lo, 512)
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(2).to_pylist()
             got = [anchors(t, length, gram) for t in texts]
-            x = [xxhash.xxh3_64_intdigest(t[max(0, i - reach_left) : i + length], seed=min(i, reach_left)) for t, (p, _) in zip(texts, got) for i in p.tolist()]
-            n = [len(p) for p, _ in got]
-            cols = (
-                np.repeat(batch.column(0).to_numpy(), n), np.repeat(np.array([len(t) for t in texts], np.int32), n),
-                np.concatenate([p for p, _ in got]).astype(np.int32), np.concatenate([h for _, h in got]), np.array(x, np.uint64).view(np.int64),
-            )
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["h", "len", "at", "g", "x"])
+            x = b"".join(xxhash.xxh3_128_digest(t[max(0, i - reach_left) : i + length], seed=min(i, reach_left)) for t, (p, _) in zip(texts, got) for i in p.tolist())
+            halves = np.frombuffer(x, np.int64).reshape(-1, 2)
+            parts = (np.concatenate([p for p, _ in got]).astype(np.int32), np.concatenate([h for _, h in got]), halves[:, 0], halves[:, 1])
+            ends = np.concatenate([[0], np.cumsum([len(p) for p, _ in got])]).astype(np.int32)
+            spots = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(c)) for c in parts], names=["at", "g", "x1", "x2"]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(t) for t in texts], pa.int32()), spots], names=["h1", "h2", "len", "anchors"])
+
+
+_KEYS = ("g", "x1", "x2")
 
 
 def _contexts(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
+    """Columns t, spots to a row for each spot: its keys, the preceding bytes backwards, the gram and what follows."""
     for whole in batches:
         for lo in range(0, whole.num_rows, 128):
             batch = whole.slice(lo, 128)
-            out: tuple[list, ...] = ([], [], [], [])
+            out: tuple[list, ...] = ([], [], [], [], [])
             for text, spots in zip(*(batch.column(i).to_pylist() for i in range(2))):
                 for s in spots:
                     at = s["at"]
-                    for col, v in zip(out, (s["g"], s["x"], text[max(0, at - length + gram) : at][::-1], text[at : at + length])):
+                    for col, v in zip(out, (*(s[k] for k in _KEYS), text[max(0, at - length + gram) : at][::-1], text[at : at + length])):
                         col.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["g", "x", "before", "after"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(),) * 3 + (pa.binary(),) * 2)], names=[*_KEYS, "before", "after"])
 
 
 def _sort_groups(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """Contexts ordered by gram to (g, x, l, r), how far repeats reach; a group may run over several batches."""
-    held: tuple[list, ...] = ([], [], [])
-    last, out = None, ([], [], [], [])
+    """Contexts ordered by gram to (g, x1, x2, l, r), how far repeats reach, a row for each different context; a group may run over several batches."""
+    keys, before, after = [], [], []
+    out: tuple[list, ...] = ([], [], [], [], [])
 
     def close():
-        if len(held[0]) > 1:
-            left, right = reach(held[1], held[2], length, gram)
-            for i in np.flatnonzero(left >= 0).tolist():
-                for col, v in zip(out, (last, held[0][i], int(left[i]), int(right[i]))):
+        if len(keys) > 1:
+            left, right = reach(before, after, length, gram)
+            found = {keys[i]: (int(left[i]), int(right[i])) for i in np.flatnonzero(left >= 0).tolist()}
+            for key, reached in found.items():
+                for col, v in zip(out, (*key, *reached)):
                     col.append(v)
-        for col in held:
-            col.clear()
+        for held in (keys, before, after):
+            held.clear()
 
     def made():
-        got = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["g", "x", "l", "r"])
+        got = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(),) * 3 + (pa.int32(),) * 2)], names=[*_KEYS, "l", "r"])
         for col in out:
             col.clear()
         return got
 
     for batch in batches:
-        for g, *rest in zip(*(batch.column(i).to_pylist() for i in range(4))):
-            if g != last:
+        for *key, b, a in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            if keys and key[0] != keys[0][0]:
                 close()
-                last = g
-            for col, v in zip(held, rest):
-                col.append(v)
+            keys.append(tuple(key))
+            before.append(b)
+            after.append(a)
         yield made()
     close()
     yield made()
@@ -284,42 +290,46 @@ def _cut(data: bytes, spans: list, n_copies: int, length: int) -> tuple[int, int
     return len(data), len(data) - len(left), runs, left
 
 
+def _hashes(data: Column) -> tuple[Column, Column]:
+    return F.xxhash64(data).alias("h1"), F.xxhash64(F.lit("second"), data).alias("h2")
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP, text_col: str = "text") -> DataFrame:
-    """(h, len, n, spans): by text, its number of copies and the byte spans [a, b) that repeats cover; texts without either are left out."""
+    """(h1, h2, len, n, spans): by text, its number of copies and the byte spans [a, b) that repeats cover; texts without either are left out."""
     ship(docs.sparkSession)
     data = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    texts = docs.select(F.xxhash64(data).alias("h"), data.alias("t")).filter(F.octet_length("t") >= length)
-    found = stage(texts.mapInArrow(lambda it: _scan(it, length, gram), "h long, len int, at int, g long, x long"), "suffix-anchors")
-    copies = texts.groupBy("h", F.octet_length("t").alias("len")).agg(F.count("*").alias("n"))
-    often = found.groupBy("g").agg(F.count("*").alias("k")).filter("k > 1").select("g")
-    spots = stage(found.join(often, "g").dropDuplicates(["h", "at"]), "suffix-spots")
-    sets = stage(spots.groupBy("g", "x").agg(F.count("*").alias("k"), F.min(F.struct("h", "at")).alias("one")), "suffix-sets")
-    many = sets.groupBy("g").agg(F.count("*").alias("kinds")).filter("kinds > 1")
-    need = sets.join(many, "g").select(F.col("one.h").alias("h"), F.struct(F.col("one.at").alias("at"), "g", "x").alias("s"))
-    need = need.groupBy("h").agg(F.collect_list("s").alias("spots"))
-    around = texts.join(need, "h").dropDuplicates(["h"]).select("t", "spots").mapInArrow(lambda it: _contexts(it, length, gram), "g long, x long, before binary, after binary")
-    hot, counted = many.filter(F.col("kinds") > group).select("g"), None
+    texts = docs.select(*_hashes(data), data.alias("t")).filter(F.octet_length("t") >= length)
+    shape = "h1 long, h2 long, len int, anchors array<struct<at:int,g:long,x1:long,x2:long>>"
+    scanned = texts.mapInArrow(lambda it: _scan(it, length, gram), shape).groupBy("h1", "h2", "len").agg(F.count("*").alias("n"), F.first("anchors").alias("anchors"))
+    known = stage(scanned.withColumn("tid", F.monotonically_increasing_id()), "suffix-anchors")
+    found = known.select("tid", "len", F.inline("anchors"))
+    often = stage(found.groupBy("g").agg(F.count("*").alias("k")).filter("k > 1").select("g"), "suffix-grams")
+    spots = stage(found.join(often, "g"), "suffix-spots")
+    sets = stage(spots.groupBy(*_KEYS).agg(F.min(F.struct("tid", "at")).alias("lo"), F.max(F.struct("tid", "at")).alias("hi")), "suffix-sets")
+    need = sets.select(*_KEYS, F.explode(F.array_distinct(F.array("lo", "hi"))).alias("one")).select(F.col("one.tid").alias("tid"), F.struct(F.col("one.at").alias("at"), *_KEYS).alias("s"))
+    need = need.groupBy("tid").agg(F.collect_list("s").alias("spots")).join(known.select("tid", "h1", "h2"), "tid")
+    around = texts.dropDuplicates(["h1", "h2"]).join(need, ["h1", "h2"]).select("t", "spots")
+    around = around.mapInArrow(lambda it: _contexts(it, length, gram), "g long, x1 long, x2 long, before binary, after binary")
+    sizes = sets.groupBy("g").agg(F.sum(F.when(F.col("lo") == F.col("hi"), 1).otherwise(2)).alias("rows"))
+    hot, counted = stage(sizes.filter(F.col("rows") > group).select("g"), "suffix-hot"), None
     if hot.limit(1).count():
         around = stage(around, "suffix-contexts")
         counted, around = _by_digest(around.join(hot, "g"), length), around.join(hot, "g", "left_anti")
-    reached = around.repartition("g").sortWithinPartitions("g").mapInArrow(lambda it: _sort_groups(it, length, gram), "g long, x long, l int, r int")
-    if counted is not None:
-        reached = reached.unionByName(counted)
-    before, after = F.least(F.col("at"), F.lit(length - gram)), F.least(F.col("len") - F.col("at"), F.lit(length))
-    alike = spots.join(sets.filter("k > 1").select("g", "x"), ["g", "x"]).filter(before + after >= length).select("h", (F.col("at") - before).alias("a"), (F.col("at") + after).alias("b"))
-    partly = spots.join(reached, ["g", "x"]).select("h", (F.col("at") - F.col("l")).alias("a"), (F.col("at") + F.col("r")).alias("b"))
-    spans = alike.unionByName(partly).groupBy("h").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
-    return copies.join(spans, "h", "left").filter("n > 1 or spans is not null")
+    reached = around.repartition("g").sortWithinPartitions("g").mapInArrow(lambda it: _sort_groups(it, length, gram), "g long, x1 long, x2 long, l int, r int")
+    reached = stage(reached if counted is None else reached.unionByName(counted), "suffix-reached")
+    spans = spots.join(reached, [*_KEYS]).select("tid", (F.col("at") - F.col("l")).alias("a"), (F.col("at") + F.col("r")).alias("b"))
+    spans = spans.groupBy("tid").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+    return stage(known.select("tid", "h1", "h2", "len", "n").join(spans, "tid", "left").filter("n > 1 or spans is not null").drop("tid"), "suffix-spans")
 
 
 def _by_digest(around: DataFrame, length: int) -> DataFrame:
     """Reach of repeats around hot grams: every string around an anchor is counted by its digest over all contexts."""
     forward = F.unhex(F.array_join(F.reverse(F.regexp_extract_all(F.hex("before"), F.lit(".."), F.lit(0))), ""))
-    whole = around.select("g", "x", F.octet_length("before").alias("k"), F.concat(forward, F.col("after")).alias("t"))
+    whole = around.select(*_KEYS, F.octet_length("before").alias("k"), F.concat(forward, F.col("after")).alias("t"))
     starts = F.sequence(F.lit(0), F.least(F.col("k"), F.octet_length("t") - length))
-    strings = whole.filter(F.octet_length("t") >= length).select("g", "x", "k", "t", F.explode(starts).alias("i")).select("g", "x", (F.col("k") - F.col("i")).alias("l"), F.md5(F.substring("t", F.col("i") + 1, F.lit(length))).alias("s"))
-    often = strings.groupBy("g", "l", "s").agg(F.count("*").alias("n")).filter("n > 1").select("g", "l", "s")
-    return strings.join(often, ["g", "l", "s"]).groupBy("g", "x").agg(F.max("l").alias("l"), (F.lit(length) - F.min("l")).cast("int").alias("r"))
+    strings = whole.filter(F.octet_length("t") >= length).select(*_KEYS, "k", "t", F.explode(starts).alias("i")).select(*_KEYS, (F.col("k") - F.col("i")).alias("l"), F.md5(F.substring("t", F.col("i") + 1, F.lit(length))).alias("s"))
+    often = stage(strings.groupBy("g", "l", "s").agg(F.count("*").alias("n")).filter("n > 1").select("g", "l", "s"), "suffix-strings")
+    return strings.join(often, ["g", "l", "s"]).groupBy(*_KEYS).agg(F.max("l").alias("l"), (F.lit(length) - F.min("l")).cast("int").alias("r"))
 
 
 def suffix_dedup(docs: DataFrame, keep: list[str] | None = None, length: int = LENGTH, gram: int = GRAM, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
@@ -331,7 +341,7 @@ def suffix_dedup(docs: DataFrame, keep: list[str] | None = None, length: int = L
     kinds = [T.LongType(), T.LongType(), T.LongType(), T.StringType()] + [T.BinaryType()] * with_text
     schema, k = T.StructType([*base.schema.fields, *(T.StructField(n, t) for n, t in zip(names, kinds))]), len(keep)
     data = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    rows = docs.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), data.alias("t"), F.xxhash64(data).alias("h"), F.octet_length(data).alias("len")).join(spans, ["h", "len"], "left").select(*(f"k{i}" for i in range(k)), "t", "spans", "n")
+    rows = docs.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), data.alias("t"), *_hashes(data), F.octet_length(data).alias("len")).join(spans, ["h1", "h2", "len"], "left").select(*(f"k{i}" for i in range(k)), "t", "spans", "n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
