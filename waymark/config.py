@@ -60,6 +60,15 @@ class Settings:
     drift_sigma: float = 1.5
     rrf_k: int = 60
     depth: int = 30
+    filtered_depth: int = 300
+    supporting: int = 3
+    place_facts: int = 3
+    insight_facts: int = 8
+    nearby_m: float = 500.0
+    nearby_quotes: int = 2
+    name_within_m: float = 25_000.0
+    trips_shown: int = 15
+    keep_profiles: int = 12
     answer_limit: int = 8
     subject_facts: int = 8
     ask_reach_m: float = 30_000.0

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.config import DEFAULT, Settings
+from waymark.operators.orders import with_rank
 
 
 def through_themes(history: DataFrame, themes: DataFrame) -> DataFrame:
@@ -71,6 +72,28 @@ def insights(history: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
     return rows.select("topic", "kind", size.alias("magnitude"), novelty.alias("novelty"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.coalesce("evidence", F.array().cast("array<string>")).alias("evidence"))
 
 
+# The order of lifecycle stages and of changes.
+STAGE_ORDER = ("new", "returned", "growing", "declining", "dormant", "stable")
+CHANGE_ORDER = ("appeared", "gone", "stronger", "weaker", "steady")
+
+
+def _place_in(value: str, order: tuple[str, ...]) -> Column:
+    return F.array_position(F.array(*(F.lit(x) for x in order)), F.col(value)).asc()
+
+
+def trend_in_order(trend: DataFrame) -> DataFrame:
+    """Trends with ``rank``: the largest change first; differences beyond twelve digits are none."""
+    return with_rank(trend, F.desc(F.round(F.abs(F.col("strength") - F.col("baseline")), 12)), F.asc("topic"))
+
+
+def lifecycles_in_order(lifecycles: DataFrame) -> DataFrame:
+    return with_rank(lifecycles, _place_in("stage", STAGE_ORDER), F.desc(F.round("strength", 12)), F.asc("topic"))
+
+
+def comparison_in_order(comparison: DataFrame) -> DataFrame:
+    return with_rank(comparison, _place_in("change", CHANGE_ORDER), F.desc(F.round(F.abs(F.col("after") - F.col("before")), 12)), F.asc("topic"))
+
+
 def discoveries(insights: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
     """The findings of most novelty times importance."""
     importance = F.least(F.lit(1.0), "magnitude") * F.least(F.lit(1.0), F.size("evidence") / cfg.importance_full)
@@ -95,13 +118,14 @@ def mixed_pairs(insights: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
     held = insights.filter("kind = 'enduring'").select(F.col("topic").alias("held"), F.col("magnitude").alias("m1"))
     up = insights.filter("kind = 'rising'").select(F.col("topic").alias("rising"), F.col("magnitude").alias("m2"))
     rows = held.join(F.broadcast(up.orderBy(F.desc("m2"), "rising").limit(cfg.mixed_limit + 1)), F.col("held") != F.col("rising"))  # the best products need no other rising topics
-    return rows.withColumn("product", F.col("m1") * F.col("m2")).orderBy(F.desc("product"), "held", "rising").limit(cfg.mixed_limit)
+    return rows.withColumn("product", F.col("m1") * F.col("m2")).orderBy(F.desc(F.round("product", 12)), "held", "rising").limit(cfg.mixed_limit)
 
 
 def revivals(lifecycles: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
     """Dormant topics that were seen often enough: by former strength."""
     rows = lifecycles.filter((F.col("stage") == "dormant") & (F.col("seen_profiles") >= cfg.min_seen))
-    return rows.select(F.col("topic").alias("reference"), "seen_profiles", "baseline", F.least(F.lit(1.0), F.col("seen_profiles") / cfg.suggestion_full).alias("confidence"), F.row_number().over(Window.orderBy(F.desc("baseline"), "topic")).alias("rank"))
+    rows = rows.select(F.col("topic").alias("reference"), "seen_profiles", "baseline", F.least(F.lit(1.0), F.col("seen_profiles") / cfg.suggestion_full).alias("confidence"))
+    return with_rank(rows, F.desc("baseline"), F.asc("reference"))
 
 
 def suggestions(revisits: DataFrame, revivals: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:

@@ -6,25 +6,39 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.config import DEFAULT, Settings
+from waymark.functions.geo import metres, nearest_within
 
-# A citation of facts, alone, listed or as a range; a number; the shortest number that is checked; the length of a quote.
+# A citation of facts, alone, listed or as a range; a number; the shortest number that is checked; the length of a quote;
+# the sentences that facts are told in.
 CITED = r"\[\s*F\s*(\d+)(?:\s*(?:,|-|--|to)\s*F?\s*(\d+))*\s*\]"
 NUMBER = r"\d[\d,._]*"
 MIN_DIGITS = 2
 QUOTE_LENGTH = 90
+SUBJECT_FACT = "Subject '%s' was seen at %d recorded sightings between %s and %s (score %.2f, confidence %.2f)."
+PLACE_FACT = "Place '%s' was visited: %d recorded sightings between %s and %s (score %.2f)."
+NEARBY_FACT = "Near %s you photographed: %s"
+MEASURED_FACT = "%d photographs and %d outings were measured."
+PLACES_FACT = "%d distinct places were visited; %s were never returned to."
+WEEKEND_FACT = "%s of outings happened on weekends."
+INSIGHT_FACT = "Interest '%s' %s (magnitude %.2f, confidence %.2f%s)."
+KIND_PHRASES = {
+    "new": "appeared for the first time", "returned": "came back after an absence", "rising": "grew", "declining": "shrank",
+    "dormant": "went quiet", "enduring": "stayed strong throughout",
+}
 
 
 def _numbers(group: Column) -> Column:
     return F.transform(F.regexp_extract_all(group, F.lit(r"\d+"), F.lit(0)), lambda x: x.try_cast("long"))
 
 
-def cited_facts(story: Column) -> Column:
-    """Numbers of all cited facts in order. A pair with a dash and any group with ``to`` are ranges."""
+def cited_facts(story: Column, n_facts: Column) -> Column:
+    """Numbers of all cited facts in order. A pair with a dash and any group with ``to`` are ranges, written out within the facts there are."""
 
     def one(group: Column) -> Column:
         found = _numbers(group)
         ranged = ((F.size(found) == 2) & group.contains("-")) | group.contains("to")
-        return F.when(ranged, F.sequence(F.array_min(found), F.array_max(found))).otherwise(found)
+        lo, hi = F.greatest(F.array_min(found), F.lit(1)), F.least(F.array_max(found), n_facts.cast("long"))
+        return F.when(~ranged, found).when(lo <= hi, F.sequence(lo, F.greatest(lo, hi))).otherwise(F.array().cast("array<bigint>"))
 
     return F.flatten(F.transform(F.regexp_extract_all(story, F.lit(CITED), F.lit(0)), one))
 
@@ -91,8 +105,7 @@ def subject_facts(profile: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
     """Sentences on the strongest subjects of a profile (topic, score, confidence, evidence, first_at, last_at)."""
     top = profile.withColumn("strength", F.round(F.col("score") * F.col("confidence"), 12)).orderBy(F.desc("strength"), "topic").limit(cfg.subject_facts)
     month = lambda c: F.date_format(F.timestamp_seconds(c), "yyyy-MM")
-    text = "Subject '%s' was seen at %d recorded sightings between %s and %s (score %.2f, confidence %.2f)."
-    return top.select("topic", F.format_string(text, "topic", F.size("evidence"), month("first_at"), month("last_at"), F.bround("score", 2), F.bround("confidence", 2)).alias("fact"))
+    return top.select("topic", F.format_string(SUBJECT_FACT, "topic", F.size("evidence"), month("first_at"), month("last_at"), F.bround("score", 2), F.bround("confidence", 2)).alias("fact"))
 
 
 def health(photos: DataFrame, readings: DataFrame, profile_at: int) -> DataFrame:
@@ -102,10 +115,69 @@ def health(photos: DataFrame, readings: DataFrame, profile_at: int) -> DataFrame
     return a.join(F.broadcast(b))  # one row each
 
 
-def excluded(path: Column, globs: list[str]) -> Column:
-    """Whether a glob matches the relative path or the file name; ``*`` passes folders."""
-    out, name = F.lit(False), F.substring_index(path, "/", -1)
-    for glob in globs:
-        pattern = "^(?s:" + "".join(".*" if ch == "*" else "." if ch == "?" else "\\" + ch if not ch.isalnum() else ch for ch in glob) + ")$"
-        out = out | F.regexp_like(path, F.lit(pattern)) | F.regexp_like(name, F.lit(pattern))
-    return out
+def percent(share: Column) -> Column:
+    return F.concat(F.bround(share * 100, 0).cast("int"), F.lit("%"))
+
+
+def measure_facts(measures: DataFrame) -> DataFrame:
+    """(owner_id, nth, fact) of measures (owner_id, photographs, outings, places, one_time_rate, weekend_share)."""
+    facts = F.array(
+        F.format_string(MEASURED_FACT, "photographs", "outings"), F.format_string(PLACES_FACT, F.col("places"), percent(F.col("one_time_rate"))), F.format_string(WEEKEND_FACT, percent(F.col("weekend_share")))
+    )
+    return measures.select("owner_id", F.posexplode(facts).alias("nth", "fact"))
+
+
+def topic_points(topics: DataFrame) -> DataFrame:
+    """(topic, lat, lon) of place topics; others and unreadable ones go."""
+    number = lambda i: F.regexp_extract("topic", r"^place:(-?[0-9.]+),(-?[0-9.]+)$", i).try_cast("double")
+    return topics.select("topic").distinct().select("topic", number(1).alias("lat"), number(2).alias("lon")).filter("lat between -90 and 90 and lon between -180 and 180")
+
+
+def place_names(topics: DataFrame, names: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
+    """(topic, label): the nearest name (label, lat, lon) within reach of each place topic; without one a topic goes."""
+    points = topic_points(topics).withColumnRenamed("topic", "key")
+    return nearest_within(points, names, cfg.name_within_m).filter("label is not null").select(F.col("key").alias("topic"), "label")
+
+
+def nearby_quotes(points: DataFrame, singles: DataFrame, photos: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
+    """(topic, quotes): what the nearest answered single photographs of each point (topic, lat, lon) show, a cell join.
+
+    singles: photo_id, text; photos: photo_id, t, lat, lon. Ties in metres go by time, then text.
+    """
+    grid = 0.01
+    at = photos.filter("lat is not null and lon is not null").select("photo_id", "t", F.col("lat").alias("plat"), F.col("lon").alias("plon"))
+    told = singles.filter("text is not null").join(at, "photo_id").select("t", "plat", "plon", clipped(F.col("text")).alias("quote"))
+    told = told.withColumns({"cy": F.floor(F.col("plat") / grid), "cx": F.floor(F.col("plon") / grid)})
+    rows = F.ceil(F.lit(cfg.nearby_m / (grid * 111_000))).cast("int")
+    columns = F.ceil(cfg.nearby_m / (grid * 111_000 * F.greatest(F.cos(F.radians(F.abs("lat") + grid)), F.lit(0.01)))).cast("int")  # more of them towards the poles
+    near = points.select("topic", "lat", "lon", F.explode(F.sequence(-rows, rows)).alias("dy"), columns.alias("w")).withColumn("dx", F.explode(F.sequence(-F.col("w"), F.col("w"))))
+    near = near.withColumns({"cy": F.floor(F.col("lat") / grid) + F.col("dy"), "cx": F.floor(F.col("lon") / grid) + F.col("dx")})
+    d = F.round(metres(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon")), 3)
+    hits = near.join(told, ["cy", "cx"]).withColumn("d", d).filter(F.col("d") <= cfg.nearby_m)
+    best = Window.partitionBy("topic").orderBy("d", "t", "quote")
+    first = hits.withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= cfg.nearby_quotes)
+    return first.groupBy("topic").agg(F.transform(F.sort_array(F.collect_list(F.struct("nth", "quote"))), lambda x: x["quote"]).alias("quotes"))
+
+
+def place_facts(profile: DataFrame, names: DataFrame, quotes: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
+    """(owner_id, nth, fact): the strongest named places of a profile (owner_id, topic, score, confidence, evidence, first_at, last_at) and what was seen near them."""
+    strength = F.round(F.col("score") * F.col("confidence"), 12)
+    own = Window.partitionBy("owner_id").orderBy(F.desc(strength), "topic")
+    top = profile.join(names, "topic").withColumn("nth", F.row_number().over(own)).filter(F.col("nth") <= cfg.place_facts).join(quotes, "topic", "left")
+    month = lambda c: F.date_format(F.timestamp_seconds(c), "yyyy-MM")
+    one = F.format_string(PLACE_FACT, F.col("label"), F.size("evidence"), month("first_at"), month("last_at"), F.bround("score", 2))
+    two = F.when(F.size("quotes") > 0, F.format_string(NEARBY_FACT, F.col("label"), F.array_join("quotes", " / ")))
+    return top.select("owner_id", "nth", F.explode(F.array_compact(F.array(one, two))).alias("fact"))
+
+
+def insight_facts(insights: DataFrame, names: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
+    """(nth, fact): the first findings (topic, kind, magnitude, confidence, rank, and perhaps first_seen, last_seen as dates); unnamed places go."""
+    rows = insights.join(names, "topic", "left").filter(~F.col("topic").startswith("place:") | F.col("label").isNotNull()).orderBy("rank").limit(cfg.insight_facts)
+    phrase = F.lit(None).cast("string")
+    for kind, words in KIND_PHRASES.items():
+        phrase = F.when(F.col("kind") == kind, words).otherwise(phrase)
+    month = lambda c: F.date_format(c, "yyyy-MM")
+    known = {"first_seen", "last_seen"} <= set(insights.columns)
+    period = F.coalesce(F.concat(F.lit(", seen "), month("first_seen"), F.lit(" to "), month("last_seen")), F.lit("")) if known else F.lit("")
+    fact = F.format_string(INSIGHT_FACT, F.coalesce("label", "topic"), phrase, F.bround("magnitude", 2), F.bround("confidence", 2), period)
+    return rows.select(F.row_number().over(Window.orderBy("rank")).alias("nth"), fact.alias("fact"))  # at most as many rows as a story has facts

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from math import asin, cos, radians, sin, sqrt
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,66 +40,106 @@ def gap_sessions(photos: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
     return rows.withColumn("running", running).join(begun, ["owner_id", "day"]).withColumn("session", F.coalesce("running", "carried")).drop("running", "carried", "starts", "day")
 
 
-def _metres(a: float, b: float, c: float, d: float) -> float:
-    p, q = np.radians(a), np.radians(c)
-    x = np.sin((q - p) / 2) ** 2 + np.cos(p) * np.cos(q) * np.sin(np.radians(d - b) / 2) ** 2
-    return float(2 * EARTH_M * np.arcsin(np.sqrt(min(1.0, x))))
+def point_metres(a: float, b: float, c: float, d: float) -> float:
+    p, q = radians(a), radians(c)
+    x = sin((q - p) / 2) ** 2 + cos(p) * cos(q) * sin(radians(d - b) / 2) ** 2
+    return 2 * EARTH_M * asin(sqrt(min(1.0, x)))
 
 
-def stop_groups(t: np.ndarray, lat: np.ndarray, lon: np.ndarray, cfg: Settings = DEFAULT) -> np.ndarray:
-    """Group number of each photograph of one session, in order.
+class OpenStop:
+    """The stop that photographs of one session are added to in order; it holds sums, ends and ids.
 
-    A photograph stays with the group while it is near the group's centre so far, or has come from its predecessor at a
-    drifting pace; photographs at one instant have no pace.
+    A photograph stays with the stop while it is near the centre so far, or has come from its predecessor at a drifting pace;
+    photographs at one instant have no pace.
     """
-    out, group, n, y, x = np.zeros(len(t), int), 0, 0, 0.0, 0.0
-    for i in range(len(t)):
-        if n:
-            gap = (t[i] - t[i - 1]) / 1e6
-            near = _metres(y / n, x / n, lat[i], lon[i]) <= cfg.stay_radius_m
-            slow = not near and gap > 0 and _metres(lat[i - 1], lon[i - 1], lat[i], lon[i]) / 1000 / (gap / 3600) <= cfg.drift_kmh
-            if gap > cfg.max_gap_s or not (near or slow):
-                group, n, y, x = group + 1, 0, 0.0, 0.0
-        n, y, x = n + 1, y + lat[i], x + lon[i]
-        out[i] = group
-    return out
+
+    def __init__(self, cfg: Settings = DEFAULT):
+        self.cfg, self.ids = cfg, []
+
+    def joins(self, t: int, lat: float, lon: float) -> bool:
+        if not self.ids:
+            return True
+        gap, n = (t - self.t1) / 1e6, len(self.ids)
+        if gap > self.cfg.max_gap_s:
+            return False
+        if point_metres(self.y / n, self.x / n, lat, lon) <= self.cfg.stay_radius_m:
+            return True
+        return gap > 0 and point_metres(self.at[0], self.at[1], lat, lon) / 1000 / (gap / 3600) <= self.cfg.drift_kmh
+
+    def add(self, t: int, lt: int, lat: float, lon: float, photo_id) -> None:
+        if not self.ids:
+            self.t0, self.lt0, self.y, self.x = t, lt, 0.0, 0.0
+        self.t1, self.lt1, self.at = t, lt, (lat, lon)
+        self.y, self.x = self.y + lat, self.x + lon
+        self.ids.append(photo_id)
+
+    def row(self, owner) -> tuple:
+        n = len(self.ids)
+        return owner, self.t0, self.t1, self.lt0, self.lt1, self.y / n, self.x / n, n, self.ids
+
+
+def stop_groups(t: np.ndarray, lat: np.ndarray, lon: np.ndarray, cfg: Settings = DEFAULT) -> np.ndarray:
+    """Group number of each photograph of one session, in order."""
+    out, group, stop = [], 0, OpenStop(cfg)
+    for i, (at, y, x) in enumerate(zip(t.tolist(), lat.tolist(), lon.tolist())):
+        if not stop.joins(at, y, x):
+            group, stop = group + 1, OpenStop(cfg)
+        stop.add(at, at, y, x, i)
+        out.append(group)
+    return np.array(out, int)
 
 
 STOP_SCHEMA = "owner_id long, t0 long, t1 long, lt0 long, lt1 long, lat double, lon double, n_photos long, photo_ids array<string>"
+_STOP_TYPES = [pa.int64()] * 5 + [pa.float64()] * 2 + [pa.int64(), pa.list_(pa.string())]
+_STOP_NAMES = [c.split()[0] for c in STOP_SCHEMA.split(", ")]
 
 
 def stops(photos: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
     """Groups of photographs taken at one place, with ``is_stay``; the others were taken in transit.
 
-    The fold depends on order, so it runs in a grouped map; the silence cut makes sessions independent groups.
+    The fold depends on order. The silence cut makes sessions independent, so sessions are dealt out and sorted by Spark, and a
+    task folds its sorted rows with nothing in memory but a batch and the open stop.
     """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t", "photo_id"])
-        g = stop_groups(pdf["t"].to_numpy(), pdf["lat"].to_numpy(), pdf["lon"].to_numpy(), cfg)
-        by = pdf.groupby(g, sort=True)
-        return pd.DataFrame({"owner_id": by["owner_id"].first(), "t0": by["t"].min(), "t1": by["t"].max(), "lt0": by["lt"].first(), "lt1": by["lt"].last(), "lat": by["lat"].mean(), "lon": by["lon"].mean(), "n_photos": by.size(), "photo_ids": by["photo_id"].agg(list)})
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, stop, done = None, OpenStop(cfg), []
+        for batch in batches:
+            for owner, session, photo_id, t, lt, lat, lon in zip(*(c.to_pylist() for c in batch.columns)):
+                if (owner, session) != key or not stop.joins(t, lat, lon):
+                    if stop.ids:
+                        done.append(stop.row(key[0]))
+                    key, stop = (owner, session), OpenStop(cfg)
+                stop.add(t, lt, lat, lon, photo_id)
+            yield _stop_batch(done)
+            done = []
+        yield _stop_batch([stop.row(key[0])] if stop.ids else [])
 
     rows = gap_sessions(located(photos), cfg).select("owner_id", "session", "photo_id", "t", "lt", "lat", "lon")
-    groups = rows.groupBy("owner_id", "session").applyInPandas(fold, STOP_SCHEMA)
+    groups = rows.repartition("owner_id", "session").sortWithinPartitions("owner_id", "session", "t", "photo_id").mapInArrow(fold, STOP_SCHEMA)
     stay = (F.col("t1") - F.col("t0") >= cfg.min_stay_s * 1_000_000) | (F.col("n_photos") >= cfg.min_photos)
     return groups.withColumn("is_stay", stay)
 
 
+def _stop_batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else [()] * len(_STOP_NAMES)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, _STOP_TYPES)], names=_STOP_NAMES)
+
+
 def stays(photos: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
-    return stops(photos, cfg).filter("is_stay").drop("is_stay")
+    """Stops that are stays, with ``stop``: their first photograph, which no other stop has."""
+    return stops(photos, cfg).filter("is_stay").drop("is_stay").withColumn("stop", F.get("photo_ids", F.lit(0)))
 
 
 def numbered_stops(stays: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
     """Stays with ``outing`` (a number per owner): a new one after a silence of more than the longest absence."""
-    w = Window.partitionBy("owner_id").orderBy("t0")
+    w = Window.partitionBy("owner_id").orderBy("t0", "t1")
     new = F.when(F.col("t0") - F.lag("t1").over(w) <= cfg.max_absence_s * 1_000_000, 0).otherwise(1)
     return stays.withColumn("new", new).withColumn("outing", F.sum("new").over(w)).drop("new")
 
 
 def outings(numbered: DataFrame) -> DataFrame:
     """One row an outing: its content key, range, stops, photographs and kilometres between consecutive stops."""
-    w = Window.partitionBy("owner_id", "outing").orderBy("t0")
+    w = Window.partitionBy("owner_id", "outing").orderBy("t0", "t1")
     leg = metres(F.col("lat"), F.col("lon"), F.lead("lat").over(w), F.lead("lon").over(w))
     return numbered.withColumn("leg", leg).groupBy("owner_id", "outing").agg(
         content_key(F.flatten(F.collect_list("photo_ids"))).alias("outing_id"),
@@ -106,11 +149,13 @@ def outings(numbered: DataFrame) -> DataFrame:
 
 
 def nearest_origin(stops: DataFrame, origins: DataFrame) -> DataFrame:
-    """Stops with ``home_m``, the distance to their owner's nearest origin (owner_id, lat, lon): a join by owner."""
-    o = origins.select("owner_id", F.col("lat").alias("olat"), F.col("lon").alias("olon"))
-    d = metres(F.col("lat"), F.col("lon"), F.col("olat"), F.col("olon"))
-    best = stops.join(o, "owner_id").groupBy("owner_id", "t0").agg(F.min(d).alias("home_m"))
-    return stops.join(best, ["owner_id", "t0"])
+    """Stops with ``home_m``, the distance to their owner's nearest origin (owner_id, lat, lon); stops of owners without one go.
+
+    One join: an owner's origins, few and far fewer than the stops, come as one array.
+    """
+    o = origins.groupBy("owner_id").agg(F.collect_list(F.struct("lat", "lon")).alias("origins"))
+    d = F.array_min(F.transform("origins", lambda p: metres(F.col("lat"), F.col("lon"), p["lat"], p["lon"])))
+    return stops.join(o, "owner_id").withColumn("home_m", d).drop("origins")
 
 
 def trips(numbered: DataFrame, origins: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
@@ -127,3 +172,17 @@ def trips(numbered: DataFrame, origins: DataFrame, cfg: Settings = DEFAULT) -> D
         .withColumn("nights", day("lt1") - day("lt0"))
         .filter("nights >= 1")
     )
+
+
+def trips_newest_first(trips: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
+    """An owner's latest trips with ``rank``, newest first."""
+    rank = F.row_number().over(Window.partitionBy("owner_id").orderBy(F.desc("t0")))
+    return trips.withColumn("rank", rank).filter(F.col("rank") <= cfg.trips_shown)
+
+
+def outing_photographs(numbered: DataFrame) -> DataFrame:
+    """(owner_id, outing_id, nth, photo_id): the photographs of each outing's stops, in the order of the stops."""
+    nth = F.row_number().over(Window.partitionBy("owner_id", "outing").orderBy("t0", "t1"))
+    ids = outings(numbered).select("owner_id", "outing", "outing_id")
+    rows = numbered.withColumn("nth", nth).join(ids, ["owner_id", "outing"])
+    return rows.select("owner_id", "outing_id", "nth", F.explode("photo_ids").alias("photo_id"))

@@ -58,6 +58,56 @@ def parse_screen(answer: Column, categories: tuple[str, ...], sensitive: tuple[s
     return F.struct(kind.alias("category"), F.when(kind.isin(*sensitive), F.array().cast("array<string>")).otherwise(labels).alias("labels"))
 
 
+# Words of a theme's name, at most; kinds of photographs that are captioned one by one.
+MOST_NAME_WORDS = 3
+CAPTIONED_KINDS = ("photo", "other")
+
+
+def parse_theme_name(answer: Column) -> Column:
+    """One short name of a JSON string, a fenced answer or a bare word or three; null for anything longer or empty."""
+    bare = F.trim(F.replace(F.replace(answer, F.lit("```json"), F.lit("")), F.lit("```"), F.lit("")), F.lit(" \t\r\n"))
+    line = F.trim(F.get(F.split(bare, r"\r\n|[\n\r]"), 0), F.lit("\"'`[]{} "))
+    words = F.filter(F.split(F.lower(F.trim(line)), r"(?U)\s+"), lambda w: w != "")
+    return F.when(F.size(words).between(1, MOST_NAME_WORDS), F.array_join(words, " "))
+
+
+def lone_photographs(photos: DataFrame, stays: DataFrame) -> DataFrame:
+    """Photographs outside all stays that may be captioned one by one: of a fitting kind, not withheld, with a thumbnail."""
+    told = F.coalesce(F.col("kind").isin(*CAPTIONED_KINDS), F.lit(True)) & F.coalesce("preference", F.lit(True)) & F.col("thumbnail").isNotNull()
+    return photos.filter(told).join(stays.select(F.explode("photo_ids").alias("photo_id")).distinct(), "photo_id", "left_anti")
+
+
+def usage(calls: DataFrame) -> DataFrame:
+    """One row: calls, tokens in and out, failures. calls: refused, input_tokens, output_tokens; a refused call counts without its tokens."""
+    fine = F.col("refused").isNull()
+    tokens = lambda c: F.coalesce(F.sum(F.when(fine, F.col(c))), F.lit(0))
+    return calls.agg(F.count("*").alias("calls"), tokens("input_tokens").alias("input_tokens"), tokens("output_tokens").alias("output_tokens"), F.count_if(~fine).alias("failures"))
+
+
+class Unavailable(Exception):
+    """The model can't be reached now: the stage pauses. Any other error is a refusal of the whole run and is raised."""
+
+
+def embed(pending: DataFrame, embedder: Callable[[list[str]], list[list[float]]], model: str, chunk: int = 32) -> DataFrame:
+    """(doc_key, model, embedding) of pending documents (doc_key, text), ``chunk`` texts a call.
+
+    A part whose model becomes unavailable gives out what it has and leaves the rest pending, so the next run, over the
+    documents without a vector, goes on from there.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for lo in range(0, len(f), chunk):
+                part = f.iloc[lo : lo + chunk]
+                try:
+                    vectors = embedder(part["text"].tolist())
+                except Unavailable:
+                    return
+                yield pd.DataFrame({"doc_key": part["doc_key"].tolist(), "model": model, "embedding": vectors})
+
+    return pending.select("doc_key", "text").mapInPandas(run, "doc_key string, model string, embedding array<double>")
+
+
 def theme_groups(vectors: np.ndarray, stays: list[set], order: list[int], cfg: Settings = DEFAULT) -> list[list[int]]:
     """Labels in order join the most alike group so far: alike enough, or fairly alike and seen on the same stays; small groups go."""
     unit = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)

@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from math import ceil, cos, floor, radians
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.config import DEFAULT, Settings
 from waymark.functions.geo import EARTH_M, metres
 from waymark.functions.keys import place_reference
+from waymark.operators.journeys import point_metres
 from waymark.operators.measures import in_hours, wall_hour, wall_weekday
 
 DAY_US = 86_400_000_000
+_POINT = re.compile(r"place:(-?\d+(?:\.\d+)?),(-?\d+(?:\.\d+)?)$")
 
 
 def _all_metres(lat: float, lon: float, lats: np.ndarray, lons: np.ndarray) -> np.ndarray:
@@ -21,17 +28,47 @@ def _all_metres(lat: float, lon: float, lats: np.ndarray, lons: np.ndarray) -> n
     return 2 * EARTH_M * np.arcsin(np.sqrt(np.minimum(1.0, x)))
 
 
+class Places:
+    """Places in order of founding with their running centres, found through grid cells of the centres."""
+
+    def __init__(self, radius_m: float):
+        self.radius_m, self.sums, self.cells, self.where = radius_m, [], {}, []
+        self.step = radius_m / 111_000  # degrees of latitude that the radius spans, a little more
+
+    def _cell(self, lat: float, lon: float) -> tuple[int, int]:
+        return floor(lat / self.step), floor(lon / self.step)
+
+    def place(self, lat: float, lon: float) -> int:
+        """The first place, in order of founding, whose mean centre lies within the radius, or a new one; the stay joins it."""
+        cy, cx = self._cell(lat, lon)
+        wide = ceil(1.0 / max(cos(radians(min(89.9, abs(lat) + 2 * self.step))), 1e-3)) if abs(lat) < 85 else None
+        if wide is None or 180 - abs(lon) < (wide + 1) * self.step:  # cells are no help near the poles and the date line
+            near = range(len(self.sums))
+        else:
+            near = sorted(i for y in (cy - 1, cy, cy + 1) for x in range(cx - wide, cx + wide + 1) for i in self.cells.get((y, x), ()))
+        for i in near:
+            n, y, x = self.sums[i]
+            if point_metres(y / n, x / n, lat, lon) <= self.radius_m:
+                break
+        else:
+            i = len(self.sums)
+            self.sums.append((0, 0.0, 0.0))
+            self.where.append(None)
+        n, y, x = self.sums[i]
+        self.sums[i] = n, y, x = n + 1, y + lat, x + lon
+        cell = self._cell(y / n, x / n)
+        if cell != self.where[i]:
+            if self.where[i] is not None:
+                self.cells[self.where[i]].discard(i)
+            self.where[i] = cell
+            self.cells.setdefault(cell, set()).add(i)
+        return i
+
+
 def first_near(lat: np.ndarray, lon: np.ndarray, radius_m: float) -> np.ndarray:
     """Each stay goes to the first place, in order of founding, whose mean centre lies within the radius."""
-    out, n, y, x = np.zeros(len(lat), int), np.zeros(0), np.zeros(0), np.zeros(0)
-    for i in range(len(lat)):
-        hit = np.flatnonzero(_all_metres(lat[i], lon[i], y / n, x / n) <= radius_m) if len(n) else ()
-        if len(hit):
-            j = hit[0]
-        else:
-            j, n, y, x = len(n), np.append(n, 0.0), np.append(y, 0.0), np.append(x, 0.0)
-        n[j], y[j], x[j], out[i] = n[j] + 1, y[j] + lat[i], x[j] + lon[i], j
-    return out
+    places = Places(radius_m)
+    return np.array([places.place(y, x) for y, x in zip(lat.tolist(), lon.tolist())], int)
 
 
 def grown(lat: np.ndarray, lon: np.ndarray, radius_m: float) -> np.ndarray:
@@ -49,16 +86,35 @@ def grown(lat: np.ndarray, lon: np.ndarray, radius_m: float) -> np.ndarray:
     return out
 
 
-def placed(stays: DataFrame, radius_m: float, how=first_near) -> DataFrame:
-    """Stays with ``place``, a number per owner. The clusterings depend on order, so an owner's stays (not photographs) form a group."""
+_PLACED = "owner_id long, stop string, t0 long, t1 long, lt0 long, lt1 long, lat double, lon double, n_photos long"
+
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t0")
+def placed(stays: DataFrame, radius_m: float, how=first_near) -> DataFrame:
+    """Stays with ``place``, a number per owner. The clusterings depend on order, so an owner's stays (not photographs) come in order to one task.
+
+    By first nearness a task holds an owner's places only, not the stays; other clusterings get an owner's stays at once.
+    """
+    names = [c.split()[0] for c in _PLACED.split(", ")]
+    rows = (stays if "stop" in stays.columns else stays.withColumn("stop", F.lit(None).cast("string"))).select(*names)
+    if how is first_near:
+
+        def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            owner, places = None, Places(radius_m)
+            for batch in batches:
+                found = []
+                for o, y, x in zip(batch.column("owner_id").to_pylist(), batch.column("lat").to_pylist(), batch.column("lon").to_pylist()):
+                    if o != owner:
+                        owner, places = o, Places(radius_m)
+                    found.append(places.place(y, x))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int64())], names=[*names, "place"])
+
+        return rows.repartition("owner_id").sortWithinPartitions("owner_id", "t0", "t1", "stop").mapInArrow(fold, _PLACED + ", place long")
+
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["t0", "t1", "stop"])
         return pdf.assign(place=how(pdf["lat"].to_numpy(), pdf["lon"].to_numpy(), radius_m))
 
-    cols = "owner_id long, t0 long, t1 long, lt0 long, lt1 long, lat double, lon double, n_photos long"
-    rows = stays.select(*(c.split()[0] for c in cols.split(", ")))
-    return rows.groupBy("owner_id").applyInPandas(fold, cols + ", place long")
+    return rows.groupBy("owner_id").applyInPandas(whole, _PLACED + ", place long")
 
 
 def _day(c: str):
@@ -103,7 +159,7 @@ def anchors(stays: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
 
 def place_profiles(placed: DataFrame) -> DataFrame:
     """Per place: visits (stays), first and last arrival, and the half-even median of the days between arrivals."""
-    w = Window.partitionBy("owner_id", "place").orderBy("t0")
+    w = Window.partitionBy("owner_id", "place").orderBy("t0", "t1")
     gaps = placed.withColumn("gap", _day("lt0") - F.lag(_day("lt0")).over(w))
     return gaps.groupBy("owner_id", "place").agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon"), F.count("*").alias("visits"), F.min("t0").alias("first_t"), F.max("t0").alias("last_t"), F.bround(F.median("gap")).cast("int").alias("gap_days"))
 
@@ -120,8 +176,8 @@ def regular_places(profiles: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
 def with_trip_visits(profiles: DataFrame, placed: DataFrame, trips: DataFrame, numbered: DataFrame) -> DataFrame:
     """Profiles with ``trip_visits``, their stays that belong to trips, and ``only_on_trips``."""
     on = trips.select("owner_id", F.explode("outings").alias("outing"))
-    stays = numbered.join(on, ["owner_id", "outing"], "left_semi").select("owner_id", "t0")
-    n = placed.join(stays, ["owner_id", "t0"], "left_semi").groupBy("owner_id", "place").agg(F.count("*").alias("trip_visits"))
+    stays = numbered.join(on, ["owner_id", "outing"], "left_semi").select("owner_id", "stop")
+    n = placed.join(stays, ["owner_id", "stop"], "left_semi").groupBy("owner_id", "place").agg(F.count("*").alias("trip_visits"))
     return profiles.join(n, ["owner_id", "place"], "left").withColumn("trip_visits", F.coalesce("trip_visits", F.lit(0))).withColumn("only_on_trips", F.col("trip_visits") == F.col("visits"))
 
 
@@ -138,6 +194,25 @@ def place_interests(places: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
     return places.filter("visit_days > 1").select("owner_id", place_reference(F.col("lat"), F.col("lon")).alias("topic"), (v / (v + 1)).alias("score"), (v / (v + 3) * (d / (d + cfg.span_half_days))).alias("confidence"), "first_day", "last_day")
 
 
+def place_profile(places: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
+    """Places of two days and more (``visit_days``) as a profile's interests: both ends are the evidence, ``pos`` is the place among an owner's places."""
+    nth = F.row_number().over(Window.partitionBy("owner_id").orderBy(F.desc("visit_days"), F.desc("n_photos"), "place")).cast("long")
+    v, d, topic = F.col("visit_days"), F.col("last_day") - F.col("first_day"), place_reference(F.col("lat"), F.col("lon"))
+    rows = places.withColumn("pos", nth).filter("visit_days > 1")
+    return rows.select("owner_id", topic.alias("topic"), (v / (v + 1)).alias("score"), (v / (v + 3) * (d / (d + cfg.span_half_days))).alias("confidence"), (F.col("first_day") * 86400).alias("first_at"), (F.col("last_day") * 86400).alias("last_at"), F.array(topic, topic).alias("evidence"), "pos")
+
+
+def anchors_in_order(anchors: DataFrame) -> DataFrame:
+    """Anchors with ``rank`` by owner: most days first, then in order of founding."""
+    return anchors.withColumn("rank", F.row_number().over(Window.partitionBy("owner_id").orderBy(F.desc("visit_days"), "place")))
+
+
+def profiles_in_order(profiles: DataFrame, most: int | None = None) -> DataFrame:
+    """Place profiles with ``rank`` by owner: most visits first, then from south to north and west to east."""
+    rows = profiles.withColumn("rank", F.row_number().over(Window.partitionBy("owner_id").orderBy(F.desc("visits"), "lat", "lon")))
+    return rows.filter(F.col("rank") <= most) if most else rows
+
+
 def revisits(profiles: DataFrame, today_us: int, cfg: Settings = DEFAULT) -> DataFrame:
     """Overdue places by owner: last seen more than twice the usual gap ago."""
     days = F.floor((F.lit(today_us) - F.col("last_t")) / DAY_US).cast("int")
@@ -154,19 +229,35 @@ def day_trips(profiles: DataFrame, reach: DataFrame, today_us: int, cfg: Setting
     rows = rows.join(o, "owner_id").groupBy("owner_id", "place", "lat", "lon", "visits", "days_since").agg(F.min(km).alias("km")).join(reach.select("owner_id", "usual_km"), "owner_id")
     rows = rows.filter((F.col("km") >= cfg.day_trip_min_km) & (F.col("km") <= F.col("usual_km"))).withColumn("reference", place_reference(F.col("lat"), F.col("lon")))
 
-    def thin(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["days_since", "km", "reference"], ascending=[False, True, True])
-        kept: list[int] = []
-        for i in range(len(pdf)):
-            y, x = pdf["lat"].iloc[kept].to_numpy(), pdf["lon"].iloc[kept].to_numpy()
-            if not (_all_metres(pdf["lat"].iloc[i], pdf["lon"].iloc[i], y, x) < cfg.neighbour_km * 1000).any():
-                kept.append(i)
-            if len(kept) == cfg.day_trip_cap:
-                break
-        return pdf.iloc[kept][["owner_id", "reference", "days_since", "km", "confidence"]]
-
-    rows = rows.withColumn("confidence", F.least(F.lit(1.0), F.col("visits") / cfg.suggestion_full)).select("owner_id", "reference", "days_since", "km", "confidence", "lat", "lon")
-    return rows.groupBy("owner_id").applyInPandas(thin, "owner_id long, reference string, days_since int, km double, confidence double")
+    rows = rows.withColumn("confidence", F.least(F.lit(1.0), F.col("visits") / cfg.suggestion_full))
+    order = F.row_number().over(Window.partitionBy("owner_id").orderBy(F.desc("days_since"), "km", "reference"))
+    kept = spread_out(rows.withColumn("nth", order).select("owner_id", "nth", "reference", "days_since", "km", "confidence"), cfg)
+    return kept.withColumn("k", F.row_number().over(Window.partitionBy("owner_id").orderBy("nth"))).filter(F.col("k") <= cfg.day_trip_cap).drop("nth", "k")
+
+
+def spread_out(suggestions: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
+    """Suggestions (owner_id, nth, reference, ...) without those near an earlier kept one of their owner; topics have no neighbourhood and pass.
+
+    Each depends on those kept before it, so an owner's sorted rows pass through one task, which holds the kept places alone.
+    """
+    names = suggestions.columns
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owner, points = None, []
+        for batch in batches:
+            keep = []
+            for o, reference in zip(batch.column("owner_id").to_pylist(), batch.column("reference").to_pylist()):
+                if o != owner:
+                    owner, points = o, []
+                found = _POINT.match(reference or "")
+                at = (float(found[1]), float(found[2])) if found else None
+                near = at is not None and any(point_metres(*p, *at) < cfg.neighbour_km * 1000 for p in points)
+                if at is not None and not near:
+                    points.append(at)
+                keep.append(not near)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return suggestions.select(*names).repartition("owner_id").sortWithinPartitions("owner_id", "nth").mapInArrow(fold, suggestions.schema)
 
 
 def density(photos: DataFrame, decimals: int = 2) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Centres (cell, latitude, longitude); cell 5 lies more than 50 km away from the rest.
@@ -87,7 +87,10 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = F.explode(F.array(*(F.struct(F.lit(i).alias("seq"), F.lit(d).alias("day")) for i, d in enumerate((8, 15, 22, 30)))))
     rows = p.withColumn("c", cut).select("photo_id", "k", F.col("c.seq").alias("seq"), F.col("c.day").alias("day"), (F.floor((F.col("t") - 1704067200 * 1_000_000) / DAY_US)).alias("d"))
     rows = rows.filter((F.col("d") < F.col("day")) & (F.col("d") >= F.col("day") - 8) & (F.pmod(F.col("k") % 12 + F.col("seq") * F.col("seq") * 2, F.lit(5)) < 3))
-    g = rows.groupBy("seq", "day", F.concat(F.lit("src "), F.col("k") % 12).alias("topic")).agg(F.count("*").alias("n"), F.slice(F.sort_array(F.collect_set("photo_id")), 1, 9).alias("refs"))
+    rows = rows.withColumn("topic", F.concat(F.lit("src "), F.col("k") % 12))
+    first = F.row_number().over(Window.partitionBy("seq", "topic").orderBy("photo_id"))
+    some = rows.withColumn("nth", first).filter("nth <= 9").groupBy("seq", "topic").agg(F.sort_array(F.collect_list("photo_id")).alias("refs"))
+    g = rows.groupBy("seq", "day", "topic").agg(F.count("*").alias("n")).join(some, ["seq", "topic"])
     share = F.lit(0.2) + F.pmod(F.regexp_extract("topic", r"\d+", 0).cast("int") * 5 + F.col("seq") * 3, F.lit(7)) / 10.0
     return g.select("seq", F.date_add(F.lit("2024-01-01").cast("date"), F.col("day").cast("int")).alias("generated_at"), "topic", (F.col("n") / (F.col("n") + 2)).alias("score"), share.alias("confidence"), "refs")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from waymark.functions.globs import excluded
+
 RECORD = "id string, captured_at string, location struct<lat:double,lon:double>, kind string, thumbnail string, consent struct<use_for_story:boolean,use_for_preferences:boolean>"
 ID_PATTERN = r"^sha256:[0-9a-f]{64}$"
 TIME_PATTERN = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})$"
@@ -65,14 +67,22 @@ def gazetteer(spark: SparkSession, path: str) -> DataFrame:
 
 
 def image_files(spark: SparkSession, path: str, exclude: list[str] | None = None) -> DataFrame:
-    """path, length and content of image files below a folder, one of each content, in path order; ``exclude`` are globs."""
+    """path, length and content id of image files below a folder, one of each content, in path order; globs of ``exclude`` match the path below it or the file name."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).filter(F.regexp_like("path", F.lit(r"(?i)\.(jpe?g|png|heic|webp|bmp|tiff?)$")))
-    for glob in exclude or []:
-        pattern = "".join(".*" if ch == "*" else "." if ch == "?" else "\\" + ch if not ch.isalnum() else ch for ch in glob)
-        rows = rows.filter(~F.regexp_like("path", F.lit(f"(^|/){pattern}$")))
+    if exclude:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        root = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString().rstrip("/")
+        rows = rows.filter(~excluded(F.substring("path", len(root) + 2, 2**31 - 1), exclude))
     return rows.withColumn("id", F.concat(F.lit("sha256:"), F.sha2("content", 256))).groupBy("id").agg(F.min("path").alias("path"), F.min("length").alias("length"))
 
 
+def ingest(records: DataFrame, accepted: str, skipped: str) -> None:
+    """Write sound records and, with their ``defects``, the skipped ones as JSON lines to two folders."""
+    rows = defects(records)
+    rows.filter(F.size("defects") == 0).drop("defects").write.json(accepted)
+    rows.filter(F.size("defects") > 0).write.json(skipped)
+
+
 def demo_library(spark: SparkSession, now_us: int, days: int = 120) -> DataFrame:
     """A made-up library: two outings a week between a home, a park and a far town; fixed by ``now_us``."""
     day = 86_400_000_000
