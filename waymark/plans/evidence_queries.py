@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from waymark.functions.globs import excluded
 from waymark.operators import change as C
 from waymark.operators import evidence as E
 from waymark.operators import interests as I
 from waymark.operators import retrieval as R
 from waymark.plans import journey_queries, reading_queries
+from waymark.plans.asking_queries import DOCS_BM25_SQL
 from waymark.plans.reading_queries import _SCORE, CAPTIONS_SQL, SEEN_SQL, _readings
 from waymark.sources.bindings import PHOTOS_SQL, photos, subjects, table
 
@@ -60,7 +62,7 @@ def narration_defects(spark, d):
     select doc_id, fact, count(*) as n from r group by all"""
 )
 def cited_fact_ranges(spark, d):
-    return _stories(spark, d).select("doc_id", F.explode(E.cited_facts(F.col("story"))).alias("fact")).groupBy("doc_id", "fact").agg(F.count("*").alias("n"))
+    return _stories(spark, d).select("doc_id", F.explode(E.cited_facts(F.col("story"), F.lit(100))).alias("fact")).groupBy("doc_id", "fact").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -87,8 +89,12 @@ def document_points(spark, d):
 
 
 @query(
-    rf"""with {CAPTIONS_SQL}, top as (select *, row_number() over (order by t desc, doc_key) as k from docs), flat as (select *, trim(regexp_replace(text, '\s+', ' ', 'g')) as f from top where k <= 8)
-    select count(*)::int as n, string_agg('[F' || k || '] (' || strftime(make_timestamp(t), '%Y-%m-%d') || ', ' || kind || ') ' || case when length(f) <= 90 then f else f[1:90] || '...' end, chr(10) order by k) as facts from flat"""
+    f"""with {CAPTIONS_SQL}, {DOCS_BM25_SQL},
+    vec as (select 'stay:' || vec_id as doc_key, list_inner_product(embedding::double[], (select embedding::double[] from embeddings where vec_id = 0)) as score from embeddings where 'stay:' || vec_id in (select doc_key from docs) order by score desc, doc_key limit 30),
+    rk as (select doc_key, row_number() over (order by score desc, doc_key) as r from bm where score > 0 qualify r <= 30 union all select doc_key, row_number() over (order by score desc, doc_key) from vec),
+    best as (select doc_key, sum(1.0::double / (60 + r)) as score from rk group by doc_key order by score desc, doc_key limit 8),
+    told as (select docs.*, row_number() over (order by score desc, docs.doc_key) as k from best join docs on docs.doc_key = best.doc_key)
+    select count(*)::int as n, string_agg('[F' || k || '] (' || strftime(make_timestamp(t), '%Y-%m-%d') || ', ' || kind || ') ' || text, chr(10) order by k) as facts from told"""
 )
 def numbered_facts(spark, d):
     docs = R.gather(*_readings(spark, d), photos(spark, d))
@@ -106,7 +112,7 @@ def clipped_quotes(spark, d):
 @query(
     f"""with {SEEN_SQL}, p as ({_SCORE.format('plain')}), k as (select *, row_number() over (order by round(score * confidence, 9) desc, topic) as nth from p)
     select topic, printf('Subject ''%s'' was seen at %d recorded sightings between %s and %s (score %.2f, confidence %.2f).', topic, len(string_split(evidence, ',')), strftime(to_timestamp(first_at), '%Y-%m'), strftime(to_timestamp(last_at), '%Y-%m'),
-      round_even(score, 2), round_even(confidence, 2)) as fact from k where nth <= 3"""
+      round_even(score, 2), round_even(confidence, 2)) as fact from k where nth <= 8"""
 )
 def subject_facts(spark, d):
     return E.subject_facts(I.subject_interests(subjects(spark, d)))
@@ -130,7 +136,7 @@ def included_files(spark, d):
     k = F.col("p_partkey")
     pick = lambda xs, i: F.element_at(F.array(*(F.lit(x) for x in xs)), (i + 1).cast("int"))
     path = F.concat(pick(["backup/a/", "trip/", ""], k % 3), F.lit("img"), k, pick([".png", ".jpg", ".jpeg"], k % 4 % 3))
-    return table(spark, d, "part").select("p_partkey", path.alias("path")).filter(~E.excluded(F.col("path"), ["backup/*", "*.png", "img?.jp*"])).select("p_partkey")
+    return table(spark, d, "part").select("p_partkey", path.alias("path")).filter(~excluded(F.col("path"), ["backup/*", "*.png", "img?.jp*"])).select("p_partkey")
 
 
 @query(

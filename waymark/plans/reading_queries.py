@@ -209,9 +209,9 @@ def suggest_revive(spark, d):
 
 
 CAPTIONS_SQL = f"""{PHOTOS_SQL}, n_events as (select count(*) as n from events),
-captions as (select doc_id as key, ['photo-' || (doc_id % n), 'photo-' || ((doc_id * 7 + 1) % n)] as photo_ids, case when doc_id % 9 <> 0 then substr(text, 1, 40) end as text from documents, n_events where doc_id % 3 = 0),
-singles as (select 'photo-' || (doc_id % n) as photo_id, case when doc_id % 10 <> 1 then substr(text, 1, 40) end as text from documents, n_events where doc_id % 3 = 1),
-shots as (select 'photo-' || (doc_id % n) as photo_id, case when doc_id % 4 = 0 then 'chat' else 'article' end as category, substr(text, 1, 40) as text from documents, n_events where doc_id % 3 = 2),
+captions as (select doc_id as key, ['photo-' || (doc_id % n), 'photo-' || ((doc_id * 7 + 1) % n)] as photo_ids, case when doc_id % 9 <> 0 then text end as text from documents, n_events where doc_id % 3 = 0),
+singles as (select 'photo-' || (doc_id % n) as photo_id, case when doc_id % 10 <> 1 then text end as text from documents, n_events where doc_id % 3 = 1),
+shots as (select 'photo-' || (doc_id % n) as photo_id, case when doc_id % 4 = 0 then 'chat' else 'article' end as category, text as text from documents, n_events where doc_id % 3 = 2),
 docs as (
   select 'stay:' || key as doc_key, 'stay' as kind, text, min(p.t) as t from (select key, text, unnest(photo_ids) as photo_id from captions where text is not null) c join photos p on p.photo_id = c.photo_id group by key, text
   union all select 'single:' || s.photo_id, 'single', text, t from singles s join photos p on p.photo_id = s.photo_id where text is not null and coalesce(preference, true)
@@ -373,7 +373,7 @@ PROFILES_SQL = "profs as (select o_orderkey as seq, cast(o_orderdate as date) as
 
 
 @query(
-    f"""with {PROFILES_SQL}, r as (select *, row_number() over (order by seq desc) as recent from profs), o as (select *, row_number() over (partition by strftime(generated_at, '%Y-%m') order by seq) as first from r where recent > 12)
+    f"""with {PROFILES_SQL}, r as (select *, row_number() over (order by generated_at desc, seq desc) as recent from profs), o as (select *, row_number() over (partition by strftime(generated_at, '%Y-%m') order by generated_at, seq) as first from r where recent > 12)
     select seq, strftime(generated_at, '%Y-%m-%d') as generated_at from o where first > 1"""
 )
 def retention_thin_profiles(spark, d):
