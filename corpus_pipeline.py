@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.llm import byte_bpe, decontaminate, line_dedup, near_dedup, toxicity
-from waymark.llm.common import crc_of_id, stage, table
+from waymark.llm.common import column_names, crc_of_id, stage, table
 from waymark.llm.queries import tokenizer_path, tokenizer_pattern
 
 #: Documents whose toxicity reaches this score go.
@@ -34,9 +34,10 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of near copies, once."""
-    kept = near_dedup.near_dedup(docs, ALIKE).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    left = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
-    return left.withColumn("text_key", F.xxhash64("text")).dropDuplicates(["doc_id", "text_key"]).select(*docs.columns)
+    kept_id, text_key = column_names(docs, "kept_id", "text_key")
+    kept = near_dedup.near_dedup(docs, ALIKE).filter("kept").select(F.col("doc_id").alias(kept_id)).distinct()
+    left = docs.join(kept, F.col("doc_id").eqNullSafe(F.col(kept_id)), "left_semi")
+    return left.withColumn(text_key, F.xxhash64("text")).dropDuplicates(["doc_id", text_key]).select(*docs.columns)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
