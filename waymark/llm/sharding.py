@@ -13,7 +13,7 @@ each block's first slot, and a row number within the block the rest; no shard pa
 
 Cases: null text counts as empty (16 bytes, crc32 0) and shares the group of empty texts; ties and repeated rows get
 distinct slots (rows alike in ``keep`` and text are numbered in one task); fewer groups than shards leave shards empty; an empty table gives an empty result; extra columns pass
-through ``keep``.
+through ``keep``, clashing result names get an underscore.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from waymark.llm.common import stage
+from waymark.llm.common import column_names, stage
 
 #: Rows that one numbering task takes, about.
 BLOCK_ROWS = 1_000_000
@@ -118,19 +118,22 @@ def minimax_bounds(groups: DataFrame, shards: int) -> tuple[list[str], list[str]
 def shard_by_bytes(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, overhead: int = 16) -> DataFrame:
     """``keep`` columns plus size, text_crc32, law, shard, slot and grown_shard."""
     keep = [id_col] if keep is None else keep
+    held = [f"k{i}" for i in range(len(keep))]
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(*keep, (F.octet_length(text) + overhead).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.sha2(text, 256).alias("digest"))
+    rows = docs.select(*(F.col(c).alias(k) for c, k in zip(keep, held)), (F.octet_length(text) + overhead).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.sha2(text, 256).alias("digest"))
     rows = stage(rows, "shard-rows")
     groups = stage(rows.groupBy("digest").agg(F.sum("size").alias("bytes")), "shard-groups")
     firsts, own, _ = minimax_bounds(groups, shards)
     placed = rows.withColumn("shard", _shard(F.col("digest"), firsts, own).cast("int"))
     blocks = max(4, -(-rows.count() // (BLOCK_ROWS * shards)))
-    placed = placed.withColumn("block", F.pmod(F.xxhash64(*keep, "digest"), F.lit(blocks)))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64(*held, "digest"), F.lit(blocks)))
     sizes = placed.groupBy("shard", "block").agg(F.count("*").alias("n"))
     starts = sizes.withColumn("start", F.sum("n").over(Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))).select("shard", "block", F.coalesce("start", F.lit(0)).alias("start"))
-    nth = F.row_number().over(Window.partitionBy("shard", "block").orderBy(*keep, "digest")) - 1
+    nth = F.row_number().over(Window.partitionBy("shard", "block").orderBy(*held, "digest")) - 1
     placed = placed.withColumn("nth", nth).join(F.broadcast(starts), ["shard", "block"])  # shards x blocks rows, a few bytes each
-    return placed.select(*keep, "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("start") + F.col("nth")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    made = {"size": F.col("size"), "text_crc32": F.col("text_crc32"), "law": F.lit("bytes"), "shard": F.col("shard"), "slot": (F.col("start") + F.col("nth")).cast("long"), "grown_shard": F.lit(None).cast("int")}
+    names = column_names(docs.select(*keep), *made)
+    return placed.select(*(F.col(k).alias(c) for c, k in zip(keep, held)), *(v.alias(n) for v, n in zip(made.values(), names)))
 
 
 def _shard(digest: Column, firsts: list[str], own: list[str]) -> Column:
