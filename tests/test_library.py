@@ -143,3 +143,87 @@ def test_ranks_over_many_parts(spark):
     want = sorted(((i * 37 % 101, i) for i in range(500)), key=lambda p: (-p[0], p[1]))
     assert rows(with_rank(df, F.desc("v"), F.asc("id")), "rank", "v", "id") == [(k + 1, *p) for k, p in enumerate(want)]
     assert with_rank(df.limit(0), F.asc("id")).count() == 0
+
+
+def exif_jpeg() -> bytes:
+    """A JPEG head with camera metadata, little-endian, written by hand."""
+    import struct
+
+    def part(entries, at):
+        """Directory at ``at``: entries (tag, type, count, bytes); long values follow it."""
+        body, tail, where = struct.pack("<H", len(entries)), b"", at + 2 + 12 * len(entries) + 4
+        for tag, kind, count, data in entries:
+            if len(data) <= 4:
+                body += struct.pack("<HHI", tag, kind, count) + data.ljust(4, b"\0")
+            else:
+                body += struct.pack("<HHII", tag, kind, count, where + len(tail))
+                tail += data
+        return body + struct.pack("<I", 0) + tail
+
+    dms = lambda *v: b"".join(struct.pack("<II", a, b) for a, b in v)
+    exif = [(0x9003, 2, 20, b"2024:05:03 23:30:00\0"), (0x9011, 2, 7, b"+09:00\0")]
+    gps = [(1, 2, 2, b"S\0"), (2, 5, 3, dms((35, 1), (30, 1), (0, 1))), (3, 2, 2, b"E\0"), (4, 5, 3, dms((135, 1), (0, 1), (1800, 100)))]
+    make = b"Maker\0"
+    base = lambda e, g: [(0x010F, 2, len(make), make), (0x8769, 4, 1, struct.pack("<I", e)), (0x8825, 4, 1, struct.pack("<I", g))]
+    size = len(part(base(0, 0), 8))
+    e_at, g_at = 8 + size, 8 + size + len(part(exif, 8 + size))
+    tiff = b"II*\0" + struct.pack("<I", 8) + part(base(e_at, g_at), 8) + part(exif, e_at) + part(gps, g_at)
+    app = b"Exif\0\0" + tiff
+    return b"\xff\xd8\xff\xe1" + struct.pack(">H", len(app) + 2) + app + b"\xff\xc0" + struct.pack(">HBHH", 11, 8, 480, 640) + b"\0" * 4 + b"\xff\xda"
+
+
+def test_camera_metadata_of_files(spark):
+    from waymark.sources import images
+
+    files = spark.createDataFrame([("a", exif_jpeg()), ("b", b"not an image"), ("c", None), ("d", exif_jpeg()[:60])], "path string, content binary")
+    got = {r.path: r for r in images.taken(images.camera_tags(files), 0).collect()}
+    assert (got["a"].lat, round(got["a"].lon, 6), got["a"].camera, got["a"].width, got["a"].height) == (-35.5, 135.005, True, 640, 480)
+    assert got["a"].lt - got["a"].t == 9 * 3600 * 1_000_000
+    assert all(got[p].t is None and got[p].lat is None for p in "bcd")
+
+
+def test_thumbnails_never_leave_their_folder(spark, tmp_path):
+    from waymark.sources import images
+
+    (tmp_path / "in" / "x").mkdir(parents=True)
+    (tmp_path / "in" / "x" / "t.jpg").write_bytes(b"tiny")
+    (tmp_path / "secret").write_bytes(b"no")
+    made = [("a", "x/t.jpg"), ("b", "y/../x/./t.jpg"), ("c", "../secret"), ("d", "/etc/passwd"), ("e", "x/none.jpg"), ("f", None), ("g", "x/../../secret"), ("h", "file:///etc/passwd")]
+    rows = {r.photo_id: (None if r.content is None else bytes(r.content), r.refused) for r in images.thumbnails(spark, spark.createDataFrame(made, "photo_id string, thumbnail string"), str(tmp_path / "in")).collect()}
+    assert rows["a"] == rows["b"] == (b"tiny", None)
+    assert {k: v[1] for k, v in rows.items() if k in "cdgh"} == dict.fromkeys("cdgh", "no thumbnail: outside the folder")
+    assert rows["e"][1] == "no thumbnail: not found" and rows["f"][1] == "no thumbnail: none given"
+
+
+def test_payloads(spark):
+    import json
+
+    from waymark.operators import payloads
+
+    profile = spark.createDataFrame([(2, "tea", 0.5, 0.25, 0, 86400, ["photo:a"]), (1, "place:35.12345,135.98765", 0.75, 0.5, 0, 0, ["place:35.12345,135.98765"])], "rank long, topic string, score double, confidence double, first_at long, last_at long, evidence array<string>")
+    got = json.loads(payloads.profile_payload(profile, "2024-01-01", blur=True).first().payload)
+    assert [i["topic"] for i in got["interests"]] == ["place:35.12,135.99", "tea"] and got["interests"][0]["evidence"] == [{"kind": "journey", "reference": "place:35.12,135.99"}]
+    assert json.loads(payloads.profile_payload(profile.limit(0), "x").first().payload)["interests"] == []
+    trend = spark.createDataFrame([(1, "tea", "new", 0.5, 0.0)], "rank long, topic string, direction string, strength double, baseline double")
+    assert json.loads(payloads.trend_payload(trend, "a", "b").first().payload)["trends"] == [{"topic": "tea", "direction": "new", "strength": 0.5, "baseline": 0.0}]
+
+
+def test_ingest_writes_both_outputs(spark, tmp_path):
+    from tests.test_sources import record
+    from waymark.sources import records
+
+    df = spark.read.schema(records.RECORD).json(spark.sparkContext.parallelize([__import__("json").dumps(r) for r in (record(), record(id="x"))]))
+    records.ingest(df, str(tmp_path / "ok"), str(tmp_path / "skipped"))
+    assert spark.read.json(str(tmp_path / "ok")).count() == 1
+    assert [list(r.defects) for r in spark.read.json(str(tmp_path / "skipped")).collect()] == [["identifier"]]
+
+
+def test_unsound_interests_and_demo_profiles(spark):
+    from waymark.sources import records
+
+    rows = [("a", 0.5, 0.5, 0, 1, ["x"]), ("", 2.0, None, 2, 1, []), ("c", 0.5, 0.5, 0, 0, None)]
+    df = spark.createDataFrame(rows, "topic string, score double, confidence double, first_at long, last_at long, evidence array<string>")
+    assert sorted(list(r.defects) for r in I.unsound(df).collect()) == [["evidence"], ["topic", "score", "confidence", "evidence", "span"]]
+    readings = records.demo_readings(records.demo_library(spark, 1_700_000_000_000_000))
+    got = records.demo_profiles(readings)
+    assert got.filter("topic = 'kitchen'").count() >= 4 and got.filter("score <= 0 or score >= 1").count() == 0

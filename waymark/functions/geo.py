@@ -15,6 +15,16 @@ def metres(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     return 2 * EARTH_M * F.asin(F.sqrt(F.least(F.lit(1.0), chord)))
 
 
+def kmh(distance_m: Column, seconds: Column) -> Column:
+    """Speed; null where no time has passed."""
+    return F.try_divide(distance_m * 3.6, seconds)
+
+
+def contains(lat: Column, lon: Column, radius_m: Column, other_lat: Column, other_lon: Column) -> Column:
+    """Whether an area, its edge included, holds a point."""
+    return metres(lat, lon, other_lat, other_lon) <= radius_m
+
+
 def metres_sql(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
     """The same as ANSI SQL text."""
     return f"(2 * {EARTH_M} * asin(sqrt(least(1.0, pow(sin((radians({lat2}) - radians({lat1})) / 2), 2) + cos(radians({lat1})) * cos(radians({lat2})) * pow(sin((radians({lon2}) - radians({lon1})) / 2), 2)))))"

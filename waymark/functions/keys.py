@@ -50,3 +50,17 @@ def blurred(reference: Column, decimals: int = 2) -> Column:
     """A place reference with its coordinates rounded; others pass."""
     number = lambda i: F.bround(F.regexp_extract(reference, r"^place:(-?[0-9.]+),(-?[0-9.]+)$", i).try_cast("double"), decimals)
     return F.when(reference.startswith("place:"), F.format_string(f"place:%.{decimals}f,%.{decimals}f", number(1), number(2))).otherwise(reference)
+
+
+# What the sources are called, in the order in which they are named.
+SOURCE_LABELS = {"photograph": "photograph", "journey": "journey", "stay_caption": "stay caption", "single_caption": "single caption", "screen": "screen reading", "kept_reading": "kept reading", "activity": "daily activity"}
+
+
+def read_from(references: Column) -> Column:
+    """``read from a, b and c``: the sources of an array of references in their fixed order; empty without references."""
+    present = F.transform(references, source_of)
+    named = F.filter(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in SOURCE_LABELS.items())), lambda x: F.array_contains(present, x["k"]))
+    labels = F.transform(named, lambda x: x["v"])
+    most = F.array_join(F.slice(labels, F.lit(1), F.greatest(F.size(labels) - 1, F.lit(0))), ", ")
+    told = F.when(F.size(labels) == 1, F.get(labels, F.lit(0))).otherwise(F.concat(most, F.lit(" and "), F.get(labels, F.size(labels) - 1)))
+    return F.when(F.coalesce(F.size(labels), F.lit(0)) > 0, F.concat(F.lit("read from "), told)).otherwise("")

@@ -98,3 +98,8 @@ def overlaps(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
 def gap(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
     """What lies between two spans, in their unit; 0 when they share a moment."""
     return F.greatest(b0 - a1, a0 - b1, F.lit(0))
+
+
+def days_between(earlier: Column, later: Column) -> Column:
+    """Whole days from one moment to another, both in microseconds of one clock; a part of a day before is a day back."""
+    return F.floor((later - earlier) / DAY_US)

@@ -132,3 +132,13 @@ def ranked(profile: DataFrame) -> DataFrame:
     """Interests with ``rank``: strongest first; equals in the order of assembly where there is one, then by topic."""
     order = [F.asc(c) for c in ("section", "pos") if c in profile.columns]
     return with_rank(profile, F.desc("score"), *order, F.asc("topic"))
+
+
+def unsound(profile: DataFrame) -> DataFrame:
+    """Interests with ``defects``: no topic, score or confidence out of bounds, no evidence, an end before the beginning."""
+    share = lambda c: ~F.coalesce(F.col(c).between(0.0, 1.0), F.lit(False))
+    found = F.array(
+        F.when(F.coalesce("topic", F.lit("")) == "", "topic"), F.when(share("score"), "score"), F.when(share("confidence"), "confidence"),
+        F.when(F.coalesce(F.size("evidence"), F.lit(0)) <= 0, "evidence"), F.when(F.col("first_at") > F.col("last_at"), "span"),
+    )
+    return profile.withColumn("defects", F.array_compact(found)).filter(F.size("defects") > 0)

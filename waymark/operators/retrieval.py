@@ -65,6 +65,27 @@ def bm25(documents: DataFrame, words: list[str]) -> DataFrame:
     return rows.join(F.broadcast(stats)).select("doc_key", score.alias("score")).filter("score > 0")
 
 
+def token_table(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(term, doc_key, tf, dl) and one row of statistics (docs, avgdl): what an index keeps, so that questions need not read texts.
+
+    Kept partitioned by a hash of the term, a question reads its own terms' parts alone.
+    """
+    rows = documents.select("doc_key", F.regexp_extract_all(F.lower("text"), F.lit(TOKEN), F.lit(0)).alias("w"))
+    stats = rows.agg(F.count("*").alias("docs"), F.avg(F.size("w").cast("double")).alias("avgdl"))
+    terms = rows.select("doc_key", F.size("w").cast("double").alias("dl"), F.explode("w").alias("term")).groupBy("term", "doc_key", "dl").agg(F.count("*").cast("double").alias("tf"))
+    return terms, stats
+
+
+def bm25_indexed(terms: DataFrame, stats: DataFrame, words: list[str]) -> DataFrame:
+    """``bm25`` from a token table."""
+    hits = terms.filter(F.col("term").isin(words))
+    seen = hits.groupBy("term").agg(F.count("*").alias("df"))
+    rows = hits.join(F.broadcast(seen), "term").join(F.broadcast(stats))  # a row for each asked word, and one row
+    idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    score = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    return rows.groupBy("doc_key").agg(F.sum(score).alias("score"))
+
+
 def dense(embeddings: DataFrame, query: list[float], depth: int) -> DataFrame:
     """(doc_key, score): the best dot products; vectors of another width are skipped."""
     q = F.array(*(F.lit(float(x)) for x in query))

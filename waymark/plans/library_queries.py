@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from waymark.functions.geo import metres_sql
-from waymark.functions.keys import content_key
+from waymark.functions.keys import content_key, read_from
 from waymark.operators import asking as A
 from waymark.operators import change as C
 from waymark.operators import evidence as E
@@ -13,6 +13,7 @@ from waymark.operators import interests as I
 from waymark.operators import journeys as J
 from waymark.operators import measures as M
 from waymark.operators import models as L
+from waymark.operators import payloads as Y
 from waymark.operators import places as P
 from waymark.operators import retrieval as R
 from waymark.operators import stewardship as S
@@ -20,7 +21,7 @@ from waymark.operators.orders import with_rank
 from waymark.plans import journey_queries as V
 from waymark.plans import reading_queries as Q
 from waymark.plans.asking_queries import INSIGHTS_RANKED_SQL, LIBRARY_CORRECTIONS_SQL, library_corrections
-from waymark.sources.bindings import PHOTOS_SQL, SUBJECTS_SQL, photos, subjects, table, themes
+from waymark.sources.bindings import PHOTOS_SQL, SUBJECTS_SQL, THEMES_SQL, photos, subjects, table, themes
 
 QUERIES, SQL = {}, {}
 
@@ -326,6 +327,7 @@ def privacy_report(spark, d):
     return S.privacy_counts(t["photos"], t["captions"], t["singles"], t["screens"], t["subjects"], _profiles(spark, d), said, I.active_exclusions(said))
 
 
+_HISTORY_REST = Q.THEMED_SQL.replace(PHOTOS_SQL, "", 1).replace(f"{THEMES_SQL},", "", 1).replace("seen as (select topic, count(distinct seq)", "held as (select topic, count(distinct seq)").replace("coalesce(seen.topic, trend.topic)", "coalesce(held.topic, trend.topic)").replace("from seen full join trend on seen.topic", "from held full join trend on held.topic").lstrip(", \n")
 _TIMELINES = {"photographs": ("orders", "o_orderdate", "true"), "outings": ("lineitem", "l_shipdate", "l_linestatus = 'O'"), "screens": ("lineitem", "l_shipdate", "l_returnflag = 'R'")}
 TIMELINES_SQL = f"""moments as ({" union all ".join(f"select '{n}' as series, cast(date_trunc('month', {at}) as date) as month from {t} where {test}" for n, (t, at, test) in _TIMELINES.items())}),
 counts as (select series, month, count(*) as n from moments group by all), span as (select series, min(month) as a, max(month) as b from counts group by series),
@@ -349,3 +351,30 @@ def timelines_aligned(spark, d):
 @query(V.SQL["drift_stage"].replace(V.LINES_SQL, TIMELINES_SQL))
 def timelines_drift(spark, d):
     return M.drift(_timelines(spark, d)).withColumn("baseline", _r("baseline", 6))
+
+
+@query(
+    f"""with {DATED_SEEN_SQL}, p as ({_DATED_SCORE.format("spoken")}), {_HISTORY_REST}
+    select 'interests' as part, cast(row_number() over (order by round(score * confidence, 9) desc, topic) as int) as nth, topic, strftime(to_timestamp(first_at), '%Y-%m') as a, strftime(to_timestamp(last_at), '%Y-%m') as b from p
+    union all select 'lifecycles', cast(row_number() over (order by list_position(['new', 'returned', 'growing', 'declining', 'dormant', 'stable'], stage), round(strength, 12) desc, topic) as int), topic, stage, null from lif"""
+)
+def export_read_back(spark, d):
+    """The exported JSON document, read again."""
+    profile = I.subject_interests(_dated(spark, d), themes(spark)).withColumns({"score": _r("score"), "confidence": _r("confidence")})
+    stages = C.lifecycles_in_order(C.lifecycles(Q._history(spark, d)))
+    shape = "schema string, version int, interests array<struct<topic:string,score:double,confidence:double,first_seen:string,last_seen:string>>, lifecycles array<struct<topic:string,stage:string>>"
+    doc = Y.export_document(profile, stages, "2024-02-01").select(F.from_json("payload", shape).alias("x")).filter(f"x.schema = '{Y.EXPORT_SCHEMA}' and x.version = {Y.EXPORT_VERSION}")
+    one = doc.select(F.lit("interests").alias("part"), F.posexplode("x.interests").alias("nth", "i")).select("part", "nth", "i.topic", F.col("i.first_seen").alias("a"), F.col("i.last_seen").alias("b"))
+    two = doc.select(F.lit("lifecycles").alias("part"), F.posexplode("x.lifecycles").alias("nth", "i")).select("part", "nth", "i.topic", F.col("i.stage").alias("a"), F.lit(None).cast("string").alias("b"))
+    return one.unionByName(two).withColumn("nth", F.col("nth") + 1)
+
+
+@query(
+    """with r as (select p_partkey, p_partkey % 5 > 0 as j, p_partkey % 3 = 1 as c, p_partkey % 7 = 2 as s, p_partkey % 11 = 3 as p from part),
+    l as (select p_partkey, list_filter([case when p then 'photograph' end, case when j then 'journey' end, case when c then 'stay caption' end, case when s then 'screen reading' end], lambda x: x is not null) as l from r)
+    select p_partkey, case len(l) when 0 then '' when 1 then 'read from ' || l[1] else 'read from ' || array_to_string(l[:-2], ', ') || ' and ' || l[-1] end as told from l"""
+)
+def sources_told(spark, d):
+    k = F.col("p_partkey")
+    refs = F.array_compact(F.array(F.when(k % 7 == 2, "screen:1"), F.when(k % 5 > 0, "place:1,2"), F.when(k % 5 > 0, "place:3,4"), F.when(k % 3 == 1, "stay:x"), F.when(k % 11 == 3, "plain")))
+    return table(spark, d, "part").select("p_partkey", read_from(refs).alias("told"))

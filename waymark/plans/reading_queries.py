@@ -262,6 +262,11 @@ def bm25(spark, d):
     return R.bm25(_texts(spark, d), WORDS).withColumn("score", _r("score", 6))
 
 
+@query(f"with {BM25_SQL} select doc_key, round(score, 6) as score from bm where score > 0")
+def bm25_indexed(spark, d):
+    return R.bm25_indexed(*R.token_table(_texts(spark, d)), WORDS).withColumn("score", _r("score", 6))
+
+
 def _vectors(spark, d):
     v = table(spark, d, "embeddings")
     q = v.filter("vec_id = 0").select("embedding").first()[0]

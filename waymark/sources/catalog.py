@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Buckets of tables that are replaced in part.
+BUCKETS = 64
+
+
 class Catalog:
     """``root/name/v-*`` holds written parts; ``root/name/current/NUMBER`` lists the parts of a version, the highest number counts.
 
@@ -97,10 +101,28 @@ class Catalog:
     def delete(self, name: str, gone: DataFrame, keys: list[str]) -> DataFrame:
         return self.replace(name, self.read(name).join(gone.select(*keys), keys, "left_anti"))
 
+    def replace_buckets(self, name: str, df: DataFrame, column: str, touched: list[int]) -> None:
+        """Put ``df`` in the place of all rows of the touched buckets of ``column``; parts of other buckets stay as they are."""
+        path, now = f"{self.root}/{name}/v-{uuid.uuid4().hex}", self._version(name)
+        df.withColumn("_bucket", self.bucket(F.col(column))).repartition("_bucket").write.partitionBy("_bucket").parquet(path)
+        folder, fs = self._at(path)
+        fresh = [f"{path}/{f.getPath().getName()}" for f in fs.listStatus(folder) if f.getPath().getName().startswith("_bucket=")]
+        self._point(name, [p for p in (now[1] if now else []) if int(p.rsplit("=", 1)[1]) not in touched] + fresh, now and now[0])
+
+    def read_buckets(self, name: str, touched: list[int]) -> DataFrame | None:
+        """The rows of these buckets; none if there are no parts."""
+        now = self._version(name)
+        parts = [p for p in now[1] if int(p.rsplit("=", 1)[1]) in touched] if now else []
+        return self.spark.read.option("mergeSchema", True).parquet(*parts) if parts else None
+
+    @staticmethod
+    def bucket(column: Column) -> Column:
+        return F.pmod(F.xxhash64(column), F.lit(BUCKETS)).cast("int")
+
     def vacuum(self, name: str) -> int:
         """Remove parts that the current version does not list; their number."""
         folder, fs = self._at(f"{self.root}/{name}")
-        listed = {p.rsplit("/", 1)[1] for p in self._version(name)[1]}
+        listed = {p[len(f"{self.root}/{name}/") :].split("/")[0] for p in self._version(name)[1]}
         old = [f.getPath() for f in fs.listStatus(folder) if f.getPath().getName().startswith("v-") and f.getPath().getName() not in listed]
         for path in old:
             fs.delete(path, True)

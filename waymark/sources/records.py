@@ -90,3 +90,20 @@ def demo_library(spark: SparkSession, now_us: int, days: int = 120) -> DataFrame
     spot = F.when(F.col("d") % 21 == 5, F.struct(F.lit(36.2).alias("lat"), F.lit(136.0).alias("lon"))).when(F.col("d") % 7 == 2, F.struct(F.lit(35.0).alias("lat"), F.lit(135.0).alias("lon"))).otherwise(F.struct(F.lit(35.1).alias("lat"), F.lit(135.0).alias("lon")))
     t = F.lit(now_us) - (F.lit(days) - F.col("d")) * day + F.col("i") * 300_000_000
     return rows.select(F.concat(F.lit("demo-"), "id").alias("photo_id"), F.lit(0).cast("long").alias("owner_id"), t.alias("t"), t.alias("lt"), spot["lat"].alias("lat"), spot["lon"].alias("lon"), F.lit("photo").alias("kind"), F.lit(None).cast("boolean").alias("preference"))
+
+
+def demo_readings(library: DataFrame) -> DataFrame:
+    """Readings (key, labels, at in seconds) of the made-up library: one a day and site, with labels of the site."""
+    site = F.when(F.col("lat") > 36, F.array(F.lit("temple"), F.lit("hill"))).when(F.col("lat") > 35.05, F.array(F.lit("park"), F.lit("dog"))).otherwise(F.array(F.lit("kitchen")))
+    day = F.floor(F.col("t") / 86_400_000_000)
+    return library.groupBy("owner_id", day.alias("day"), "lat", "lon").agg(F.min("t").alias("t")).select(F.concat_ws("-", F.lit("demo"), "owner_id", "day", F.round(F.col("lat") * 10).cast("int")).alias("key"), site.alias("labels"), F.floor(F.col("t") / 1_000_000).alias("at"))
+
+
+def demo_profiles(readings: DataFrame, every_days: int = 30) -> DataFrame:
+    """Kept profiles (seq, topic, score, confidence, refs) of the made-up readings: one after each span of days, over all readings until then."""
+    first = readings.agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    step = every_days * 86_400
+    cuts = first.select(F.explode(F.sequence(F.lit(1), F.greatest(F.ceil((F.col("last") - F.col("first") + 1) / step).cast("int"), F.lit(1)))).alias("seq"), "first")
+    rows = readings.join(F.broadcast(cuts), F.col("at") < F.col("first") + F.col("seq") * step)  # a row each span
+    g = rows.select("seq", "key", F.explode("labels").alias("topic")).groupBy("seq", "topic").agg(F.countDistinct("key").alias("n"), F.min("key").alias("ref"))
+    return g.select("seq", "topic", (F.col("n") / (F.col("n") + 2)).alias("score"), (F.col("n") / (F.col("n") + 4)).alias("confidence"), F.array("ref").alias("refs"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from waymark.operators.journeys import numbered_stops, outings, stays
 from waymark.sources.catalog import Catalog
+from waymark.sources.scratch import kept
 
 PHOTOS = "photo_id string, owner_id long, t long, lt long, lat double, lon double, kind string, preference boolean"
 
@@ -22,16 +23,27 @@ def session_counts(stream: DataFrame, lateness: str = "8 hours") -> DataFrame:
 
 
 def keep_journeys(stream: DataFrame, catalog: Catalog, checkpoint: str):
-    """Upsert each batch into ``photos`` and rebuild ``outings`` of the owners it touches."""
+    """Put each batch into ``photos`` and rebuild ``outings`` of the owners it touches, in the owners' buckets alone.
+
+    A batch that is run again gives the same tables. A photograph that comes again takes the place of the first.
+    """
 
     def batch(df: DataFrame, epoch: int) -> None:
-        if df.isEmpty():
+        df = kept(df, "batch")
+        touched = [r[0] for r in df.select(Catalog.bucket(F.col("owner_id"))).distinct().collect()]  # buckets, a fixed number at most
+        if not touched:
             return
-        touched = df.select("owner_id").distinct()
-        photos = catalog.upsert("photos", df, ["photo_id"])
-        fresh = outings(numbered_stops(stays(photos.join(F.broadcast(touched) if touched.count() < 100_000 else touched, "owner_id", "left_semi"))))
-        if catalog.exists("outings"):
-            fresh = catalog.read("outings").join(touched, "owner_id", "left_anti").unionByName(fresh)
-        catalog.replace("outings", fresh)
+        owners = df.select("owner_id").distinct()
+        fresh = df.groupBy("photo_id").agg(F.max(F.struct(*df.columns)).alias("r")).select("r.*")
+        stored = catalog.read_buckets("photos", touched)
+        if stored is not None:
+            fresh = stored.join(fresh.select("photo_id"), "photo_id", "left_anti").select(*df.columns).unionByName(fresh)
+        photos = kept(fresh, "photos")
+        journeys = outings(numbered_stops(stays(photos.join(owners, "owner_id", "left_semi"))))
+        old = catalog.read_buckets("outings", touched) if catalog.exists("outings") else None
+        if old is not None:
+            journeys = old.join(owners, "owner_id", "left_anti").select(*journeys.columns).unionByName(journeys)
+        catalog.replace_buckets("outings", journeys, "owner_id", touched)
+        catalog.replace_buckets("photos", photos, "owner_id", touched)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
