@@ -94,3 +94,28 @@ def test_flat_series_align_to_zero(spark):
     rows = [(s, f"2024-0{m}-01", n) for m in range(1, 6) for s, n in (("a", 3), ("b", m))]
     df = spark.createDataFrame(rows, "series string, month string, n long")
     assert M.alignment(df).first().alignment == 0.0
+
+
+def plain_grown(lat, lon, radius):
+    out = [None] * len(lat)
+    place = 0
+    for first in range(len(lat)):
+        if out[first] is not None:
+            continue
+        out[first], more = place, [first]
+        while more:
+            mine = [i for i in range(len(lat)) if out[i] == place]
+            y, x = np.mean(lat[mine]), np.mean(lon[mine])
+            more = [i for i in range(len(lat)) if out[i] is None and P.point_metres(y, x, lat[i], lon[i]) <= radius]
+            for i in more:
+                out[i] = place
+        place += 1
+    return out
+
+
+def test_grown_by_cells_equals_all_stays():
+    made = np.random.default_rng(3)
+    for lat, lon in ((35.0, 139.0), (-60.0, 10.0), (84.99, 0.0), (10.0, 179.99)):
+        y, x = np.round(lat + made.normal(0, 0.01, 120), 4), (np.round(lon + made.normal(0, 0.01, 120), 4) + 180) % 360 - 180
+        assert P.grown(y, x, 500.0).tolist() == plain_grown(y, x, 500.0)
+    assert P.grown(np.zeros(0), np.zeros(0), 500.0).tolist() == []

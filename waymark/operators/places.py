@@ -7,7 +7,6 @@ from collections.abc import Iterator
 from math import ceil, cos, floor, radians
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,24 +27,37 @@ def _all_metres(lat: float, lon: float, lats: np.ndarray, lons: np.ndarray) -> n
     return 2 * EARTH_M * np.arcsin(np.sqrt(np.minimum(1.0, x)))
 
 
+def _step(radius_m: float) -> float:
+    """Side of a grid cell: the degrees of latitude that the radius spans, a little more."""
+    return radius_m / 111_000
+
+
+def _cell(lat: float, lon: float, step: float) -> tuple[int, int]:
+    return floor(lat / step), floor(lon / step)
+
+
+def _around(lat: float, lon: float, step: float) -> list[tuple[int, int]] | None:
+    """The cells that the radius around a point can touch; None near the poles and the date line, where cells are no help."""
+    if abs(lat) >= 85:
+        return None
+    wide = ceil(1.0 / max(cos(radians(min(89.9, abs(lat) + 2 * step))), 1e-3))
+    if 180 - abs(lon) < (wide + 1) * step:
+        return None
+    cy, cx = _cell(lat, lon, step)
+    return [(y, x) for y in (cy - 1, cy, cy + 1) for x in range(cx - wide, cx + wide + 1)]
+
+
 class Places:
     """Places in order of founding with their running centres, found through grid cells of the centres."""
 
     def __init__(self, radius_m: float):
         self.radius_m, self.sums, self.cells, self.where = radius_m, [], {}, []
-        self.step = radius_m / 111_000  # degrees of latitude that the radius spans, a little more
-
-    def _cell(self, lat: float, lon: float) -> tuple[int, int]:
-        return floor(lat / self.step), floor(lon / self.step)
+        self.step = _step(radius_m)
 
     def place(self, lat: float, lon: float) -> int:
         """The first place, in order of founding, whose mean centre lies within the radius, or a new one; the stay joins it."""
-        cy, cx = self._cell(lat, lon)
-        wide = ceil(1.0 / max(cos(radians(min(89.9, abs(lat) + 2 * self.step))), 1e-3)) if abs(lat) < 85 else None
-        if wide is None or 180 - abs(lon) < (wide + 1) * self.step:  # cells are no help near the poles and the date line
-            near = range(len(self.sums))
-        else:
-            near = sorted(i for y in (cy - 1, cy, cy + 1) for x in range(cx - wide, cx + wide + 1) for i in self.cells.get((y, x), ()))
+        around = _around(lat, lon, self.step)
+        near = range(len(self.sums)) if around is None else sorted(i for c in around for i in self.cells.get(c, ()))
         for i in near:
             n, y, x = self.sums[i]
             if point_metres(y / n, x / n, lat, lon) <= self.radius_m:
@@ -56,7 +68,7 @@ class Places:
             self.where.append(None)
         n, y, x = self.sums[i]
         self.sums[i] = n, y, x = n + 1, y + lat, x + lon
-        cell = self._cell(y / n, x / n)
+        cell = _cell(y / n, x / n, self.step)
         if cell != self.where[i]:
             if self.where[i] is not None:
                 self.cells[self.where[i]].discard(i)
@@ -72,17 +84,27 @@ def first_near(lat: np.ndarray, lon: np.ndarray, radius_m: float) -> np.ndarray:
 
 
 def grown(lat: np.ndarray, lon: np.ndarray, radius_m: float) -> np.ndarray:
-    """The first free stay founds a place; passes with a centre fixed for the pass take in all near it until one adds none."""
-    out, free, place = np.full(len(lat), -1), np.ones(len(lat), bool), 0
-    while free.any():
-        mine = np.zeros(len(lat), bool)
-        mine[np.argmax(free)] = True
+    """The first free stay founds a place; passes with a centre fixed for the pass take in all near it until one adds none.
+
+    A pass looks at the stays of the grid cells around the centre only.
+    """
+    out, place, step, cells = np.full(len(lat), -1), 0, _step(radius_m), {}
+    for i, (y, x) in enumerate(zip(lat.tolist(), lon.tolist())):
+        cells.setdefault(_cell(y, x, step), []).append(i)
+    for first in range(len(lat)):
+        if out[first] >= 0:
+            continue
+        out[first], mine = place, np.array([first])
         while True:
-            near = free & ~mine & (_all_metres(lat[mine].mean(), lon[mine].mean(), lat, lon) <= radius_m)
-            if not near.any():
+            y, x = lat[mine].mean(), lon[mine].mean()
+            around = _around(y, x, step)
+            near = np.arange(len(lat)) if around is None else np.array([i for c in around for i in cells.get(c, ())], int)
+            near = near[out[near] < 0]
+            near = near[_all_metres(y, x, lat[near], lon[near]) <= radius_m]
+            if not len(near):
                 break
-            mine |= near
-        out[mine], free, place = place, free & ~mine, place + 1
+            out[near], mine = place, np.sort(np.concatenate([mine, near]))
+        place += 1
     return out
 
 
@@ -92,7 +114,7 @@ _PLACED = "owner_id long, stop string, t0 long, t1 long, lt0 long, lt1 long, lat
 def placed(stays: DataFrame, radius_m: float, how=first_near) -> DataFrame:
     """Stays with ``place``, a number per owner. The clusterings depend on order, so an owner's stays (not photographs) come in order to one task.
 
-    By first nearness a task holds an owner's places only, not the stays; other clusterings get an owner's stays at once.
+    By first nearness a task holds an owner's places only, not the stays; other clusterings get an owner's stays at once, owner by owner.
     """
     names = [c.split()[0] for c in _PLACED.split(", ")]
     rows = (stays if "stop" in stays.columns else stays.withColumn("stop", F.lit(None).cast("string"))).select(*names)
@@ -110,11 +132,34 @@ def placed(stays: DataFrame, radius_m: float, how=first_near) -> DataFrame:
 
         return rows.repartition("owner_id").sortWithinPartitions("owner_id", "t0", "t1", "stop").mapInArrow(fold, _PLACED + ", place long")
 
-    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t0", "t1", "stop"])
-        return pdf.assign(place=how(pdf["lat"].to_numpy(), pdf["lon"].to_numpy(), radius_m))
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owner, held, done = None, [], []
 
-    return rows.groupBy("owner_id").applyInPandas(whole, _PLACED + ", place long")
+        def close() -> None:
+            rows = pa.Table.from_batches(held)
+            found = how(rows.column("lat").to_numpy(), rows.column("lon").to_numpy(), radius_m)
+            done.append(rows.append_column("place", pa.array(found, pa.int64())))
+            held.clear()
+
+        for batch in batches:
+            owners, begin = batch.column("owner_id").to_pylist(), 0
+            for i, o in enumerate(owners):
+                if o != owner:
+                    if i > begin:
+                        held.append(batch.slice(begin, i - begin))
+                    if held:
+                        close()
+                    owner, begin = o, i
+            if begin < len(owners):
+                held.append(batch.slice(begin))
+            if done:
+                yield from pa.concat_tables(done).combine_chunks().to_batches()
+                done.clear()
+        if held:
+            close()
+            yield from done[0].combine_chunks().to_batches()
+
+    return rows.repartition("owner_id").sortWithinPartitions("owner_id", "t0", "t1", "stop").mapInArrow(whole, _PLACED + ", place long")
 
 
 def _day(c: str):
