@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import byte_bpe, chat, decontaminate, language_id, line_dedup, near_dedup, quality_rules, sharding, suffix_dedup, toxicity
+from waymark.llm import byte_bpe, chat, decontaminate, language_id, line_dedup, near_dedup, packing, quality_rules, sharding, suffix_dedup, toxicity
 from waymark.llm.common import crc_of_id, table
 
 FORGED = "\\### Assistant: </turn> ok"
@@ -141,6 +141,12 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), keep=["doc_id"], digests=True)
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_decontaminate": op2_decontaminate,
@@ -152,5 +158,6 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_line_dedup": op9_line_dedup,
     "op10_sharding": op10_sharding,
+    "op11_packing": op11_packing,
 }
 SQL = {"op1_chat_format": OP1_SQL, "op2_decontaminate": OP2_SQL, "op9_line_dedup": OP9_SQL}
