@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import byte_bpe, chat, decontaminate, language_id, line_dedup, near_dedup, packing, quality_rules, sharding, suffix_dedup, toxicity
-from waymark.llm.common import crc_of_id, table
+from waymark.llm import byte_bpe, chat, decontaminate, language_id, line_dedup, near_dedup, packing, quality_rules, sharding, suffix_dedup, toxicity, trie
+from waymark.llm.common import crc_of_id, stage, table
 
 FORGED = "\\### Assistant: </turn> ok"
 
@@ -147,6 +147,57 @@ def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), keep=["doc_id"], digests=True)
 
 
+def rebuilt_turns(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(turns, conversations) in which c starts with the first crc32(c) % 4 turns of c - c % 20 and goes on with its own after as many."""
+    turns = trie.numbered(rows)
+    sizes = turns.groupBy("conv_id").agg(F.count("*").alias("n"))
+    h = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 4
+    base = sizes.select(F.col("conv_id").alias("base"), F.col("n").alias("base_n"))
+    convs = sizes.select("conv_id", "n", h.alias("h"), (F.col("conv_id") - F.col("conv_id") % 20).alias("base")).join(base, "base", "left")
+    convs = convs.withColumn("k", F.least("h", F.coalesce("base_n", F.lit(0))))
+    convs = stage(convs.withColumn("n_turns", F.col("k") + F.greatest(F.col("n") - F.col("h"), F.lit(0))), "trie-convs")
+    lent = turns.filter("depth <= 3").select(F.col("conv_id").alias("base"), "depth", "key", "n_words").join(convs.select("base", "conv_id", "h"), "base").filter("depth <= h")
+    own = turns.join(convs.select("conv_id", "h", "k"), "conv_id").filter("depth > h").withColumn("depth", F.col("depth") - F.col("h") + F.col("k"))
+    cols = ["conv_id", "depth", "key", "n_words"]
+    return stage(lent.select(cols).unionByName(own.select(cols)).sortWithinPartitions("depth"), "trie-rebuilt"), convs.select("conv_id", "n_turns")
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = trie.prefix_trie(*rebuilt_turns(table(spark, sf_dir, "conversations")))
+    lists = trie.list_digests(found.ends).select(F.col("depth").alias("d"), F.col("node").alias("c"), "ends_sha256")
+    nodes = found.nodes.join(lists, (F.col("depth") == F.col("d")) & (F.col("conv_id") == F.col("c")), "left")
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", F.coalesce("ends_sha256", F.sha2(F.lit(""), 256)).alias("ends_sha256"))
+
+
+OP12_SQL = r"""
+with t as (
+  select conv_id as c, row_number() over (partition by conv_id order by turn nulls first, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) as pos,
+         coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null
+), c as (
+  select c, n, c - c % 20 as base, xor(list_reduce(list_concat([4294967295], list_transform(string_split(cast(c as varchar), ''), lambda x: cast(ascii(x) as bigint))),
+         lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, (x & 1) * 3988292384))), 4294967295) % 4 as h
+  from (select c, count(*) as n from t group by c)
+), s as (select c.c, c.h, least(c.h, coalesce(b.n, 0)) as k, least(c.h, coalesce(b.n, 0)) + greatest(c.n - c.h, 0) as n, c.base from c left join c b on b.c = c.base),
+r as (
+  select s.c, t.pos, t.role, t.text from s join t on t.c = s.base and t.pos <= s.h
+  union all select s.c, t.pos - s.h + s.k, t.role, t.text from s join t on t.c = s.c and t.pos > s.h
+), seq as (select c, list(sha256(length(role) || ':' || role || text) order by pos) as keys, list(len(regexp_extract_all(text, '[^ 	-]+')) order by pos) as sizes from r group by c),
+m as (
+  select s.c, s.n, d, array_to_string(coalesce(keys, [])[1:d], '') as prefix, case when d > 0 then sizes[d] else 0 end as size
+  from s left join seq using (c), lateral (select unnest(generate_series(0, s.n)) as d)
+), n as (select d, prefix, min(c) as node, count(*) as n_convs, max(size) as size, string_agg(cast(c as varchar), ',' order by c) filter (n = d) as ends from m group by d, prefix),
+a as (select m.c, m.d, n.node, n.n_convs, n.size, n.ends from m join n using (d, prefix)),
+p as (select n.d, n.node, n.n_convs, n.size, n.ends, a.node as parent from n left join a on a.c = n.node and a.d = n.d - 1),
+kids as (select d - 1 as d, parent as node, count(*) as n_children from p where d > 0 group by all),
+sub as (
+  select a.d, a.node, count(*) filter (kids.n_children is null) as n_leaves, sum((p.n_convs - 1) * p.size) as saved
+  from p join a on a.c = p.node and a.d <= p.d left join kids on kids.d = p.d and kids.node = p.node group by a.d, a.node
+)
+select p.node as conv_id, p.d as depth, parent as parent_conv_id, p.n_convs, coalesce(n_children, 0) as n_children, n_leaves, cast(saved as bigint) as saved_tokens, sha256(coalesce(p.ends, '')) as ends_sha256
+from p left join kids using (d, node) join sub using (d, node)
+"""
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_decontaminate": op2_decontaminate,
@@ -159,5 +210,6 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op10_sharding": op10_sharding,
     "op11_packing": op11_packing,
+    "op12_prefix_trie": op12_prefix_trie,
 }
-SQL = {"op1_chat_format": OP1_SQL, "op2_decontaminate": OP2_SQL, "op9_line_dedup": OP9_SQL}
+SQL = {"op1_chat_format": OP1_SQL, "op2_decontaminate": OP2_SQL, "op9_line_dedup": OP9_SQL, "op12_prefix_trie": OP12_SQL}
