@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import byte_bpe, chat, decontaminate, language_id, line_dedup, near_dedup, packing, quality_rules, sharding, suffix_dedup, toxicity, trie
+from waymark.llm import byte_bpe, chat, decontaminate, language_id, line_dedup, near_dedup, packing, quality_rules, sharding, spelling, suffix_dedup, toxicity, trie
 from waymark.llm.common import crc_of_id, stage, table
 
 FORGED = "\\### Assistant: </turn> ok"
@@ -181,7 +181,8 @@ with t as (
 r as (
   select s.c, t.pos, t.role, t.text from s join t on t.c = s.base and t.pos <= s.h
   union all select s.c, t.pos - s.h + s.k, t.role, t.text from s join t on t.c = s.c and t.pos > s.h
-), seq as (select c, list(sha256(length(role) || ':' || role || text) order by pos) as keys, list(len(regexp_extract_all(text, '[^ 	-]+')) order by pos) as sizes from r group by c),
+), seq as (select c, list(sha256(length(role) || ':' || role || text) order by pos) as keys, list(len(regexp_extract_all(text, '[^ 	-
+]+')) order by pos) as sizes from r group by c),
 m as (
   select s.c, s.n, d, array_to_string(coalesce(keys, [])[1:d], '') as prefix, case when d > 0 then sizes[d] else 0 end as size
   from s left join seq using (c), lateral (select unnest(generate_series(0, s.n)) as d)
@@ -198,6 +199,35 @@ from p left join kids using (d, node) join sub using (d, node)
 """
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.vocabulary(spelling.with_slips(spelling.runs(table(spark, sf_dir, "documents"))))
+    return spelling.group_variants(words)
+
+
+OP13_SQL = r"""
+with recursive run as (
+  select id, run, count(*) as k from (
+    select coalesce(cast(doc_id as varchar), '') as id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run from documents
+  ) group by id, run
+), hashed as (
+  select run, k, xor(list_reduce(list_concat([4294967295], flatten(list_transform(string_split(id || ':' || run, ''), lambda x: case when unicode(x) < 128 then [cast(unicode(x) as bigint)] else [195, unicode(x) - 64] end))),
+         lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, (x & 1) * 3988292384))), 4294967295) as h from run
+), v as (
+  select word, cast(sum(k) as bigint) as n from (select k, case when h % 199 = 0 then left(run, cast(h % length(run) as int)) || substr(run, cast(h % length(run) as int) + 2) else run end as word from hashed)
+  where length(word) >= 6 group by word having sum(k) >= 5
+), spot as (select word, n, unnest(generate_series(1, length(word))) as i from v),
+part as (select word, n, i, left(word, i - 1) as head, substr(word, i + 1) as tail from spot),
+pair as (
+  select a.word, b.word as other, b.n as other_n from part a join part b on a.i = b.i and a.head = b.head and a.tail = b.tail and a.word <> b.word
+  union select part.word, v.word, v.n from part join v on v.word = head || tail
+  union select v.word, part.word, part.n from part join v on v.word = head || tail
+), near as (select word, count(*) as n_near, first(other order by other_n desc, other) as best, max(other_n) as best_n from pair group by word),
+f as (select v.word, v.n, coalesce(n_near, 0) as n_near, case when best_n >= 5 * v.n then best end as form, case when best_n >= 5 * v.n then best_n end as form_n from v left join near using (word)),
+chain as (select word, word as now from f union all select chain.word, f.form from chain join f on f.word = chain.now where f.form is not null)
+select f.word, f.form, chain.now as root, f.n, f.n_near, f.form_n from f join chain using (word) join f e on e.word = chain.now where e.form is null
+"""
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_decontaminate": op2_decontaminate,
@@ -211,5 +241,6 @@ QUERIES = {
     "op10_sharding": op10_sharding,
     "op11_packing": op11_packing,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_spelling": op13_spelling,
 }
-SQL = {"op1_chat_format": OP1_SQL, "op2_decontaminate": OP2_SQL, "op9_line_dedup": OP9_SQL, "op12_prefix_trie": OP12_SQL}
+SQL = {"op1_chat_format": OP1_SQL, "op2_decontaminate": OP2_SQL, "op9_line_dedup": OP9_SQL, "op12_prefix_trie": OP12_SQL, "op13_spelling": OP13_SQL}
