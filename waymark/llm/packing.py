@@ -28,6 +28,7 @@ import zlib
 from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,7 @@ from pyspark.sql import types as T
 from waymark.llm.common import column_names, ship
 
 #: Stretches of text in a worker's memo, the longest one that is kept, and texts that are encoded at a time.
-MEMO_SIZE, MEMO_CHARS, SLICE = 400_000, 40, 512
+MEMO_SIZE, MEMO_CHARS, SLICE = 800_000, 40, 512
 _CUT = re.compile(r" (?=[0-9A-Za-zÀ-ɏ])")
 _MARKS = ".,;:!?"
 
@@ -59,29 +60,46 @@ class Encoder:
             out += [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(texts[lo : lo + 5_000], add_special_tokens=False)]
         return out
 
+    def _letters(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters alone, each with a space before it. Many are one text for the library, which says to which match a token belongs."""
+        out = []
+        for lo in range(0, len(words), 2_000):
+            part = words[lo : lo + 2_000]
+            found = self.model.encode(" " + " ".join(part), add_special_tokens=False)
+            ids, of = np.array(found.ids, "<u4"), np.array(found.word_ids)
+            ends = [*(4 * (np.flatnonzero(np.diff(of)) + 1)).tolist(), 4 * len(ids)]
+            if len(ends) == len(part):
+                data, begins = ids.tobytes(), [0, *ends]
+                out += [data[a:b] for a, b in zip(begins, ends)]
+            else:  # a letter to Python is none to the library
+                out += self._plain([" " + w for w in part])
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         cut = [_CUT.split(t) for t in texts]
-        heads = self._plain([c[0] for c in cut])
+        heads = self._plain([c.pop(0) for c in cut])
         if len(self.memo) > MEMO_SIZE:
             self.memo = {}
         memo = self.memo
-        fresh = list({w for c in cut for w in c[1:]}.difference(memo))
+        fresh = set(chain.from_iterable(cut)).difference(memo)
         stems = {}
         for w in fresh:
             stem = w.rstrip(_MARKS)
             if len(stem) < len(w) and stem[-1:].isalnum():
                 stems[w] = stem, w[len(stem) :]
-        whole = list({stems[w][0] if w in stems else w for w in fresh}.difference(memo))
-        marks = list({m for _, m in stems.values()})
+        whole = fresh.difference(stems).union(stem for stem, _ in stems.values()).difference(memo)
+        letters, others, marks = [w for w in whole if w.isalpha()], [w for w in whole if not w.isalpha()], list({m for _, m in stems.values()})
+        memo.update(zip(letters, self._letters(letters)))
+        memo.update(zip(others, self._plain([" " + w for w in others])))
         mark_ids = dict(zip(marks, self._plain(marks)))
-        found = dict(zip(whole, self._plain([" " + w for w in whole])))
-        for w, (stem, mark) in stems.items():
-            found[w] = (found.get(stem) or memo[stem]) + mark_ids[mark]
-        memo.update((w, x) for w, x in found.items() if len(w) <= MEMO_CHARS)
-        long = {w: x for w, x in found.items() if len(w) > MEMO_CHARS}
-        get = (lambda w: memo.get(w) or long[w]) if long else memo.__getitem__
-        return [h + b"".join(map(get, c[1:])) for h, c in zip(heads, cut)]
+        memo.update((w, memo[stem] + mark_ids[mark]) for w, (stem, mark) in stems.items())
+        get = memo.__getitem__
+        out = [h + b"".join(map(get, c)) for h, c in zip(heads, cut)]
+        for w in whole.union(stems):
+            if len(w) > MEMO_CHARS:
+                del memo[w]
+        return out
 
 
 @lru_cache(maxsize=1)
