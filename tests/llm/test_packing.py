@@ -59,7 +59,7 @@ def test_registered_query(spark, sf, plain):
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(st.sampled_from(list("ab Zé .,!?'1２\n\t 　\u0085\x1c_日<|>")), max_size=60), max_size=8))
 def test_encoder_equals_the_library(texts):
-    texts = texts + ["<|endoftext|> a<|endoftext|>", "it's  we'll. 'S ... end."]
+    texts = texts + ["<|endoftext|> a<|endoftext|>", "it's  we'll. 'S ... end.", "a word.\nLine, b c\nd e.\n\nf g.\n h i\n.j k_\nl m_.\nn"]
     model = Tokenizer.from_file(PATH)
     model.encode_special_tokens = True
     got = packing.encoder_of(PATH).encode(texts)
@@ -67,11 +67,12 @@ def test_encoder_equals_the_library(texts):
 
 
 def test_memo_is_bounded_and_changes_nothing(monkeypatch):
-    monkeypatch.setattr(packing, "MEMO_SIZE", 3)
+    monkeypatch.setattr(packing, "MEMO_WORDS", 3)
+    monkeypatch.setattr(packing, "MEMO_UNITS", 2)
     one, two = packing.Encoder(PATH), packing.encoder_of(PATH)
     texts = ["some words here. and here", "words, again some words", "x" * 100 + " " + "y" * 100 + "."]
     assert [one.encode([t]) for t in texts * 2] == [two.encode([t]) for t in texts * 2]
-    assert len(one.memo) < 12
+    assert max(map(len, (one.words, one.units))) < 12 and all(len(w) <= packing.MEMO_CHARS for w in (*one.words, *one.units))
 
 
 @pytest.mark.parametrize("window", [8, 64])

@@ -8,12 +8,12 @@ fullest, cut where need be, and the last one's tokens become sequences of powers
 unpadded. So no sequence is padded, and at most one short sequence a bit of the window length is made a task.
 
 There is no shuffle: every partition of the input packs on its own, and sequence ids carry the partition. A task holds one slice
-of texts, a memo of bounded size and the open windows (their ids, and the kept columns of their documents). A sequence lies within
+of texts, two memos of bounded size and the open windows (their ids, and the kept columns of their documents). A sequence lies within
 one task, so a task that is run again makes the same sequences from the same rows; write a frame whose partitions depend on
 the order of a shuffle with ``stage`` first.
 
 Tokens: a space before a letter or digit always starts a match of the tokenizer's pattern, and so does punctuation after a letter
-or digit. Texts are cut there, and each distinct stretch is encoded by the ``tokenizers`` library once a memo.
+or digit, a line's end and a word that begins a line. Texts are cut there, and the ``tokenizers`` library encodes each distinct word once a memo.
 
 Cases: null and empty texts are the end id alone; texts of any length are taken whole; strings of special tokens in a text are
 ordinary text; repeated rows are packed each on its own; an empty table gives no piece; extra columns pass through ``keep``, and
@@ -25,6 +25,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
@@ -36,23 +37,28 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from waymark.llm.byte_bpe import byte_table
 from waymark.llm.common import column_names, ship
 
-#: Stretches of text in a worker's memo, the longest one that is kept, and texts that are encoded at a time.
-MEMO_SIZE, MEMO_CHARS, SLICE = 800_000, 40, 512
+#: Words and stretches of text that a worker keeps the ids of, the longest one of these, and texts that are encoded at a time.
+MEMO_WORDS, MEMO_UNITS, MEMO_CHARS, SLICE = 1_200_000, 400_000, 40, 512
 _CUT = re.compile(r" (?=[0-9A-Za-zÀ-ɏ])")
-_MARKS = ".,;:!?"
+#: Letters that every version of the pattern's classes has; the library's printable character for each byte.
+_LETTERS, _BYTES = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+").fullmatch, dict(enumerate(byte_table()))
+#: A word's end and marks, and perhaps a line's end, a word and marks: match starts all of them, after a word that a space precedes.
+_PARTS = re.compile(r"([^\W_](?:[^\s]*[^\W_])?)([.,;:!?]*)(?:\n([^\W_](?:[^\s]*[^\W_])?)([.,;:!?]*))?").fullmatch
 
 
 class Encoder:
-    """The library's encoder behind a memo of stretches."""
+    """The library's encoder behind memos of words and of stretches."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core a task
         from tokenizers import Tokenizer
 
-        self.model, self.memo = Tokenizer.from_file(path), {}
+        self.model, self.units, self.words = Tokenizer.from_file(path), {}, {}
         self.model.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.firsts, self.marks, self.line = {"": b""}, {"": b""}, self._plain(["\n"])[0]
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         out = []
@@ -60,45 +66,40 @@ class Encoder:
             out += [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(texts[lo : lo + 5_000], add_special_tokens=False)]
         return out
 
-    def _letters(self, words: list[str]) -> list[bytes]:
-        """Ids of words of letters alone, each with a space before it. Many are one text for the library, which says to which match a token belongs."""
-        out = []
-        for lo in range(0, len(words), 2_000):
-            part = words[lo : lo + 2_000]
-            found = self.model.encode(" " + " ".join(part), add_special_tokens=False)
-            ids, of = np.array(found.ids, "<u4"), np.array(found.word_ids)
-            ends = [*(4 * (np.flatnonzero(np.diff(of)) + 1)).tolist(), 4 * len(ids)]
-            if len(ends) == len(part):
-                data, begins = ids.tobytes(), [0, *ends]
-                out += [data[a:b] for a, b in zip(begins, ends)]
-            else:  # a letter to Python is none to the library
-                out += self._plain([" " + w for w in part])
-        return out
+    def _words(self, words: list[str], before: str) -> list[bytes]:
+        """Ids of ``words`` with ``before`` (a space or nothing) in front. A word of Latin letters is one match, so the library's model alone has to split it."""
+        out, one, bpe = dict.fromkeys(words), _LETTERS, self.model.model.tokenize
+        spelled = {w: (before + w).encode().decode("latin-1").translate(_BYTES) for w in words if one(w)}
+        out.update((w, array("I", [t.id for t in bpe(s)]).tobytes()) for w, s in spelled.items())
+        rest = [w for w in words if w not in spelled]
+        out.update(zip(rest, self._plain([before + w for w in rest])))
+        return list(out.values())
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         cut = [_CUT.split(t) for t in texts]
         heads = self._plain([c.pop(0) for c in cut])
-        if len(self.memo) > MEMO_SIZE:
-            self.memo = {}
-        memo = self.memo
-        fresh = set(chain.from_iterable(cut)).difference(memo)
-        stems = {}
-        for w in fresh:
-            stem = w.rstrip(_MARKS)
-            if len(stem) < len(w) and stem[-1:].isalnum():
-                stems[w] = stem, w[len(stem) :]
-        whole = fresh.difference(stems).union(stem for stem, _ in stems.values()).difference(memo)
-        letters, others, marks = [w for w in whole if w.isalpha()], [w for w in whole if not w.isalpha()], list({m for _, m in stems.values()})
-        memo.update(zip(letters, self._letters(letters)))
-        memo.update(zip(others, self._plain([" " + w for w in others])))
-        mark_ids = dict(zip(marks, self._plain(marks)))
-        memo.update((w, memo[stem] + mark_ids[mark]) for w, (stem, mark) in stems.items())
-        get = memo.__getitem__
+        if len(self.words) > MEMO_WORDS:
+            self.words, self.firsts, self.marks = {}, {"": b""}, {"": b""}
+        if len(self.units) > MEMO_UNITS:
+            self.units = {}
+        units, words, firsts, marks, line = self.units, self.words, self.firsts, self.marks, self.line
+        fresh = set(chain.from_iterable(cut)).difference(units)
+        parts = {w: found.groups("") for w in fresh if not w.isalpha() and (found := _PARTS(w)) and found[1] != w}
+        whole = fresh.difference(parts)
+        new = list({p[0] for p in parts.values()}.union(whole).difference(words))
+        bare, ends = list({p[2] for p in parts.values()}.difference(firsts)), list({m for p in parts.values() for m in p[1::2]}.difference(marks))
+        words.update(zip(new, self._words(new, " ")))
+        firsts.update(zip(bare, self._words(bare, "")))
+        marks.update(zip(ends, self._plain(ends)))
+        units.update(zip(whole, map(words.__getitem__, whole)))
+        units.update((w, words[stem] + marks[mark] + (line + firsts[first] + marks[last] if first else b"")) for w, (stem, mark, first, last) in parts.items())
+        get = units.__getitem__
         out = [h + b"".join(map(get, c)) for h, c in zip(heads, cut)]
-        for w in whole.union(stems):
-            if len(w) > MEMO_CHARS:
-                del memo[w]
+        for table, made in ((units, fresh), (words, new), (firsts, bare), (marks, ends)):
+            for w in made:
+                if len(w) > MEMO_CHARS:
+                    del table[w]
         return out
 
 
