@@ -39,10 +39,10 @@ def test_gazetteer(spark, tmp_path):
 
 
 def test_image_files(spark, tmp_path):
-    for name, data in (("a.jpg", b"1"), ("b.PNG", b"2"), ("c.jpg", b"1"), ("d.txt", b"3"), ("skip.jpg", b"4")):
+    for name, data in (("a.jpg", b"1"), ("b.PNG", b"2"), ("c.jpg", b"1"), ("e.HEIF", b"5"), ("d.txt", b"3"), ("skip.jpg", b"4")):
         (tmp_path / name).write_bytes(data)
     got = sorted(r.path.rsplit("/", 1)[1] for r in records.image_files(spark, str(tmp_path), ["skip*"]).collect())
-    assert got == ["a.jpg", "b.PNG"]
+    assert got == ["a.jpg", "b.PNG", "e.HEIF"]
 
 
 def test_catalog(spark, tmp_path):
@@ -84,3 +84,59 @@ def test_stream_equals_rebuild(spark, tmp_path):
     cols = ["outing_id", "t0", "t1", "n_stops", "n_photos"]
     want = outings(numbered_stops(stays(demo))).select(*cols)
     assert sorted(map(tuple, c.read("outings").select(*cols).collect())) == sorted(map(tuple, want.collect())) != []
+
+
+def jpeg(tiff: bytes) -> bytes:
+    body = b"Exif\0\0" + tiff
+    return b"\xff\xd8\xff\xe1" + (len(body) + 2).to_bytes(2, "big") + body + b"\xff\xc0\0\x0b\x08\0\x10\0\x20\x01\x01\x11\0\xff\xda"
+
+
+def directory(*entries: tuple[int, int, int, bytes], at: int = 8) -> bytes:
+    """One little-endian directory; values of more than four bytes follow it."""
+    import struct
+
+    head, rest = struct.pack("<H", len(entries)), b""
+    end = at + 2 + 12 * len(entries) + 4
+    for tag, kind, count, data in entries:
+        value = data.ljust(4, b"\0") if len(data) <= 4 else struct.pack("<I", end + len(rest))
+        rest += data if len(data) > 4 else b""
+        head += struct.pack("<HHI", tag, kind, count) + value
+    return head + b"\0\0\0\0" + rest
+
+
+def test_damaged_images_stop_nothing():
+    import random
+
+    from waymark.sources.images import read_tags
+
+    whole = jpeg(b"II*\0\x08\0\0\0" + directory((0x010F, 2, 6, b"Maker\0"), (0x8825, 2, 8, b"nowhere\0"), (0x8769, 5, 1, b"\1\0\0\0\2\0\0\0")))
+    assert read_tags(whole)[0] == "Maker" and read_tags(whole)[-2:] == (32, 16)
+    rng = random.Random(3)
+    for _ in range(3000):
+        data = bytearray(whole)
+        for _ in range(rng.randint(1, 6)):
+            data[rng.randrange(2, len(data))] = rng.randrange(256)
+        assert len(read_tags(bytes(data[: rng.randint(0, len(data))]))) == 10
+    assert read_tags(None) == (None,) * 10 == read_tags(b"")
+
+
+def test_the_package_reaches_workers_of_a_driver_started_elsewhere(tmp_path):
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"""
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+from waymark.sources.bindings import photos
+from waymark.operators import journeys, places
+s = journeys.stays(photos(spark, "/root/testdata/sf0.001"))
+print("rows", places.placed(s, 150.0).count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
+    assert int(done.stdout.split("rows")[1]) > 0

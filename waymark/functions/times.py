@@ -27,6 +27,9 @@ SPAN_JA = r"(?U)(?:ここ|この|過去|直近)\s*([0-9]+)\s*(日|週間|[ヶケ
 SPAN_EN = r"(?U)last\s+([0-9]+)\s+(day|week|month|year)s?"
 UNIT_DAYS = {"日": 1, "day": 1, "週間": 7, "week": 7, "年": 365, "year": 365}
 MONTH_DAYS = 30
+FULL_WIDTH = "０１２３４５６７８９"
+#: The furthest that a span may reach back: the clock's first year.
+FIRST_US = -62_135_596_800_000_000
 
 DAY_US, SECOND_US = 86_400_000_000, 1_000_000
 
@@ -51,9 +54,10 @@ def _year(year: Column) -> Column:
 def time_window(question: Column, now: Column) -> Column:
     """(since, until), both included, that a question asks for at the instant ``now``; null when it asks for none.
 
-    The clock is the session's time zone. Months and years out of range give no window.
+    The clock is the session's time zone. Full-width digits are digits. Months and years out of range, and spans that reach back
+    before the first year, give no window.
     """
-    text = F.lower(question)
+    text = F.lower(F.translate(question, FULL_WIDTH, "0123456789"))
     says = lambda words: F.greatest(*(text.contains(w) for w in words), F.lit(False))
     part = lambda pattern, i: F.regexp_extract(text, pattern, i)
     number = lambda pattern, i=1: part(pattern, i).try_cast("int")
@@ -70,6 +74,8 @@ def time_window(question: Column, now: Column) -> Column:
     days = F.lit(MONTH_DAYS)
     for word, n in UNIT_DAYS.items():
         days = F.when(unit == word, n).otherwise(days)
+    back = micros - F.try_multiply(amount.try_cast("int").cast("long"), days.cast("long")) * F.lit(DAY_US).cast("decimal(20,0)")
+    span = _window(F.when(back >= FIRST_US, at(back.cast("long"))), now)
     return (
         F.when(F.regexp_like(text, F.lit(YEAR_MONTH_JA)), _months(number(YEAR_MONTH_JA, 1), number(YEAR_MONTH_JA, 2)))
         .when(F.regexp_like(text, F.lit(MONTH_YEAR_EN)), _months(number(MONTH_YEAR_EN, 2), named))
@@ -85,7 +91,7 @@ def time_window(question: Column, now: Column) -> Column:
         .when(says(THIS_WEEK), _window(at(week), now))
         .when(says(YESTERDAY), _window(at(day - DAY_US), at(day - SECOND_US)))
         .when(says(TODAY), _window(at(day), now))
-        .when(japanese | F.regexp_like(text, F.lit(SPAN_EN)), _window(at(micros - amount.try_cast("int") * days.cast("long") * DAY_US), now))
+        .when(japanese | F.regexp_like(text, F.lit(SPAN_EN)), span)
         .when(says(RECENTLY), _window(at(micros - RECENT_DAYS * DAY_US), now))
     )
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from waymark.config import DEFAULT, Settings
 from waymark.functions.geo import EARTH_M, metres
 from waymark.functions.keys import content_key
+from waymark.sources.shipping import ship
 
 DAY_US = 86_400_000_000
 
@@ -114,6 +115,7 @@ def stops(photos: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
             done = []
         yield _stop_batch([stop.row(key[0])] if stop.ids else [])
 
+    ship(photos.sparkSession)
     rows = gap_sessions(located(photos), cfg).select("owner_id", "session", "photo_id", "t", "lt", "lat", "lon")
     groups = rows.repartition("owner_id", "session").sortWithinPartitions("owner_id", "session", "t", "photo_id").mapInArrow(fold, STOP_SCHEMA)
     stay = (F.col("t1") - F.col("t0") >= cfg.min_stay_s * 1_000_000) | (F.col("n_photos") >= cfg.min_photos)

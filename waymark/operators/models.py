@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.config import DEFAULT, Settings
+from waymark.sources.shipping import ship
 
 
 def unread(requests: DataFrame, done: DataFrame, key: str, limit: int | None = None, order: str = "t") -> DataFrame:
@@ -33,6 +34,7 @@ def representatives(stop_photos: DataFrame, most: int) -> DataFrame:
 
 def ask_model(requests: DataFrame, model: Callable[[list[str]], list[tuple[str | None, str | None]]], key: str, request: str, version: str, batch: int = 32) -> DataFrame:
     """(key, text, refused, version): an answer or a refusal for each request, ``batch`` requests a call."""
+    ship(requests.sparkSession)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -94,6 +96,7 @@ def embed(pending: DataFrame, embedder: Callable[[list[str]], list[list[float]]]
     A part whose model becomes unavailable gives out what it has and leaves the rest pending, so the next run, over the
     documents without a vector, goes on from there.
     """
+    ship(pending.sparkSession)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -129,6 +132,7 @@ def theme_groups(vectors: np.ndarray, stays: list[set], order: list[int], cfg: S
 
 def cluster_labels(labels: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
     """(owner_id, theme, label) of labels (owner_id, label, vector, stays); an owner's label universe is one group."""
+    ship(labels.sparkSession)
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.assign(n=[len(s) for s in pdf["stays"]]).sort_values(["n", "label"], ascending=[False, True]).reset_index(drop=True)

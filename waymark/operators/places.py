@@ -16,6 +16,7 @@ from waymark.functions.geo import EARTH_M, metres
 from waymark.functions.keys import place_reference
 from waymark.operators.journeys import point_metres
 from waymark.operators.measures import in_hours, wall_hour, wall_weekday
+from waymark.sources.shipping import ship
 
 DAY_US = 86_400_000_000
 _POINT = re.compile(r"place:(-?\d+(?:\.\d+)?),(-?\d+(?:\.\d+)?)$")
@@ -116,6 +117,7 @@ def placed(stays: DataFrame, radius_m: float, how=first_near) -> DataFrame:
 
     By first nearness a task holds an owner's places only, not the stays; other clusterings get an owner's stays at once, owner by owner.
     """
+    ship(stays.sparkSession)
     names = [c.split()[0] for c in _PLACED.split(", ")]
     rows = (stays if "stop" in stays.columns else stays.withColumn("stop", F.lit(None).cast("string"))).select(*names)
     if how is first_near:
@@ -285,6 +287,7 @@ def spread_out(suggestions: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
 
     Each depends on those kept before it, so an owner's sorted rows pass through one task, which holds the kept places alone.
     """
+    ship(suggestions.sparkSession)
     names = suggestions.columns
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

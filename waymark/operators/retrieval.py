@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from waymark.config import DEFAULT, Settings
 from waymark.functions.geo import metres
+from waymark.sources.shipping import ship
 
 #: BM25 parameters (Robertson and Zaragoza).
 K1, B = 1.2, 0.75
@@ -95,6 +96,7 @@ def dense(embeddings: DataFrame, query: list[float], depth: int) -> DataFrame:
 
 def _packed(vectors: DataFrame, key: str, most: int) -> DataFrame:
     """Rows (key, embedding) as blocks of up to ``most`` vectors of one width: width, keys and the doubles as bytes."""
+    ship(vectors.sparkSession)
     kind = vectors.schema[key].dataType.simpleString()
     rows = vectors.filter(F.size("embedding") > 0).filter(~F.exists("embedding", lambda x: x.isNull())).select(key, F.col("embedding").cast("array<double>").alias("embedding"))
 

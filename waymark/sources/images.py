@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.functions import exif
+from waymark.sources.shipping import ship
 
 # Tags of the public EXIF and TIFF formats, and the bytes of a value of each type.
 MAKE, MODEL, EXIF_PART, GPS_PART, TAKEN, OFFSET = 0x010F, 0x0110, 0x8769, 0x8825, 0x9003, 0x9011
@@ -53,12 +54,12 @@ def read_tags(data: bytes | None) -> tuple:
                 tiff = body[6:]
                 order = "<" if tiff[:2] == b"II" else ">"
                 tags = _entries(tiff, order, struct.unpack_from(order + "I", tiff, 4)[0])
-                gps = _entries(tiff, order, tags[GPS_PART]) if GPS_PART in tags else {}
-                tags |= _entries(tiff, order, tags[EXIF_PART]) if EXIF_PART in tags else {}
+                gps, detail = (_entries(tiff, order, tags[p]) if isinstance(tags.get(p), int) else {} for p in (GPS_PART, EXIF_PART))
+                tags |= detail
             elif 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
                 height, width = struct.unpack_from(">HH", body, 1)
             at += 2 + size
-    except struct.error:
+    except (struct.error, IndexError, ValueError):  # damaged files give what was read before the damage
         pass
     text = lambda part, tag: part.get(tag) or None if isinstance(part.get(tag), str) else None
     return (*(text(tags, t) for t in (MAKE, MODEL, TAKEN, OFFSET)), *(text(gps, t) for t in (LAT, LAT_REF, LON, LON_REF)), width, height)
@@ -66,6 +67,7 @@ def read_tags(data: bytes | None) -> tuple:
 
 def camera_tags(files: DataFrame) -> DataFrame:
     """Files (path, content) with ``TAGS`` in place of the content."""
+    ship(files.sparkSession)
     names = [c.split()[0] for c in TAGS.split(", ")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -68,7 +68,7 @@ def gazetteer(spark: SparkSession, path: str) -> DataFrame:
 
 def image_files(spark: SparkSession, path: str, exclude: list[str] | None = None) -> DataFrame:
     """path, length and content id of image files below a folder, one of each content, in path order; globs of ``exclude`` match the path below it or the file name."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).filter(F.regexp_like("path", F.lit(r"(?i)\.(jpe?g|png|heic|webp|bmp|tiff?)$")))
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).filter(F.regexp_like("path", F.lit(r"(?i)\.(jpe?g|png|hei[cf]|webp|bmp|tiff?)$")))
     if exclude:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         root = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString().rstrip("/")

@@ -25,18 +25,33 @@ def shared_folder(spark: SparkSession) -> str:
 
 def kept(df: DataFrame, name: str) -> DataFrame:
     """``df``, written and read back: computed once, and safe from lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    return kept_at(df, f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}")
+
+
+def kept_at(df: DataFrame, path: str) -> DataFrame:
+    """``kept`` in a folder of the caller's choice within the shared folder."""
     df.write.parquet(path)
     _kept.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-@atexit.register
-def _remove() -> None:
-    spark = SparkSession.getActiveSession() if _kept else None
-    if spark is None or spark.sparkContext._jsc is None:
-        return
+def kept_so_far() -> int:
+    """How many intermediates this process has written and not removed; a mark for ``clear``."""
+    return len(_kept)
+
+
+def clear(spark: SparkSession, since: int = 0, but_last: int = 0) -> None:
+    """Remove the intermediates written after a mark, but the last ones; results that still read them are void then."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for path in _kept:
+    end = max(since, len(_kept) - but_last)
+    for path in _kept[since:end]:
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(conf).delete(at, True)
+    del _kept[since:end]
+
+
+@atexit.register
+def _remove() -> None:
+    spark = SparkSession.getActiveSession() if _kept else None
+    if spark is not None and spark.sparkContext._jsc is not None:
+        clear(spark)
