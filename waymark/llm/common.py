@@ -2,64 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-
-
-_staged: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only a local master may leave it unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not base:
-        master = spark.sparkContext.master
-        if not (master == "local" or master.startswith("local[")):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="waymark-")
-        spark.conf.set("spark.checkpoint.dir", base) if spark.conf.isModifiable("spark.checkpoint.dir") else None
-    return base.rstrip("/")
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: cuts the lineage, survives lost executors."""
-    return stage_at(df, f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}")
-
-
-def stage_at(df: DataFrame, path: str) -> DataFrame:
-    """``stage`` to a folder of the caller's choice within the shared folder."""
-    df.write.parquet(path)
-    _staged.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def clear_staged(spark: SparkSession) -> None:
-    """Remove what ``stage`` wrote in this process; results that still read it are void then."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _staged:
-        at = jvm.org.apache.hadoop.fs.Path(_staged.pop())
-        at.getFileSystem(conf).delete(at, True)
-
-
-@atexit.register
-def _at_exit() -> None:
-    spark = SparkSession.getActiveSession() if _staged else None
-    if spark is not None and spark.sparkContext._jsc is not None:
-        clear_staged(spark)
-
-
-def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package also when the driver was started from another folder."""
-    env = spark.sparkContext.environment
-    if _ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (_ROOT, env.get("PYTHONPATH", "")) if x)
+from waymark.sources.scratch import clear, kept_so_far  # noqa: F401
+from waymark.sources.scratch import kept as stage  # noqa: F401
+from waymark.sources.scratch import kept_at as stage_at  # noqa: F401
+from waymark.sources.scratch import shared_folder as shared_dir  # noqa: F401
+from waymark.sources.shipping import ship  # noqa: F401
 
 
 def lower_az(text):
