@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.llm import byte_bpe, decontaminate, line_dedup, near_dedup, toxicity
-from waymark.llm.common import column_names, crc_of_id, stage, table
+from waymark.llm.common import clear, column_names, crc_of_id, kept_so_far, stage, table
 from waymark.llm.queries import tokenizer_path, tokenizer_pattern
 
 #: Documents whose toxicity reaches this score go.
@@ -33,11 +33,12 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near copies, once."""
-    kept_id, text_key = column_names(docs, "kept_id", "text_key")
-    kept = near_dedup.near_dedup(docs, ALIKE).filter("kept").select(F.col("doc_id").alias(kept_id)).distinct()
-    left = docs.join(kept, F.col("doc_id").eqNullSafe(F.col(kept_id)), "left_semi")
-    return left.withColumn(text_key, F.xxhash64("text")).dropDuplicates(["doc_id", text_key]).select(*docs.columns)
+    """Keeps the document with the smallest id of each group of near copies, once; a null id comes last, of rows with one id the first."""
+    row_id, key = column_names(docs, "row_id", "row_key")
+    rows = stage(docs.withColumn(row_id, F.monotonically_increasing_id()), "pipeline-rows")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(row_id).alias("row"))  # a row is known by its place, as ids may repeat
+    kept = near_dedup.near_dedup(rows.select(order.alias("doc_id"), "text"), ALIKE).filter("kept").select(F.col("doc_id.row").alias(key))
+    return rows.join(kept, F.col(row_id) == F.col(key), "left_semi").select(*docs.columns)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,7 +65,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, mark = table(spark, sf_dir, "documents"), kept_so_far()
     for name, step in STAGES:
         docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+        clear(spark, since=mark, but_last=1)  # what the stage and its predecessor wrote
     return docs
