@@ -141,10 +141,10 @@ def included_files(spark, d):
 
 @query(
     f"""with a as (select owner_id, 'revisit' as kind, reference, confidence, -ratio as o from ({journey_queries.SQL["suggest_revisit"]})),
-    b as (select unnest([0, 1, 2, 3]) as owner_id, 'revive' as kind, reference, confidence, rank as o from ({reading_queries.SQL["suggest_revive"]})),
+    b as (select unnest([0, 1, 2, 3, 4, 5, 6]) as owner_id, 'revive' as kind, reference, confidence, rank as o from ({reading_queries.SQL["suggest_revive"]})),
     r as (select *, (row_number() over (partition by owner_id order by kind = 'revive', o, reference))::int as rank from (select * from a union all select * from b))
     select owner_id, rank, kind, reference, confidence from r where rank <= 5"""
 )
 def suggestions(spark, d):
-    topics = reading_queries.suggest_revive(spark, d).withColumn("owner_id", F.explode(F.array(*(F.lit(i).cast("long") for i in range(4)))))
+    topics = reading_queries.suggest_revive(spark, d).withColumn("owner_id", F.explode(F.array(*(F.lit(i).cast("long") for i in range(7)))))
     return C.suggestions(journey_queries.suggest_revisit(spark, d), topics)

@@ -9,7 +9,7 @@ from waymark.functions.geo import metres_sql, nearest_within
 from waymark.operators import journeys as J
 from waymark.operators import measures as M
 from waymark.operators import places as P
-from waymark.sources.bindings import PHOTOS_SQL, photos, table
+from waymark.sources.bindings import PHOTOS_SQL, YEARS_SQL, YEARS_TODAY, photos, table, years
 from waymark.sources.scratch import kept
 
 QUERIES, SQL = {}, {}
@@ -63,6 +63,17 @@ def _stays(spark: SparkSession, d: str) -> DataFrame:
     return kept(J.stays(photos(spark, d)), "stays")
 
 
+def _year_stays(spark: SparkSession, d: str) -> DataFrame:
+    """Stays of the library over the years."""
+    return kept(J.stays(years(spark, d)), "year-stays")
+
+
+def on_years(sql: str) -> str:
+    """SQL over the photographs, over those of the years instead."""
+    assert PHOTOS_SQL in sql
+    return sql.replace(PHOTOS_SQL, YEARS_SQL, 1)
+
+
 def _deg(c):
     """Rounded away from the halves that means of rounded coordinates hit."""
     return F.round(F.col(c) + 3.3e-8, 6).alias(c)
@@ -260,9 +271,9 @@ def place_interest_score(spark, d):
     return r.withColumns({"score": _r("score", 9), "confidence": _r("confidence", 9)})
 
 
-@query(f"with {ANCHORS_SQL} select {_PLACE_COLS}, visit_days from visits v where not exists (select 1 from anchors a where a.owner_id = v.owner_id and {metres_sql('a.lat', 'a.lon', 'v.lat', 'v.lon')} <= 500)")
+@query(f"with {on_years(ANCHORS_SQL)} select {_PLACE_COLS}, visit_days from visits v where not exists (select 1 from anchors a where a.owner_id = v.owner_id and {metres_sql('a.lat', 'a.lon', 'v.lat', 'v.lon')} <= 500)")
 def anchored_exclusion_antijoin(spark, d):
-    s = _stays(spark, d)
+    s = _year_stays(spark, d)
     return P.outside_anchors(P.visit_days(P.placed(s, 500.0)), P.anchors(s)).select(*_at(), "visit_days")
 
 
@@ -303,8 +314,8 @@ trips as (
 )"""
 
 
-def _trips(spark, d):
-    s = _stays(spark, d)
+def _trips(spark, d, stays=_stays):
+    s = stays(spark, d)
     placed = kept(P.placed(s, 150.0), "placed")
     profiles, numbered = P.place_profiles(placed), J.numbered_stops(s)
     return J.trips(numbered, P.regular_places(profiles)), numbered, placed, profiles
@@ -326,31 +337,28 @@ def place_trip_visits(spark, d):
     return P.with_trip_visits(profiles, placed, trips, numbered).select(*_at(), "visits", "trip_visits", "only_on_trips")
 
 
-TODAY = (1704067200 + 400 * 86400) * US
-
-
 @query(
-    f"""with {TRIP_PROFILES_SQL}, s as (select *, ({TODAY} - last_t) // 86400000000 as days from tp)
+    f"""with {on_years(TRIP_PROFILES_SQL)}, s as (select *, ({YEARS_TODAY} - last_t) // 86400000000 as days from tp)
     select owner_id, printf('place:%.5f,%.5f', lat, lon) as reference, cast(days as int) as days_since, gap_days as cadence_days, round(least(1.0, visits / 6.0), 9) as confidence, round(days / gap_days, 6) as ratio
     from s where visits >= 3 and trip_visits <> visits and gap_days > 0 and (last_t - first_t) // 86400000000 >= 30 and days > 2 * gap_days"""
 )
 def suggest_revisit(spark, d):
-    trips, numbered, placed, profiles = _trips(spark, d)
-    r = P.revisits(P.with_trip_visits(profiles, placed, trips, numbered), TODAY)
+    trips, numbered, placed, profiles = _trips(spark, d, _year_stays)
+    r = P.revisits(P.with_trip_visits(profiles, placed, trips, numbered), YEARS_TODAY)
     return r.withColumns({"confidence": _r("confidence", 9), "ratio": _r("ratio")})
 
 
 @query(
-    f"""with {STOPS_SQL}, q as (select owner_id, km, row_number() over (partition by owner_id order by km) - 1 as i, count(*) over (partition by owner_id) as n from outings where n_stops > 1),
+    f"""with {on_years(STOPS_SQL)}, q as (select owner_id, km, row_number() over (partition by owner_id order by km) - 1 as i, count(*) over (partition by owner_id) as n from outings where n_stops > 1),
     reach as (select owner_id, max(km) filter (i = round_even((n - 1) * 0.8, 0)) as usual from q group by owner_id),
-    c as (select p.owner_id, p.place, printf('place:%.5f,%.5f', p.lat, p.lon) as reference, cast(({TODAY} - p.last_t) // 86400000000 as int) as days_since, p.visits, min({metres_sql("h.lat", "h.lon", "p.lat", "p.lon")}) / 1000 as km
+    c as (select p.owner_id, p.place, printf('place:%.5f,%.5f', p.lat, p.lon) as reference, cast(({YEARS_TODAY} - p.last_t) // 86400000000 as int) as days_since, p.visits, min({metres_sql("h.lat", "h.lon", "p.lat", "p.lon")}) / 1000 as km
       from profiles p join home h on h.owner_id = p.owner_id group by all),
     k as (select c.*, row_number() over (partition by c.owner_id order by days_since desc, km, reference) as nth from c join reach r on r.owner_id = c.owner_id where days_since >= 180 and visits <= 2 and km >= 1 and km <= usual)
     select owner_id, reference, days_since, round(km, 6) as km, round(least(1.0, visits / 6.0), 9) as confidence from k where nth <= 3"""
 )
 def day_trips(spark, d):
-    s = _stays(spark, d)
-    r = P.day_trips(P.place_profiles(P.placed(s, 150.0)), M.reach(J.outings(J.numbered_stops(s))), TODAY)
+    s = _year_stays(spark, d)
+    r = P.day_trips(P.place_profiles(P.placed(s, 150.0)), M.reach(J.outings(J.numbered_stops(s))), YEARS_TODAY)
     return r.withColumns({"km": _r("km"), "confidence": _r("confidence", 9)})
 
 

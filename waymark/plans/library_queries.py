@@ -21,7 +21,7 @@ from waymark.operators.orders import with_rank
 from waymark.plans import journey_queries as V
 from waymark.plans import reading_queries as Q
 from waymark.plans.asking_queries import INSIGHTS_RANKED_SQL, LIBRARY_CORRECTIONS_SQL, library_corrections
-from waymark.sources.bindings import PHOTOS_SQL, SUBJECTS_SQL, THEMES_SQL, photos, subjects, table, themes
+from waymark.sources.bindings import HISTORY_SQL, PHOTOS_SQL, SUBJECTS_SQL, THEMES_SQL, YEARS_CUTS, photos, subjects, table, themes
 
 QUERIES, SQL = {}, {}
 
@@ -75,14 +75,35 @@ def subject_interest_dated(spark, d):
     return Q._flat(I.subject_interests(_dated(spark, d), themes(spark)))
 
 
-_STOPS_REST = V.ANCHORS_SQL.replace(PHOTOS_SQL, "", 1).lstrip(", \n")
+def _pooled(spark, d):
+    """Stays of the years as those of one owner."""
+    return V._year_stays(spark, d).withColumn("owner_id", F.lit(0).cast("long"))
+
+
+def _pool(sql: str) -> str:
+    return V.on_years(sql).replace("stays as (select * from groups", "stays as (select * replace (0::bigint as owner_id) from groups", 1)
+
+
+def _years_history(spark, d):
+    """Kept profiles of the places of all stays before each cut: seq, generated_at, topic, score, confidence, refs."""
+    cuts = F.explode(F.array(*(F.struct(F.lit(i).alias("seq"), F.lit(x).cast("date").alias("day")) for i, x in enumerate(YEARS_CUTS))))
+    rows = P.placed(_pooled(spark, d), 500.0).withColumn("c", cuts).filter(F.col("t0") < F.unix_micros(F.col("c.day").cast("timestamp")))
+    per = P.place_interests(P.visit_days(rows.withColumn("owner_id", F.col("c.seq").cast("long"))))
+    day = F.element_at(F.array(*(F.lit(x).cast("date") for x in YEARS_CUTS)), (F.col("owner_id") + 1).cast("int"))
+    return per.select(F.col("owner_id").cast("int").alias("seq"), day.alias("generated_at"), "topic", "score", "confidence", F.array("topic").alias("refs"))
+
+
+YEARS_HISTORY_SQL = f"""history as (
+  with {_pool(V.STOPS_SQL)}, cuts(seq, day) as (values {", ".join(f"({i}, date '{x}')" for i, x in enumerate(YEARS_CUTS))}),
+  cut as (select seq, day, place, printf('place:%.5f,%.5f', avg(lat), avg(lon)) as topic, count(distinct lt0 // 86400000000) as v, max(lt0 // 86400000000) - min(lt0 // 86400000000) as span from stays, cuts where t0 < epoch_us(day) group by seq, day, place)
+  select seq, day as generated_at, topic, v / (v + 1.0::double) as score, v / (v + 3.0::double) * (span / (span + 30.0::double)) as confidence, [topic] as refs from cut where v > 1)"""
+YEARS_THEMED_SQL = Q.THEMED_SQL.replace(HISTORY_SQL, YEARS_HISTORY_SQL, 1)
 _SCREENS_REST = Q.SCREENS_SQL.replace(PHOTOS_SQL, "", 1).lstrip(", \n")
 
 
 @query(
-    f"""with {DATED_SEEN_SQL}, {_STOPS_REST}, {_SCREENS_REST}, {LIBRARY_CORRECTIONS_SQL},
-    founded as (select owner_id, place, min(t0) as t0 from stays group by all),
-    outside as (select v.*, printf('place:%.5f,%.5f', lat, lon) as topic, row_number() over (partition by v.owner_id order by visit_days desc, n_photos desc, t0) as pos from visits v join founded f on f.owner_id = v.owner_id and f.place = v.place where visit_days > 1 and not exists (select 1 from anchors a where a.owner_id = v.owner_id and {metres_sql("a.lat", "a.lon", "v.lat", "v.lon")} <= 500)),
+    f"""with {DATED_SEEN_SQL}, {_SCREENS_REST}, {LIBRARY_CORRECTIONS_SQL},
+    outside as (with {_pool(V.ANCHORS_SQL)}, founded as (select owner_id, place, min(t0) as t0 from stays group by all) select v.*, printf('place:%.5f,%.5f', lat, lon) as topic, row_number() over (partition by v.owner_id order by visit_days desc, n_photos desc, t0) as pos from visits v join founded f on f.owner_id = v.owner_id and f.place = v.place where visit_days > 1 and not exists (select 1 from anchors a where a.owner_id = v.owner_id and {metres_sql("a.lat", "a.lon", "v.lat", "v.lon")} <= 500)),
     base as (
       select topic, round(visit_days / (visit_days + 1.0), 9) as score, [topic, topic] as evidence, 0 as section, pos from outside
       union all select topic, score, string_split(evidence, ','), 1, 0 from ({_DATED_SCORE.format("spoken")})
@@ -92,7 +113,7 @@ _SCREENS_REST = Q.SCREENS_SQL.replace(PHOTOS_SQL, "", 1).lstrip(", \n")
     select topic, score, evidence, row_number() over (order by score desc, section, pos, topic) as rank from left_over"""
 )
 def profile_assembled(spark, d):
-    s = V._stays(spark, d)
+    s = _pooled(spark, d)
     places = P.place_profile(P.outside_anchors(P.visit_days(P.placed(s, 500.0)), P.anchors(s)))
     shown = Q.screens(spark, d).withColumn("at", F.floor(F.col("at") / 1_000_000))
     rows = I.assembled(places, I.subject_interests(_dated(spark, d), themes(spark)), I.screen_interests(shown)).withColumn("score", _r("score"))
@@ -168,10 +189,23 @@ def measure_facts(spark, d):
 _PHRASES = " ".join(f"when '{k}' then '{v}'" for k, v in E.KIND_PHRASES.items())
 
 
-@query(f"with {Q.THEMED_SQL}, {INSIGHTS_RANKED_SQL} select cast(rank as int) as nth, printf('Interest ''%s'' %s (magnitude %.2f, confidence %.2f).', topic, case kind {_PHRASES} end, round_even(magnitude, 2), round_even(confidence, 2)) as fact from told where rank <= 8")
+_TOLD_NAMES_SQL = f"""sited_topics as (select topic, split_part(substr(topic, 7), ',', 1)::double as y, split_part(substr(topic, 7), ',', 2)::double as x from told where topic like 'place:%'),
+called as (select topic, label from (select topic, label, row_number() over (partition by topic order by m, label) as k from (select topic, label, {metres_sql("y", "x", "names.lat", "names.lon")} as m from sited_topics, names) where m <= 25000) where k = 1),
+tellable as (select told.*, row_number() over (order by rank) as nth, coalesce(label, told.topic) as shown from told left join called on called.topic = told.topic where label is not null or told.topic not like 'place:%')"""
+
+
+@query(f"with {YEARS_THEMED_SQL}, {INSIGHTS_RANKED_SQL}, {V.NAMES_SQL}, {_TOLD_NAMES_SQL} select cast(nth as int) as nth, printf('Interest ''%s'' %s (magnitude %.2f, confidence %.2f).', shown, case kind {_PHRASES} end, round_even(magnitude, 2), round_even(confidence, 2)) as fact from tellable where nth <= 8")
 def insight_facts(spark, d):
-    ranked = A.in_order(C.insights(Q._history(spark, d)))
-    return E.insight_facts(ranked, spark.createDataFrame([], "topic string, label string"))
+    ranked = A.in_order(C.insights(_years_history(spark, d)))
+    return E.insight_facts(ranked, E.place_names(ranked.select("topic"), V._names(spark, d)))
+
+
+@query(
+    f"""with {YEARS_THEMED_SQL} select a.topic as held, b.topic as rising, round(a.magnitude * b.magnitude, 9) as product from ins a, ins b
+    where a.kind = 'enduring' and b.kind = 'rising' and a.topic <> b.topic order by round(a.magnitude * b.magnitude, 12) desc, held, rising limit 3"""
+)
+def mixed_pairs(spark, d):
+    return C.mixed_pairs(C.insights(_years_history(spark, d))).select("held", "rising", _r("product").alias("product"))
 
 
 @query(f"with {Q.THEMED_SQL} select topic, direction, round(strength, 9) as strength, row_number() over (order by round(abs(strength - baseline), 12) desc, topic) as rank from trend")

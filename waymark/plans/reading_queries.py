@@ -195,14 +195,6 @@ def comparison(spark, d):
     return C.compare(_history(spark, d), 1, 3).select("topic", "change", _r("before").alias("before"), _r("after").alias("after"), "evidence_before", "evidence_after", F.array_join("refs", ",").alias("refs"))
 
 
-@query(
-    f"""with {THEMED_SQL} select a.topic as held, b.topic as rising, round(a.magnitude * b.magnitude, 9) as product from ins a, ins b
-    where a.kind = 'enduring' and b.kind = 'rising' and a.topic <> b.topic order by round(a.magnitude * b.magnitude, 12) desc, held, rising limit 3"""
-)
-def mixed_pairs(spark, d):
-    return C.mixed_pairs(C.insights(_history(spark, d))).select("held", "rising", _r("product").alias("product"))
-
-
 @query(f"with {THEMED_SQL} select topic as reference, seen_profiles, round(baseline, 9) as baseline, round(least(1.0, seen_profiles / 6.0), 9) as confidence, row_number() over (order by baseline desc, topic) as rank from lif where stage = 'dormant' and seen_profiles >= 2")
 def suggest_revive(spark, d):
     return C.revivals(C.lifecycles(_history(spark, d))).select("reference", "seen_profiles", _r("baseline").alias("baseline"), _r("confidence").alias("confidence"), F.col("rank").cast("long").alias("rank"))

@@ -106,3 +106,44 @@ history as (
   where d < day and d >= day - 8 and (k % 12 + seq * seq * 2) % 5 < 3 group by seq, day, k % 12
 )"""
 )
+
+
+# A second library, over the years of the orders: each order is an arrival of one of seven owners. Half go home, a third to a few
+# regular places (each open from some year on), the rest to places that hardly anyone sees again; every third order goes on elsewhere.
+YEARS_OWNERS, YEARS_REGULAR, YEARS_FIRST = 7, 20, 1995
+#: The day that years are looked back from, and the ends of the kept profiles.
+YEARS_TODAY = 1_014_940_800 * 1_000_000  # 2002-03-01
+YEARS_CUTS = ("1996-01-01", "1998-01-01", "2000-01-01", "2001-01-01", "2001-09-01")
+
+
+def _site(k, custkey, year, second: bool):
+    home, regular = custkey % YEARS_OWNERS, YEARS_OWNERS + F.floor(k / 10) % YEARS_REGULAR
+    regular = F.when(year < YEARS_FIRST + regular % 7, home).otherwise(regular)
+    if second:
+        return F.when(k % 10 < 5, regular).otherwise(home)
+    return F.when(k % 10 < 5, home).when(k % 10 < 8, regular).otherwise(YEARS_OWNERS + YEARS_REGULAR + F.floor(k / 37))
+
+
+def years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Photographs like ``photos``: three of each arrival, six minutes apart."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"), F.col("o_orderdate").cast("timestamp").alias("at"))
+    k, c, year = F.col("k"), F.col("c"), F.year("at")
+    stop = F.explode(F.array(F.struct(_site(k, c, year, False).alias("site"), F.lit(0).alias("hours")), F.when(k % 3 == 0, F.struct(_site(k, c, year, True).alias("site"), F.lit(3).alias("hours")))))
+    rows = o.withColumn("s", stop).filter("s is not null").withColumn("i", F.explode(F.array(*(F.lit(i) for i in range(3)))))
+    t = F.unix_micros("at") + (6 + F.floor(c / YEARS_OWNERS) % 4 * 3 + F.col("s.hours")) * HOUR_US + F.col("i") * 360_000_000
+    site = F.col("s.site")
+    rows = rows.select(F.concat_ws("-", F.lit("year"), k, F.col("s.hours"), "i").alias("photo_id"), (c % YEARS_OWNERS).alias("owner_id"), t.alias("t"), site.alias("site"), k.alias("k"))
+    lat, lon = F.lit(35.0000000371) + 0.021 * (F.col("site") % 50), F.lit(135.0000000371) + 0.026 * F.floor(F.col("site") / 50)
+    return rows.select("photo_id", "owner_id", "t", F.col("t").alias("lt"), lat.alias("lat"), lon.alias("lon"), F.lit("photo").alias("kind"), F.lit(None).cast("boolean").alias("preference"), "k")
+
+
+_REGULAR = f"case when year(day) < {YEARS_FIRST} + ({YEARS_OWNERS} + k // 10 % {YEARS_REGULAR}) % 7 then c % {YEARS_OWNERS} else {YEARS_OWNERS} + k // 10 % {YEARS_REGULAR} end"
+YEARS_SQL = f"""
+arrivals as (select o_orderkey as k, o_custkey as c, o_orderdate as day from orders),
+sited as (
+  select *, 0 as hours, case when k % 10 < 5 then c % {YEARS_OWNERS} when k % 10 < 8 then {_REGULAR} else {YEARS_OWNERS + YEARS_REGULAR} + k // 37 end as cell from arrivals
+  union all select *, 3, case when k % 10 < 5 then {_REGULAR} else c % {YEARS_OWNERS} end from arrivals where k % 3 = 0),
+photos as (
+  select concat_ws('-', 'year', k, hours, i) as photo_id, c % {YEARS_OWNERS} as owner_id, epoch_us(day) + (6 + c // {YEARS_OWNERS} % 4 * 3 + hours) * {HOUR_US} + i * 360000000 as t,
+    epoch_us(day) + (6 + c // {YEARS_OWNERS} % 4 * 3 + hours) * {HOUR_US} + i * 360000000 as lt, 35.0000000371::double + 0.021::double * (cell % 50) as lat, 135.0000000371::double + 0.026::double * (cell // 50) as lon,
+    'photo' as kind, null::boolean as preference, k, cell from sited, (select unnest([0, 1, 2]) as i))"""
