@@ -52,4 +52,4 @@ def test_no_query_is_empty_on_the_middle_tables():
     d = "/root/testdata/sf0.01"
     for f in os.listdir(d):
         c.execute(f"create view {f.removesuffix('.parquet')} as select * from '{d}/{f}'")
-    assert [n for n, s in sorted(sql().items()) if not c.sql(f"select count(*) from ({s})").fetchone()[0]] == []
+    assert [n for n, s in sorted(sql().items()) if not c.execute(f"select count(*) from ({s})").fetchone()[0]] == []

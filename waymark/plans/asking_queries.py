@@ -10,6 +10,7 @@ from waymark.functions.times import gap, overlaps, time_window
 from waymark.operators import asking as A
 from waymark.operators import change as C
 from waymark.operators import evidence as E
+from waymark.operators import lexical as W
 from waymark.operators import models as L
 from waymark.operators import retrieval as R
 from waymark.plans import reading_queries as Q
@@ -71,13 +72,14 @@ _POINTS_SQL = """pts as (
   select 'stay:' || key as doc_key, avg(lat) as plat, avg(lon) as plon from (select key, unnest(photo_ids) as photo_id from captions where text is not null) c join photos p on p.photo_id = c.photo_id where lat is not null group by key
   union all select 'single:' || s.photo_id, lat, lon from singles s join photos p on p.photo_id = s.photo_id where text is not null and lat is not null)"""
 DOCS_BM25_SQL = Q.BM25_SQL.replace("select 'stay:' || doc_id as doc_key, regexp", "select doc_key, regexp").replace(" from documents)", " from docs)")
-FILTERED_SQL = f"""{Q.CAPTIONS_SQL}, {DOCS_BM25_SQL}, {_POINTS_SQL},
+FILTERED_SQL = f"""{Q.CAPTIONS_SQL}, {_POINTS_SQL},
 win(i, question, since, until) as (values {", ".join(f"({i}, '{q}', {_at(a)}, {_at(b)})" for i, (q, a, b) in enumerate(QUESTIONS))}),
 near(p, nlat, nlon) as (values {", ".join(f"({p}, {y}::double, {x}::double)" for p, y, x in NEAR)}),
 asked as (select vec_id as query_id, question, since, until, nlat, nlon, embedding::double[] as q from embeddings join win on win.i = (vec_id // 100) % {len(QUESTIONS)} left join near on near.p = (vec_id // 100) % 4 where vec_id % 100 = 0),
+{Q.words_sql("docs", "asked", 300)},
 hits as (
   select query_id, 'stay:' || vec_id as doc_key, list_inner_product(embedding::double[], q) as score, 'meaning' as channel from embeddings, asked where 'stay:' || vec_id in (select doc_key from docs)
-  union all select query_id, doc_key, score, 'words' from bm, asked where score > 0),
+  union all select query_id, doc_key, score, 'words' from worded),
 deep as (select *, row_number() over (partition by query_id, channel order by score desc, doc_key) as nth from hits),
 left_over as (
   select deep.query_id, deep.doc_key, deep.score, deep.channel from deep join asked on asked.query_id = deep.query_id join docs on docs.doc_key = deep.doc_key left join pts on pts.doc_key = deep.doc_key
@@ -99,9 +101,8 @@ def _filtered(spark, d):
     captions, singles, shots = Q._readings(spark, d)
     p = photos(spark, d)
     docs = R.gather(captions, singles, shots, p)
-    words = R.bm25(docs, Q.WORDS).orderBy(F.desc("score"), "doc_key").limit(300)  # the deepest channel; the same words for every question
     rows = v.select(F.concat(F.lit("stay:"), "vec_id").alias("doc_key"), "embedding").join(docs.select("doc_key").distinct(), "doc_key", "left_semi")
-    channels = {"words": asked.select("query_id").crossJoin(F.broadcast(words)), "meaning": R.dense_all(rows, asked.select("query_id", "embedding"), 300)}
+    channels = {"words": W.match_words(W.build_index(docs), asked, 300), "meaning": R.dense_all(rows, asked.select("query_id", "embedding"), 300)}
     return A.retrieve(channels, asked, docs, E.document_points(captions, singles, p)), asked, docs
 
 

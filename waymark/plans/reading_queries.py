@@ -8,6 +8,7 @@ from waymark.functions.geo import metres_sql
 from waymark.functions.keys import GENERIC_LABELS, blurred, content_key, source_of
 from waymark.operators import change as C
 from waymark.operators import interests as I
+from waymark.operators import lexical as W
 from waymark.operators import retrieval as R
 from waymark.operators import stewardship as S
 from waymark.sources.bindings import HISTORY_SQL, PHOTOS_SQL, SUBJECTS_SQL, THEMES_SQL, history, photos, subjects, table, themes
@@ -330,6 +331,45 @@ def ask_confidence_all(spark, d):
     return R.confidence(_all_fused(spark, d), by=("query_id",)).withColumn("confidence", _r("confidence"))
 
 
+def words_sql(docs: str, asked: str, depth: int) -> str:
+    """The best documents (doc_key, text) of each question (query_id, question) by its own words, as ``worded``."""
+    cut = lambda c: f"regexp_extract_all(lower({c}), '[\\p{{L}}\\p{{M}}\\p{{Nd}}_]+')"
+    return f"""kw_said as (select doc_key, {cut("text")} as w from {docs}), kw_sizes as (select count(*) as docs, avg(coalesce(len(w), 0))::double as avgdl from kw_said),
+    kw_tokens as (select doc_key, len(w)::double as dl, unnest(w) as term from kw_said), kw_tf as (select doc_key, dl, term, count(*)::double as f from kw_tokens group by all), kw_df as (select term, count(*) as d from kw_tf group by term),
+    kw_terms as (select query_id, term, count(*)::double as weight from (select query_id, unnest({cut("question")}) as term from {asked}) group by all),
+    kw_bms as (select query_id, doc_key, round(sum(weight * ln(1 + (docs - d + 0.5) / (d + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / avgdl))), 12) as score from kw_terms join kw_tf using (term) join kw_df using (term), kw_sizes group by all),
+    worded as (select * from (select *, row_number() over (partition by query_id order by score desc, doc_key) as r from kw_bms) where r <= {depth})"""
+
+
+# The question of a vector: the first words of the document of its number.
+ASKED_TEXTS_SQL = f"""texts as (select 'stay:' || doc_id as doc_key, text from documents),
+worded_questions as (select vec_id as query_id, array_to_string(string_split(text, ' ')[1:6], ' ') as question from embeddings join documents on doc_id = vec_id where vec_id % 100 = 0), {words_sql("texts", "worded_questions", 30)}"""
+
+
+def _asked_texts(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 6), " ").alias("question"))
+    return _questions(spark, d).select("query_id").join(docs, "query_id")
+
+
+def _own_words(spark, d):
+    return W.match_words(W.build_index(_texts(spark, d)), _asked_texts(spark, d), 30)
+
+
+@query(f"with {ASKED_TEXTS_SQL} select query_id, doc_key, round(score, 6) as score from worded")
+def match_words_all(spark, d):
+    return _own_words(spark, d).withColumn("score", _r("score", 6))
+
+
+@query(
+    f"""with {QUESTIONS_SQL}, {ASKED_TEXTS_SQL}, rk as (select query_id, doc_key, 'words' as channel, r from worded union all select query_id, doc_key, 'meaning', r from alldot),
+    sums as (select query_id, doc_key, sum(1.0::double / (60 + r)) as score, array_to_string(list_sort(list(distinct channel)), '+') as channels from rk group by query_id, doc_key)
+    select query_id, doc_key, round(score, 9) as score, channels from (select *, row_number() over (partition by query_id order by score desc, doc_key) as nth from sums) where nth <= 8"""
+)
+def rrf_words_all(spark, d):
+    found = R.fuse_all({"words": _own_words(spark, d), "meaning": _all_dense(spark, d)})
+    return found.select("query_id", "doc_key", _r("score").alias("score"), F.array_join("channels", "+").alias("channels"))
+
+
 @query(f"with {PHOTOS_SQL} select photo_id, owner_id from photos where lat is not null and {metres_sql('35.0', '135.0', 'lat', 'lon')} <= 30000")
 def reach_filter(spark, d):
     return R.within_reach(photos(spark, d).filter("lat is not null"), 35.0, 135.0).select("photo_id", "owner_id")
