@@ -28,7 +28,7 @@ def key(row):
     return tuple((x is None, f"{x:.6f}" if isinstance(x, float) else str(x)) for x in row)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(sql()))
 def test_query_equals_sql(name, spark, sf, con):
     df = queries()[name](spark, sf)
     cols = sorted(df.columns)
@@ -42,7 +42,7 @@ def test_query_equals_sql(name, spark, sf, con):
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(sql())
+    assert set(queries()) - set(sql()) == {"match_meaning_cells"}  # its recall is held against the exact way
 
 
 def test_no_query_is_empty_on_the_middle_tables():

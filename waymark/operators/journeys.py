@@ -133,10 +133,20 @@ def stays(photos: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
 
 
 def numbered_stops(stays: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
-    """Stays with ``outing`` (a number per owner): a new one after a silence of more than the longest absence."""
-    w = Window.partitionBy("owner_id").orderBy("t0", "t1")
-    new = F.when(F.col("t0") - F.lag("t1").over(w) <= cfg.max_absence_s * 1_000_000, 0).otherwise(1)
-    return stays.withColumn("new", new).withColumn("outing", F.sum("new").over(w)).drop("new")
+    """Stays with ``outing`` (a number per owner): a new one after a silence of more than the longest absence.
+
+    Like the silence cut of photographs it works by owner and day; what a day takes over is the end of the last stay before it and how
+    many outings have begun, one row per owner and day.
+    """
+    rows = stays.withColumn("day", F.floor(F.col("t0") / DAY_US))
+    own = Window.partitionBy("owner_id", "day").orderBy("t0", "t1")
+    by_day = Window.partitionBy("owner_id").orderBy("day")
+    last = rows.groupBy("owner_id", "day").agg(F.max_by("t1", F.struct("t0", "t1")).alias("last")).withColumn("carried", F.lag("last").over(by_day)).drop("last")
+    rows = rows.withColumn("prev", F.lag("t1").over(own)).join(last, ["owner_id", "day"])
+    new = F.when(F.col("t0") - F.coalesce("prev", "carried") <= cfg.max_absence_s * 1_000_000, 0).otherwise(1)
+    rows = rows.withColumn("new", new).drop("prev", "carried")
+    begun = rows.groupBy("owner_id", "day").agg(F.sum("new").alias("n")).withColumn("carried", F.coalesce(F.sum("n").over(by_day.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    return rows.join(begun, ["owner_id", "day"]).withColumn("outing", F.sum("new").over(own) + F.col("carried")).drop("new", "carried", "day")
 
 
 def outings(numbered: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from math import ceil, cos, floor, radians
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.config import DEFAULT, Settings
@@ -16,6 +16,7 @@ from waymark.functions.geo import EARTH_M, metres
 from waymark.functions.keys import place_reference
 from waymark.operators.journeys import point_metres
 from waymark.operators.measures import in_hours, wall_hour, wall_weekday
+from waymark.sources.scratch import kept
 from waymark.sources.shipping import ship
 
 DAY_US = 86_400_000_000
@@ -110,49 +111,94 @@ def grown(lat: np.ndarray, lon: np.ndarray, radius_m: float) -> np.ndarray:
 
 
 _PLACED = "owner_id long, stop string, t0 long, t1 long, lt0 long, lt1 long, lat double, lon double, n_photos long"
+#: Bands in the width of a radius, cuts at most, and the latitude beyond which and the longitude from which on nothing is cut from west to east.
+BANDS, CUTS, CUT_LAT, CUT_LON = 4, 6, 80.0, 179.0
+
+
+def _apart(band: str, gap) -> Column:
+    """How many empty stripes wider than ``gap`` bands lie before a band of its region."""
+    order = Window.partitionBy("owner_id", "region").orderBy(band)
+    wide = F.col(band) - F.lag(band).over(order) > gap
+    return F.sum(F.when(wide, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0))
+
+
+def regions(stays: DataFrame, radius_m: float) -> DataFrame:
+    """Stays with ``region``: stays of one owner in different regions are never within the radius of each other's places.
+
+    An owner's stays are cut where a stripe from west to east or from south to north, wider than the radius, has no stay; each part is
+    cut again the other way, until nothing changes or after ``CUTS`` cuts. A place's centre lies in the box around its stays, so no centre
+    comes near a stay on the other side of a stripe, and regions can be folded apart. What is sorted is a row a band, not a stay.
+    Near the poles and the date line nothing is cut by longitude.
+    """
+    deg = _step(radius_m)
+    y, x = F.floor(F.col("lat") / (deg / BANDS)), F.floor(F.col("lon") / (deg / BANDS))
+    rows = stays.withColumns({"band_y": y, "band_x": x})
+    cells = rows.groupBy("owner_id", "band_y", "band_x").agg(F.max(F.abs("lat")).alias("far_y"), F.max(F.abs("lon")).alias("far_x")).withColumn("region", F.lit(0).cast("long"))
+    cells = kept(cells, "place-cells")
+    found, still = cells.select("owner_id").distinct().count(), 0
+    for cut in range(CUTS):
+        if cut % 2 == 0:
+            bands = cells.select("owner_id", "region", "band_y").distinct()
+            parts = bands.withColumn("part", _apart("band_y", F.lit(BANDS + 1)))
+            cells = cells.join(parts, ["owner_id", "region", "band_y"])
+        else:
+            flat = Window.partitionBy("owner_id", "region")
+            bands = cells.groupBy("owner_id", "region", "band_x").agg(F.max("far_y").alias("y"), F.max("far_x").alias("x")).withColumns({"y": F.max("y").over(flat), "x": F.max("x").over(flat)})
+            gap = F.when((F.col("y") <= CUT_LAT) & (F.col("x") < CUT_LON), F.ceil(1.01 * BANDS / F.cos(F.radians(F.least("y", F.lit(CUT_LAT))))) + 1)
+            parts = bands.withColumn("part", F.coalesce(_apart("band_x", gap), F.lit(0))).select("owner_id", "region", "band_x", "part")
+            cells = cells.join(parts, ["owner_id", "region", "band_x"])
+        # two regions under one hash would be folded together, which changes nothing
+        cells = cells.select("owner_id", "band_y", "band_x", "far_y", "far_x", F.when(F.col("part") == 0, F.col("region")).otherwise(F.xxhash64("region", "part", F.lit(cut))).alias("region"))
+        cells = kept(cells, "place-cells")
+        now = cells.select("owner_id", "region").distinct().count()
+        still = still + 1 if now == found else 0
+        if still == 2:
+            break
+        found = now
+    return rows.join(cells.select("owner_id", "band_y", "band_x", "region"), ["owner_id", "band_y", "band_x"]).drop("band_y", "band_x")
 
 
 def placed(stays: DataFrame, radius_m: float, how=first_near) -> DataFrame:
-    """Stays with ``place``, a number per owner. The clusterings depend on order, so an owner's stays (not photographs) come in order to one task.
+    """Stays with ``place``, a number per owner in order of founding.
 
-    By first nearness a task holds an owner's places only, not the stays; other clusterings get an owner's stays at once, owner by owner.
+    The clusterings depend on order, so the stays (not photographs) of a region of an owner come in order to one task; an owner is as many
+    tasks as there are regions (``regions``). By first nearness a task holds a region's places only, not the stays; other clusterings get
+    the stays of a region at once. Places are numbered by their first stays, a row a place.
     """
     ship(stays.sparkSession)
     names = [c.split()[0] for c in _PLACED.split(", ")]
     rows = (stays if "stop" in stays.columns else stays.withColumn("stop", F.lit(None).cast("string"))).select(*names)
-    if how is first_near:
-
-        def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            owner, places = None, Places(radius_m)
-            for batch in batches:
-                found = []
-                for o, y, x in zip(batch.column("owner_id").to_pylist(), batch.column("lat").to_pylist(), batch.column("lon").to_pylist()):
-                    if o != owner:
-                        owner, places = o, Places(radius_m)
-                    found.append(places.place(y, x))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int64())], names=[*names, "place"])
+    rows = regions(rows.filter("lat is not null and lon is not null"), radius_m).select(*names, "region")
 
-        return rows.repartition("owner_id").sortWithinPartitions("owner_id", "t0", "t1", "stop").mapInArrow(fold, _PLACED + ", place long")
+    def one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, places = None, Places(radius_m)
+        for batch in batches:
+            found = []
+            for o, r, y, x in zip(*(batch.column(c).to_pylist() for c in ("owner_id", "region", "lat", "lon"))):
+                if (o, r) != own:
+                    own, places = (o, r), Places(radius_m)
+                found.append(places.place(y, x))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int64())], names=[*names, "region", "nth"])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        owner, held, done = None, [], []
+        own, held, done = None, [], []
 
         def close() -> None:
             rows = pa.Table.from_batches(held)
             found = how(rows.column("lat").to_numpy(), rows.column("lon").to_numpy(), radius_m)
-            done.append(rows.append_column("place", pa.array(found, pa.int64())))
+            done.append(rows.append_column("nth", pa.array(found, pa.int64())))
             held.clear()
 
         for batch in batches:
-            owners, begin = batch.column("owner_id").to_pylist(), 0
-            for i, o in enumerate(owners):
-                if o != owner:
+            keys, begin = list(zip(batch.column("owner_id").to_pylist(), batch.column("region").to_pylist())), 0
+            for i, key in enumerate(keys):
+                if key != own:
                     if i > begin:
                         held.append(batch.slice(begin, i - begin))
                     if held:
                         close()
-                    owner, begin = o, i
-            if begin < len(owners):
+                    own, begin = key, i
+            if begin < len(keys):
                 held.append(batch.slice(begin))
             if done:
                 yield from pa.concat_tables(done).combine_chunks().to_batches()
@@ -161,7 +207,12 @@ def placed(stays: DataFrame, radius_m: float, how=first_near) -> DataFrame:
             close()
             yield from done[0].combine_chunks().to_batches()
 
-    return rows.repartition("owner_id").sortWithinPartitions("owner_id", "t0", "t1", "stop").mapInArrow(whole, _PLACED + ", place long")
+    fold = one_by_one if how is first_near else whole
+    put = rows.repartition("owner_id", "region").sortWithinPartitions("owner_id", "region", "t0", "t1", "stop").mapInArrow(fold, _PLACED + ", region long, nth long")
+    put = kept(put, "placed-regions")
+    first = put.groupBy("owner_id", "region", "nth").agg(F.min(F.struct("t0", "t1", "stop")).alias("first"))
+    number = F.row_number().over(Window.partitionBy("owner_id").orderBy("first", "region", "nth")).cast("long") - 1
+    return put.join(first.select("owner_id", "region", "nth", number.alias("place")), ["owner_id", "region", "nth"]).select(*names, "place")
 
 
 def _day(c: str):

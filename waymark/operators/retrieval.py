@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,10 +97,10 @@ def dense(embeddings: DataFrame, query: list[float], depth: int) -> DataFrame:
 
 
 def _packed(vectors: DataFrame, key: str, most: int) -> DataFrame:
-    """Rows (key, embedding) as blocks of up to ``most`` vectors of one width: width, keys and the doubles as bytes."""
+    """Rows (cell, key, embedding) as blocks of up to ``most`` vectors of one cell and width: cell, width, keys and the doubles as bytes."""
     ship(vectors.sparkSession)
     kind = vectors.schema[key].dataType.simpleString()
-    rows = vectors.filter(F.size("embedding") > 0).filter(~F.exists("embedding", lambda x: x.isNull())).select(key, F.col("embedding").cast("array<double>").alias("embedding"))
+    rows = vectors.filter(F.size("embedding") > 0).filter(~F.exists("embedding", lambda x: x.isNull())).select(F.col("cell").cast("int").alias("cell"), key, F.col("embedding").cast("array<double>").alias("embedding"))
 
     def pack(batches):
         import numpy as np
@@ -106,16 +108,16 @@ def _packed(vectors: DataFrame, key: str, most: int) -> DataFrame:
         import pyarrow.compute as pc
 
         for b in batches:
-            wide = pc.list_value_length(b.column(1))
-            for w in pc.unique(wide).to_pylist():
-                own = b.filter(pc.equal(wide, w))
+            wide = pc.list_value_length(b.column(2))
+            for c, w in sorted(set(zip(b.column(0).to_pylist(), wide.to_pylist()))):
+                own = b.filter(pc.and_(pc.equal(b.column(0), c), pc.equal(wide, w)))
                 for i in range(0, own.num_rows, most):
                     part = own.slice(i, most)
-                    data = np.asarray(part.column(1).flatten(), "<f8").tobytes()
-                    keys = pa.array([part.column(0).to_pylist()], pa.list_(part.column(0).type))
-                    yield pa.RecordBatch.from_arrays([pa.array([w], pa.int32()), keys, pa.array([data], pa.binary())], ["width", "keys", "data"])
+                    data = np.asarray(part.column(2).flatten(), "<f8").tobytes()
+                    keys = pa.array([part.column(1).to_pylist()], pa.list_(part.column(1).type))
+                    yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([w], pa.int32()), keys, pa.array([data], pa.binary())], ["cell", "width", "keys", "data"])
 
-    return rows.mapInArrow(pack, f"width int, keys array<{kind}>, data binary")
+    return rows.mapInArrow(pack, f"cell int, width int, keys array<{kind}>, data binary")
 
 
 def dense_all(embeddings: DataFrame, queries: DataFrame, depth: int) -> DataFrame:
@@ -125,7 +127,13 @@ def dense_all(embeddings: DataFrame, queries: DataFrame, depth: int) -> DataFram
     query and task are shuffled. Sums run over the dimensions in order, so equal vectors get equal scores in any block.
     A query skips vectors of another width; null vectors and vectors with a null element give no row.
     """
-    q = _packed(queries, "query_id", QUERY_BLOCK).select(F.col("width").alias("qw"), F.col("keys").alias("qk"), F.col("data").alias("qd"))
+    one = F.lit(0)
+    return _best(_packed(queries.withColumn("cell", one), "query_id", QUERY_BLOCK), _packed(embeddings.withColumn("cell", one), "doc_key", ROW_BLOCK), queries, depth, lambda q, rows: q.drop("cell").crossJoin(rows))
+
+
+def _best(q: DataFrame, rows: DataFrame, queries: DataFrame, depth: int, meet: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """The best rows of each query among the blocks that ``meet`` brings together."""
+    q = q.select("cell", F.col("width").alias("qw"), F.col("keys").alias("qk"), F.col("data").alias("qd"))
     kind = queries.schema["query_id"].dataType.simpleString()
 
     def score(batches):
@@ -167,7 +175,7 @@ def dense_all(embeddings: DataFrame, queries: DataFrame, depth: int) -> DataFram
         if top:
             yield out(ids, top)
 
-    part = q.crossJoin(_packed(embeddings, "doc_key", ROW_BLOCK)).mapInArrow(score, f"query_id {kind}, doc_key string, score double")
+    part = meet(q, rows).select("qw", "qk", "qd", "width", "keys", "data").mapInArrow(score, f"query_id {kind}, doc_key string, score double")
     nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_key"))
     return part.withColumn("nth", nth).filter(F.col("nth") <= depth).drop("nth")
 

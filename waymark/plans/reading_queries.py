@@ -8,6 +8,7 @@ from waymark.functions.geo import metres_sql
 from waymark.functions.keys import GENERIC_LABELS, blurred, content_key, source_of
 from waymark.operators import change as C
 from waymark.operators import interests as I
+from waymark.operators import cells as N
 from waymark.operators import lexical as W
 from waymark.operators import retrieval as R
 from waymark.operators import stewardship as S
@@ -316,6 +317,16 @@ def match_meaning_all(spark, d):
     return _all_dense(spark, d).withColumn("score", _r("score", 6))
 
 
+def match_meaning_cells(spark, d):
+    """Every hundredth vector against the cells of all vectors. Which cells a query looks into is fitted, so SQL has no word in it."""
+    rows = table(spark, d, "embeddings").select(F.concat(F.lit("stay:"), "vec_id").alias("doc_key"), "embedding")
+    width = rows.select(F.max(F.size("embedding"))).first()[0]
+    return N.search(N.build(rows, width), _questions(spark, d), 30).withColumn("score", _r("score", 6))
+
+
+QUERIES["match_meaning_cells"] = match_meaning_cells
+
+
 def _all_fused(spark, d):
     words = R.bm25(_texts(spark, d), WORDS).orderBy(F.desc("score"), "doc_key").limit(30)  # the same words for every question
     return R.fuse_all({"words": _questions(spark, d).select("query_id").crossJoin(F.broadcast(words)), "meaning": _all_dense(spark, d)})
