@@ -85,3 +85,34 @@ def test_subject_answers(spark):
     rows = [("a", '```json\n["Dog ", "dog", "", "Sea"]\n```', None), ("b", "no list " * 30, None), ("c", None, "model refused"), ("d", "[]", None), ("e", "[1, broken", None)]
     got = {r.key: (r.labels, r.refused) for r in stages.read_subjects(spark.createDataFrame([(*r, "v") for r in rows], stages.RESULT)).collect()}
     assert got == {"a": (["dog", "sea"], None), "b": ([], "unparseable answer: " + ("no list " * 30)[:80]), "c": ([], "model refused"), "d": ([], "unparseable answer: []"), "e": ([], "unparseable answer: [1, broken")}
+
+
+def test_themes_of_many_labels_equal_the_plain_definition():
+    import time
+
+    import numpy as np
+
+    from waymark.config import DEFAULT
+    from waymark.operators.models import theme_groups
+
+    def plain(vectors, stays, order):
+        unit, groups = vectors / np.linalg.norm(vectors, axis=1, keepdims=True), []
+        for i in order:
+            sims = [float(unit[i] @ (unit[g].mean(0) / np.linalg.norm(unit[g].mean(0)))) for g in groups]
+            at = max(range(len(sims)), key=lambda k: (sims[k], -k), default=None)
+            share = at is not None and stays[i] and len(stays[i] & set().union(*(stays[m] for m in groups[at]))) / len(stays[i]) >= DEFAULT.theme_shared
+            if at is not None and (sims[at] >= DEFAULT.theme_strong or (sims[at] >= DEFAULT.theme_weak and share)):
+                groups[at].append(i)
+            else:
+                groups.append([i])
+        return [g for g in groups if len(g) >= DEFAULT.min_members]
+
+    rng = np.random.default_rng(1)
+    base = rng.normal(size=(300, 48))
+    make = lambda n: (base[rng.integers(0, 300, n)] + rng.normal(size=(n, 48)) * rng.choice([0.4, 0.8, 1.2], (n, 1)), [set(rng.integers(0, 30, rng.integers(0, 4)).tolist()) for _ in range(n)])
+    vectors, stays = make(500)
+    assert theme_groups(vectors, stays, list(range(500))) == plain(vectors, stays, range(500))
+    vectors, stays = make(20_000)
+    began = time.time()
+    groups = theme_groups(vectors, stays, list(range(20_000)))
+    assert sum(map(len, groups)) > 5_000 and time.time() - began < 120

@@ -112,21 +112,30 @@ def embed(pending: DataFrame, embedder: Callable[[list[str]], list[list[float]]]
 
 
 def theme_groups(vectors: np.ndarray, stays: list[set], order: list[int], cfg: Settings = DEFAULT) -> list[list[int]]:
-    """Labels in order join the most alike group so far: alike enough, or fairly alike and seen on the same stays; small groups go."""
+    """Labels in order join the most alike group so far: alike enough, or fairly alike and seen on the same stays; small groups go.
+
+    A group is the running sum of its unit vectors, its length and the union of its stays; all groups are compared in one product.
+    """
     unit = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
     groups: list[list[int]] = []
+    seen: list[set] = []
+    sums, lengths = np.zeros((64, unit.shape[1])), np.ones(64)
     for i in order:
-        best, at = -1.0, -1
-        for g, members in enumerate(groups):
-            mean = unit[members].mean(0)
-            sim = float(unit[i] @ (mean / max(np.linalg.norm(mean), 1e-12)))
-            if sim > best:
-                best, at = sim, g
-        shared = at >= 0 and stays[i] and len(stays[i] & set().union(*(stays[m] for m in groups[at]))) / len(stays[i]) >= cfg.theme_shared
-        if at >= 0 and (best >= cfg.theme_strong or (best >= cfg.theme_weak and shared)):
-            groups[at].append(i)
-        else:
-            groups.append([i])
+        n, own = len(groups), stays[i]
+        sims = sums[:n] @ unit[i] / lengths[:n]
+        at = int(sims.argmax()) if n else -1
+        best = float(sims[at]) if n else -1.0
+        shared = n and own and len(own & seen[at]) / len(own) >= cfg.theme_shared
+        if not (n and (best >= cfg.theme_strong or (best >= cfg.theme_weak and shared))):
+            at = n
+            groups.append([])
+            seen.append(set())
+            if n == len(sums):
+                sums, lengths = np.concatenate([sums, np.zeros_like(sums)]), np.concatenate([lengths, np.ones_like(lengths)])
+        groups[at].append(i)
+        seen[at] |= own
+        sums[at] += unit[i]
+        lengths[at] = max(float(np.linalg.norm(sums[at])), 1e-12)
     return [g for g in groups if len(g) >= cfg.min_members]
 
 
@@ -136,7 +145,8 @@ def cluster_labels(labels: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.assign(n=[len(s) for s in pdf["stays"]]).sort_values(["n", "label"], ascending=[False, True]).reset_index(drop=True)
-        groups = theme_groups(np.stack(pdf["vector"].to_numpy()), [set(s) for s in pdf["stays"]], list(range(len(pdf))), cfg)
+        number = {x: k for k, x in enumerate(sorted({x for s in pdf["stays"] for x in s}))}
+        groups = theme_groups(np.stack(pdf["vector"].to_numpy()), [{number[x] for x in s} for s in pdf["stays"]], list(range(len(pdf))), cfg)
         return pd.DataFrame([(pdf["owner_id"].iloc[0], k, pdf["label"].iloc[i]) for k, g in enumerate(groups) for i in g], columns=["owner_id", "theme", "label"])
 
     return labels.groupBy("owner_id").applyInPandas(fold, "owner_id long, theme int, label string")

@@ -118,3 +118,40 @@ def subject_outcomes(spark, d):
     G.run(G.subject_selection(captions, singles, none), subject_model, store, "v1", wave=500)
     got = kept(G.read_subjects(G.results(spark, store)), "subjects")
     return got.select("key", F.array_join(F.array_sort("labels"), "|").alias("labels"), "refused")
+
+
+# Labels of ten owners, a vector each: near one of seven directions, more or less; and the stays that they were seen on.
+LABELS_SQL = """labels as (
+  select (e.vec_id // 7 % 10) as owner_id, 'label ' || e.vec_id as label, list_transform(list_zip(b.embedding::double[], e.embedding::double[]), lambda x: x[1] + x[2] * (0.4 + e.vec_id % 5 * 0.2::double)) as v,
+    [e.vec_id % 3, 10 + e.vec_id % 5, 20 + e.vec_id // 10 % 4][1:1 + e.vec_id % 3] as stays from embeddings e join embeddings b on b.vec_id = e.vec_id % 7),
+ranked as (select owner_id, label, stays, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) as u, row_number() over (partition by owner_id order by len(stays) desc, label) as i from labels)"""
+
+
+def _labels(spark, d):
+    from waymark.sources.bindings import table
+
+    e, b = table(spark, d, "embeddings"), table(spark, d, "embeddings").select(F.col("vec_id").alias("base"), F.col("embedding").alias("towards"))
+    i = F.col("vec_id")
+    rows = e.join(F.broadcast(b.filter("base < 7")), i % 7 == F.col("base"))  # seven rows
+    v = F.zip_with("towards", "embedding", lambda x, y: x.cast("double") + y.cast("double") * (F.lit(0.4) + i % 5 * 0.2))
+    stays = F.slice(F.array(i % 3, 10 + i % 5, 20 + F.floor(i / 10) % 4), F.lit(1), (1 + i % 3).cast("int"))
+    return rows.select((F.floor(i / 7) % 10).alias("owner_id"), F.concat(F.lit("label "), i).alias("label"), v.alias("vector"), stays.alias("stays"))
+
+
+@query(
+    f"""with recursive {LABELS_SQL}, fold as (
+      select owner_id, i, [{{'s': u, 'st': stays}}] as gs, [1] as put from ranked where i = 1
+      union all
+      select owner_id, i, case when hit is null then list_append(gs, {{'s': u, 'st': stays}}) else list_transform(gs, lambda g, j: case when j = hit then {{'s': list_transform(list_zip(g.s, u), lambda x: x[1] + x[2]), 'st': list_distinct(list_concat(g.st, stays))}} else g end) end,
+        list_append(put, cast(coalesce(hit, len(gs) + 1) as int))
+      from (select *, case when sims[top] >= 0.75 or (sims[top] >= 0.6 and len(list_intersect(stays, gs[top].st)) / len(stays) >= 0.5) then top end as hit
+        from (select *, list_position(sims, list_max(sims)) as top from (select r.*, f.gs, f.put, list_transform(f.gs, lambda g: list_inner_product(g.s, r.u) / sqrt(list_inner_product(g.s, g.s))) as sims from fold f join ranked r on r.owner_id = f.owner_id and r.i = f.i + 1)))),
+    ended as (select owner_id, put from fold where (owner_id, i) in (select owner_id, max(i) from ranked group by owner_id)),
+    member as (select owner_id, unnest(put) as g, unnest(generate_series(1, len(put))) as i from ended),
+    big as (select owner_id, g, row_number() over (partition by owner_id order by g) - 1 as theme from member group by owner_id, g having count(*) >= 2)
+    select m.owner_id, cast(theme as int) as theme, label from member m join big using (owner_id, g) join ranked r on r.owner_id = m.owner_id and r.i = m.i"""
+)
+def theme_clusters(spark, d):
+    from waymark.operators.models import cluster_labels
+
+    return cluster_labels(_labels(spark, d))
