@@ -66,3 +66,27 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_key string, text string")
     index = lexical.build_index(none)
     assert lexical.match_words(index, spark.createDataFrame([(1, "a")], "query_id long, question string"), 3).count() == 0
+
+
+def test_topics_in_texts(spark, monkeypatch):
+    from waymark.operators import asking
+
+    rng = random.Random(6)
+    topics = [(f"topic {i} {'Ünïcode' if i % 9 == 0 else ''}".strip(), i + 1) for i in range(400)] + [("TOPIC 7", 401), ("opic", 402), ("zz", 403)]
+    texts = [(i, " and ".join(f"topic {rng.randrange(2000)}" for _ in range(rng.randint(0, 6))).lower()) for i in range(60)] + [(99, None), (98, "zz topic 9 ünïcode")]
+    told, found = spark.createDataFrame(texts, "query_id long, told string"), spark.createDataFrame(topics, "topic string, rank long")
+    want = {q: [t for t, r in topics if t.lower() in (s or "")][:3] for q, s in texts}
+    for block in (50_000, 37):
+        monkeypatch.setattr(asking, "TOPIC_BLOCK", block)
+        got = {r.query_id: r.supporting for r in asking.supporting(told, found).collect()}
+        assert got == {q: t for q, t in want.items() if t}
+    assert "CartesianProduct" not in asking.supporting(told, found)._jdf.queryExecution().toString()
+
+
+def test_very_many_topics(spark):
+    from waymark.operators import asking
+
+    found = spark.range(100_000).select(F.concat(F.lit("word"), "id").alias("topic"), (F.col("id") + 1).alias("rank"))
+    told = spark.createDataFrame([(i, f"word{i * 997} x word99999") for i in range(100)], "query_id long, told string")
+    got = {r.query_id: r.supporting for r in asking.supporting(told, found).collect()}
+    assert len(got) == 100 and all("word99999"[: len(t)] == t or f"word{q * 997}".startswith(t) for q, ts in got.items() for t in ts)

@@ -116,3 +116,26 @@ def test_themes_of_many_labels_equal_the_plain_definition():
     began = time.time()
     groups = theme_groups(vectors, stays, list(range(20_000)))
     assert sum(map(len, groups)) > 5_000 and time.time() - began < 120
+
+
+def test_narration(spark):
+    from waymark.operators import telling
+
+    owners = spark.createDataFrame([(1,), (2,), (3,)], "owner_id long")
+    own = spark.createDataFrame([(1, 2, "Place b."), (1, 1, "Place a."), (1, 1, "Near a: x."), (2, 0, "12 outings.")], "owner_id long, nth int, fact string")
+    shared = spark.createDataFrame([(1, "Subject s.")], "nth int, fact string")
+    listed = telling.facts_in_order(owners, [own, shared.limit(0)])
+    assert {r.owner_id: r.facts for r in listed.collect()} == {1: ["Near a: x.", "Place a.", "Place b."], 2: ["12 outings."], 3: []}
+    assert [r.p for r in telling.facts_in_order(owners.filter("owner_id = 1"), [own, shared]).select(telling.prompt(F.col("facts")).alias("p")).collect()] == ["[F1] Near a: x.\n[F2] Place a.\n[F3] Place b.\n[F4] Subject s."]
+
+    def model(instruction, prompts):
+        assert instruction.endswith("in Japanese. Warm and concrete; no flattery.")
+        return [("12 outings [F1]; 13 of them [F7].", None) if "outings" in p else (None, "model refused") for p in prompts]
+
+    got = {r.owner_id: tuple(r)[1:] for r in telling.tell(listed.coalesce(1), model, telling.system(telling.PROFILE_SYSTEM, "ja")).collect()}
+    assert got == {1: (None, "model refused", []), 2: ("12 outings [F1]; 13 of them [F7].", None, ["unknown citation", "unsupported number"]), 3: ("", None, [])}
+
+    def away(instruction, prompts):
+        raise Unavailable
+
+    assert [r.owner_id for r in telling.tell(listed.coalesce(1), away, "x").collect()] == [3]

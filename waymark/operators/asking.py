@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from waymark.config import DEFAULT, Settings
 from waymark.functions.geo import metres
 from waymark.operators.orders import with_rank
+from waymark.sources.scratch import kept
+from waymark.sources.shipping import ship
 
 # Reference prefixes and those of the documents they speak about.
 DOCUMENT_PREFIXES = {"caption:": "stay:", "photo:": "single:", "screen:": "screen:"}
-#: Findings of a block that is held against a block of questions.
-TOPIC_BLOCK = 1000
+#: Findings of a block that is held against the texts, and the bytes of their topics.
+TOPIC_BLOCK, TOPIC_BYTES = 50_000, 4_000_000
 
 
 def document_key(reference: Column) -> Column:
@@ -75,14 +77,57 @@ def ask(found: DataFrame, questions: DataFrame, documents: DataFrame, exclusions
 def supporting(told: DataFrame, insights: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
     """(query_id, supporting): the first findings whose topic occurs in a question or its evidence. told: query_id, told; insights: topic, rank.
 
-    Questions meet blocks of topics; a pair gives out its first matches only.
+    Findings go over the texts in blocks of their order, ``TOPIC_BLOCK`` of them or ``TOPIC_BYTES`` at most, as one automaton that finds all
+    topics in one scan of a text. A question that has its first findings leaves, so later blocks meet few texts or none.
     """
-    blocks = insights.withColumn("block", F.floor((F.col("rank") - 1) / TOPIC_BLOCK)).groupBy("block").agg(F.sort_array(F.collect_list(F.struct("rank", "topic"))).alias("topics"))
-    hits = told.crossJoin(blocks).select("query_id", F.explode(F.slice(F.filter("topics", lambda x: F.contains(F.col("told"), F.lower(x["topic"]))), 1, cfg.supporting)).alias("x"))
-    per = hits.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list("x")), 1, cfg.supporting).alias("x"))
+    ship(told.sparkSession)
+    kind = told.schema["query_id"].dataType.simpleString()
+    left, found = told.select("query_id", "told"), told.sparkSession.createDataFrame([], f"query_id {kind}, rank long, topic string")
+    ranked = kept(insights.select(F.col("rank").cast("long").alias("rank"), "topic").filter("topic is not null"), "findings")
+    last, many, after = ranked.agg(F.max("rank")).first()[0] or 0, TOPIC_BLOCK, 0
+    while after < last:
+        block = ranked.filter((F.col("rank") > after) & (F.col("rank") <= after + many))
+        if many > 1 and (block.agg(F.sum(F.octet_length("topic"))).first()[0] or 0) > TOPIC_BYTES:
+            many //= 2
+            continue
+        topics = [(r["topic"].lower(), r["rank"], r["topic"]) for r in block.collect()]  # one block, bounded by count and bytes
+        if topics:
+            hits = kept(left.mapInPandas(_finder(topics, cfg.supporting), f"query_id {kind}, rank long, topic string"), "supporting")
+            found = found.unionByName(hits)
+            full = found.groupBy("query_id").count().filter(F.col("count") >= cfg.supporting).select("query_id")
+            left = kept(left.join(full, "query_id", "left_anti"), "questions-left")
+            if left.isEmpty():
+                break
+        after += many
+    per = found.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("rank", "topic"))), 1, cfg.supporting).alias("x"))
     return per.select("query_id", F.transform("x", lambda x: x["topic"]).alias("supporting"))
 
 
+def _finder(topics: list[tuple[str, int, str]], most: int):
+    """Rows (query_id, rank, topic): the first ``most`` of ``topics`` that occur in each text."""
+
+    def run(frames):
+        import ahocorasick
+        import pandas as pd
+
+        automaton, always = ahocorasick.Automaton(), []
+        for low, rank, topic in sorted(topics, key=lambda t: t[1]):
+            if not low:
+                always.append((rank, topic))
+            else:
+                automaton.add_word(low, [*automaton.get(low, []), (rank, topic)])
+        if len(automaton):
+            automaton.make_automaton()
+        for f in frames:
+            rows = []
+            for query_id, text in zip(f["query_id"], f["told"]):
+                hits = {h for _, some in automaton.iter(text) for h in some} if len(automaton) and text else set()
+                rows += [(query_id, *h) for h in sorted(hits.union(always))[:most]]
+            yield pd.DataFrame(rows, columns=["query_id", "rank", "topic"])
+
+    return run
+
+
 def in_order(insights: DataFrame) -> DataFrame:
     """Insights with ``rank``: the newest kind of finding first, then the largest, then by topic."""
     return with_rank(insights, F.desc("novelty"), F.desc(F.round("magnitude", 12)), F.asc("topic"))

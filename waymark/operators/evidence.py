@@ -102,10 +102,11 @@ def numbered_facts(documents: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def subject_facts(profile: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
-    """Sentences on the strongest subjects of a profile (topic, score, confidence, evidence, first_at, last_at)."""
+    """(topic, nth, fact): sentences on the strongest subjects of a profile (topic, score, confidence, evidence, first_at, last_at)."""
     top = profile.withColumn("strength", F.round(F.col("score") * F.col("confidence"), 12)).orderBy(F.desc("strength"), "topic").limit(cfg.subject_facts)
     month = lambda c: F.date_format(F.timestamp_seconds(c), "yyyy-MM")
-    return top.select("topic", F.format_string(SUBJECT_FACT, "topic", F.size("evidence"), month("first_at"), month("last_at"), F.bround("score", 2), F.bround("confidence", 2)).alias("fact"))
+    nth = F.row_number().over(Window.orderBy(F.desc("strength"), "topic")).cast("long")  # a few rows
+    return top.select("topic", nth.alias("nth"), F.format_string(SUBJECT_FACT, "topic", F.size("evidence"), month("first_at"), month("last_at"), F.bround("score", 2), F.bround("confidence", 2)).alias("fact"))
 
 
 def health(photos: DataFrame, readings: DataFrame, profile_at: int) -> DataFrame:

@@ -111,7 +111,7 @@ def clipped_quotes(spark, d):
 
 @query(
     f"""with {SEEN_SQL}, p as ({_SCORE.format('plain')}), k as (select *, row_number() over (order by round(score * confidence, 9) desc, topic) as nth from p)
-    select topic, printf('Subject ''%s'' was seen at %d recorded sightings between %s and %s (score %.2f, confidence %.2f).', topic, len(string_split(evidence, ',')), strftime(to_timestamp(first_at), '%Y-%m'), strftime(to_timestamp(last_at), '%Y-%m'),
+    select topic, nth, printf('Subject ''%s'' was seen at %d recorded sightings between %s and %s (score %.2f, confidence %.2f).', topic, len(string_split(evidence, ',')), strftime(to_timestamp(first_at), '%Y-%m'), strftime(to_timestamp(last_at), '%Y-%m'),
       round_even(score, 2), round_even(confidence, 2)) as fact from k where nth <= 8"""
 )
 def subject_facts(spark, d):

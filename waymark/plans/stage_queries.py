@@ -155,3 +155,38 @@ def theme_clusters(spark, d):
     from waymark.operators.models import cluster_labels
 
     return cluster_labels(_labels(spark, d))
+
+
+def story_model(instruction: str, prompts: list[str]) -> list[tuple[str | None, str | None]]:
+    """Stands for a language model: by the length of the list it cites it well, cites nothing, cites beyond it, or counts on its own."""
+    out: list[tuple[str | None, str | None]] = []
+    for p in prompts:
+        n = p.count("\n") + 1
+        said = {0: f"You went out [F1-F{n}].", 1: "You went out.", 2: f"You went out [F{n + 1}].", 3: "You went out 7654321 times [F1]."}[len(p) % 4]
+        out.append((said, None))
+    return out
+
+
+def _told_sql() -> str:
+    from waymark.plans import evidence_queries as X
+    from waymark.plans import library_queries as Y
+
+    return f"""all_facts as (
+      select owner_id, 0 as part, nth, fact from ({Y.SQL["measure_facts"]}) union all select owner_id, 1, nth, fact from ({Y.SQL["place_facts"]})
+      union all select owner_id, 2, nth, fact from ({X.SQL["subject_facts"]}), (select distinct user_id % 4 as owner_id from events)),
+    listed as (select owner_id, list(fact order by part, nth, fact) as facts from all_facts group by owner_id),
+    prompted as (select owner_id, facts, len(facts) as n, array_to_string(list_transform(facts, lambda f, i: '[F' || i || '] ' || f), chr(10)) as prompt from listed),
+    narrated as (select *, case length(prompt) % 4 when 0 then 'You went out [F1-F' || n || '].' when 1 then 'You went out.' when 2 then 'You went out [F' || (n + 1) || '].' else 'You went out 7654321 times [F1].' end as story,
+      ['', 'uncited', 'unknown citation', 'unsupported number'][length(prompt) % 4 + 1] as defects from prompted)"""
+
+
+@query(f"with {_told_sql()} select owner_id, prompt, story, defects from narrated")
+def profile_told(spark, d):
+    from waymark.operators import telling as T
+    from waymark.plans import library_queries as Y
+    from waymark.plans.evidence_queries import subject_facts
+
+    measures = kept(Y.measure_facts(spark, d), "facts")
+    listed = kept(T.facts_in_order(measures.select("owner_id").distinct(), [measures, Y.place_facts(spark, d), subject_facts(spark, d).select("nth", "fact")]), "listed")
+    told = T.tell(listed, story_model, T.system(T.PROFILE_SYSTEM, "ja"))
+    return told.join(listed.select("owner_id", T.prompt(F.col("facts")).alias("prompt")), "owner_id").select("owner_id", "prompt", "story", F.array_join("defects", "+").alias("defects"))
