@@ -190,3 +190,70 @@ def profile_told(spark, d):
     listed = kept(T.facts_in_order(measures.select("owner_id").distinct(), [measures, Y.place_facts(spark, d), subject_facts(spark, d).select("nth", "fact")]), "listed")
     told = T.tell(listed, story_model, T.system(T.PROFILE_SYSTEM, "ja"))
     return told.join(listed.select("owner_id", T.prompt(F.col("facts")).alias("prompt")), "owner_id").select("owner_id", "prompt", "story", F.array_join("defects", "+").alias("defects"))
+
+
+def screen_model(requests: list[str]) -> list[tuple[str | None, str | None]]:
+    """Stands for a reader of screenshots: an object about the reference, prose for some, a refusal of others."""
+    out: list[tuple[str | None, str | None]] = []
+    for r in requests:
+        k = int(r.rsplit("-", 1)[1])
+        category = ("map", "Chat ", "unheard", "finance")[k % 4]
+        out.append((None, "model refused") if k % 9 == 0 else ("no object", None) if k % 7 == 0 else (json.dumps({"category": category, "labels": [f" Label {k % 5}", "", "Two"]}), None))
+    return out
+
+
+@query(
+    f"""with {Q.PHOTOS_SQL}, looked as ({_photo_looked_sql("photos")} where kind = 'screenshot'), asked as (select key, cast(regexp_extract(key, '(\\d+)$', 1) as bigint) as n from looked where status = 'pending'),
+    kinds as (select *, case when n % 9 <> 0 and n % 7 <> 0 then case n % 4 when 0 then 'map' when 1 then 'chat' when 2 then 'other' else 'finance' end else 'other' end as category from asked)
+    select key, case when n % 9 = 0 then 'model refused' end as refused, category, case when n % 9 = 0 or n % 7 = 0 or category in ('chat', 'finance') then '' else 'label ' || (n % 5) || '|two' end as labels from kinds"""
+)
+def screen_outcomes(spark, d):
+    from waymark.operators.models import parse_screen
+
+    p = _referenced(spark, d)
+    looked = G.screen_selection(p, p.filter(F.col("t") < ASKED_US).select(F.col("photo_id").alias("key")))
+    store = f"{shared_folder(spark)}/screens-{uuid.uuid4().hex}"
+    G.run(looked, screen_model, store, "v1", wave=700)
+    read = parse_screen(F.col("text"), ("map", "chat", "auth", "finance"), ("chat", "auth", "finance"))
+    return G.results(spark, store).select("key", "refused", read.alias("r")).select("key", "refused", F.col("r.category").alias("category"), F.array_join("r.labels", "|").alias("labels"))
+
+
+@query(
+    """with base as (select o_orderkey as k, o_orderpriority as v from orders where o_orderkey % 2 = 0),
+    up as (select coalesce(b.k, o.o_orderkey) as k, case when o.o_orderkey is not null then 'changed' else b.v end as v from base b full join (select o_orderkey from orders where o_orderkey % 3 = 0) o on o.o_orderkey = b.k),
+    absent as (select * from up union all select o_orderkey, 'absent' from orders where o_orderkey % 5 = 0 and o_orderkey not in (select k from up))
+    select k, v from absent where k % 7 <> 0"""
+)
+def catalog_kept(spark, d):
+    """A table of the catalog after an upsert over an upsert, an insert of what is absent, and a deletion."""
+    from waymark.sources.bindings import table
+    from waymark.sources.catalog import Catalog
+
+    o, c = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderpriority").alias("v")), Catalog(spark, f"{shared_folder(spark)}/catalog-{uuid.uuid4().hex}")
+    c.upsert("t", o.filter("k % 2 = 0"), ["k"])
+    c.upsert("t", o.filter("k % 3 = 0").withColumn("v", F.lit("changed")), ["k"])
+    c.insert_absent("t", o.filter("k % 5 = 0").withColumn("v", F.lit("absent")), ["k"])
+    c.delete("t", o.filter("k % 7 = 0"), ["k"])
+    return c.read("t")
+
+
+def _annotated_sql() -> str:
+    from waymark.plans import evidence_queries as X
+
+    return f"""with s as ({X.SQL["suggestions"]}), notes as (select 'src ' || (doc_id % 13) as reference, doc_id % 3 as source, doc_id as seq, 'note ' || doc_id as note from documents
+      union all select reference, 3 + owner_id % 2, owner_id, 'unseen for ' || days_since || ' days' from ({V.SQL["suggest_revisit"]})),
+    firsts as (select reference, source, min_by(note, seq) as note from notes group by all), per as (select reference, string_agg(note, '|' order by note) as notes from firsts group by reference)
+    select s.owner_id, s.rank, s.reference, coalesce(notes, '') as notes from s left join per using (reference)"""
+
+
+@query(_annotated_sql())
+def suggestions_annotated(spark, d):
+    from waymark.operators.change import annotate
+    from waymark.plans.evidence_queries import suggestions
+    from waymark.sources.bindings import table
+
+    i = F.col("doc_id")
+    notes = table(spark, d, "documents").select(F.concat(F.lit("src "), i % 13).alias("reference"), (i % 3).alias("source"), i.alias("seq"), F.concat(F.lit("note "), i).alias("note"))
+    late = V.suggest_revisit(spark, d).select("reference", (3 + F.col("owner_id") % 2).alias("source"), F.col("owner_id").alias("seq"), F.concat(F.lit("unseen for "), "days_since", F.lit(" days")).alias("note"))
+    got = annotate(suggestions(spark, d), notes.unionByName(late))
+    return got.select("owner_id", "rank", "reference", F.coalesce(F.array_join("notes", "|"), F.lit("")).alias("notes"))
