@@ -46,7 +46,7 @@ ASKED = (
     ("過去3週間", "2024-02-21 10:30:00", NOW), ("the last 2 months", "2024-01-13 10:30:00", NOW), ("ここ1年", "2023-03-14 10:30:00", NOW), ("最近どう", "2023-12-14 10:30:00", NOW),
     ("13月", None, None), ("2024", "2024-01-01 00:00:00", "2024-12-31 23:59:59"), ("May be the last 10 days", "2024-03-03 10:30:00", NOW), ("12019 or 20190", None, None),
     ("２０２３年５月", "2023-05-01 00:00:00", "2023-05-31 23:59:59"), ("１２月", "2023-12-01 00:00:00", "2023-12-31 23:59:59"), ("last 200000000 days", None, None), ("last 100000 years", None, None),
-    ("ここ999999999年", None, None), ("last 99999999999999 weeks", None, None), ("過去１０日", "2024-03-03 10:30:00", NOW),
+    ("ここ999999999年", "9999-01-01 00:00:00", "9999-12-31 23:59:59"), ("last 99999999999999 weeks", None, None), ("過去１０日", "2024-03-03 10:30:00", NOW),
 )
 _ASKED_SQL = "asked(i, since, until) as (values " + ", ".join(f"({i}, {_text(a)}, {_text(b)})" for i, (_, a, b) in enumerate(ASKED)) + ")"
 
