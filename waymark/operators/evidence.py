@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from waymark.config import DEFAULT, Settings
 from waymark.functions.geo import metres, nearest_within
+from waymark.operators.orders import strength
 
 # A citation of facts, alone, listed or as a range; a number; the shortest number that is checked; the length of a quote;
 # the sentences that facts are told in.
@@ -103,7 +104,7 @@ def numbered_facts(documents: DataFrame, found: DataFrame) -> DataFrame:
 
 def subject_facts(profile: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
     """(topic, nth, fact): sentences on the strongest subjects of a profile (topic, score, confidence, evidence, first_at, last_at)."""
-    top = profile.withColumn("strength", F.round(F.col("score") * F.col("confidence"), 12)).orderBy(F.desc("strength"), "topic").limit(cfg.subject_facts)
+    top = profile.withColumn("strength", strength()).orderBy(F.desc("strength"), "topic").limit(cfg.subject_facts)
     month = lambda c: F.date_format(F.timestamp_seconds(c), "yyyy-MM")
     nth = F.row_number().over(Window.orderBy(F.desc("strength"), "topic")).cast("long")  # a few rows
     return top.select("topic", nth.alias("nth"), F.format_string(SUBJECT_FACT, "topic", F.size("evidence"), month("first_at"), month("last_at"), F.bround("score", 2), F.bround("confidence", 2)).alias("fact"))
@@ -162,8 +163,8 @@ def nearby_quotes(points: DataFrame, singles: DataFrame, photos: DataFrame, cfg:
 
 def place_facts(profile: DataFrame, names: DataFrame, quotes: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
     """(owner_id, nth, fact): the strongest named places of a profile (owner_id, topic, score, confidence, evidence, first_at, last_at) and what was seen near them."""
-    strength = F.round(F.col("score") * F.col("confidence"), 12)
-    own = Window.partitionBy("owner_id").orderBy(F.desc(strength), "topic")
+    power = F.round(F.col("score") * F.col("confidence"), 12)
+    own = Window.partitionBy("owner_id").orderBy(F.desc(power), "topic")
     top = profile.join(names, "topic").withColumn("nth", F.row_number().over(own)).filter(F.col("nth") <= cfg.place_facts).join(quotes, "topic", "left")
     month = lambda c: F.date_format(F.timestamp_seconds(c), "yyyy-MM")
     one = F.format_string(PLACE_FACT, F.col("label"), F.size("evidence"), month("first_at"), month("last_at"), F.bround("score", 2))

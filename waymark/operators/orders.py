@@ -7,6 +7,14 @@ from pyspark.sql import functions as F
 
 from waymark.sources.scratch import kept
 
+#: Decimals of scores and confidences as they are told; what is equal to these is a tie.
+TOLD = 9
+
+
+def strength() -> Column:
+    """What interests (score, confidence) are ordered by: the product of both as they are told, so that it orders what a reader sees."""
+    return F.round(F.round("score", TOLD) * F.round("confidence", TOLD), TOLD)
+
 
 def with_rank(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
     """``df`` with each row's place in the order, from 1: rows are dealt by range, numbered within a part, and shifted by the parts before.

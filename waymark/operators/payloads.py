@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymark.functions.keys import blurred, source_of
+from waymark.operators.orders import strength
 
 # The name and version of the interest export.
 EXPORT_SCHEMA, EXPORT_VERSION = "waymark-interest-export", 1
@@ -50,7 +51,7 @@ def answer_payloads(answers: DataFrame) -> DataFrame:
 def export_document(profile: DataFrame, lifecycles: DataFrame, exported_on: str) -> DataFrame:
     """One row: interests by strength and lifecycle stages, without places and dated by month. profile: topic, score, confidence, first_at, last_at (seconds); lifecycles: rank, topic, stage."""
     no_place = ~F.col("topic").startswith("place:")
-    mine = profile.filter(no_place).withColumn("o", F.struct((-F.round(F.col("score") * F.col("confidence"), 12)).alias("strength"), "topic"))
+    mine = profile.filter(no_place).withColumn("o", F.struct((-strength()).alias("strength"), "topic"))
     item = F.struct("topic", "score", "confidence", _month(F.col("first_at")).alias("first_seen"), _month(F.col("last_at")).alias("last_seen"))
     interests = mine.agg(_listed(mine, "o", item).alias("interests"))
     stages = lifecycles.filter(no_place).agg(_listed(lifecycles, "rank", F.struct("topic", "stage")).alias("lifecycles"))
