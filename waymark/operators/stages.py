@@ -2,8 +2,8 @@
 
 A selection has a row for everything a stage looks at, oldest first: key, request, status (``pending``, ``already``, ``unreferenced``,
 ``withheld``) and nth, its place in the order. A run takes the pending ones in that order, at most ``limit`` of them, and asks wave by wave: a wave is
-one Spark job over up to ``wave`` requests, written under a name made of its keys before the next begins. A run that is killed
-keeps its waves, the same wave written again replaces itself, and the next run goes on with what has no result. A model that
+one Spark job over up to ``wave`` requests, written under a name made of its keys before the next begins. A run of more than ``WAVES`` such waves has
+``WAVES`` larger ones, as each costs a few seconds of its own whatever it holds. A run that is killed keeps its waves, the same wave written again replaces itself, and the next run goes on with what has no result. A model that
 becomes unavailable ends the run as paused; what was answered in its wave is kept, the rest stays pending. Any other error of the model ends
 the run and is raised.
 """
@@ -26,6 +26,8 @@ from waymark.sources.shipping import ship
 
 #: Photographs of a stay that a model sees, and requests in a wave and in a call.
 IMAGES, WAVE, BATCH = 3, 1000, 32
+#: Waves of a run, at most: a killed run loses a share of 1 in WAVES, or ``wave`` requests.
+WAVES = 32
 RESULT = "key string, text string, refused string, version string"
 
 
@@ -126,10 +128,12 @@ def run(selection: DataFrame, model: Callable[[list[str]], list[tuple[str | None
                     return
                 yield pd.DataFrame({"key": part["key"].tolist(), "text": [g[0] for g in got], "refused": [g[1] for g in got], "version": version})
 
+    wave = max(wave, -(-counts.get("pending", 0) // WAVES))
+    tasks = max(1, min(wave // batch, 4 * spark.sparkContext.defaultParallelism))
     for first in range(0, counts.get("pending", 0), wave):
         some = pending.filter((F.col("turn") > first) & (F.col("turn") <= first + wave))
         name = hashlib.sha256(repr([tuple(r) for r in some.agg(F.min("key"), F.max("key"), F.sum(F.xxhash64("key").cast("decimal(38,0)")), F.count("*")).collect()]).encode()).hexdigest()[:16]
-        answers = kept(some.select("key", "request").repartition(max(1, wave // batch), "key").mapInPandas(ask, RESULT), "stage-answers")
+        answers = kept(some.select("key", "request").repartition(tasks, "key").mapInPandas(ask, RESULT), "stage-answers")
         answers.filter("key is not null").write.mode("overwrite").parquet(f"{store.rstrip('/')}/wave={name}")
         here = answers.agg(F.count_if(F.col("key").isNotNull() & F.col("refused").isNull()).alias("done"), F.count_if(F.col("refused").isNotNull()).alias("refused"), F.count_if(F.col("key").isNull()).alias("stopped")).first()
         done, refused = done + here["done"], refused + here["refused"]
