@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from waymark.config import DEFAULT, Settings
 from waymark.functions.geo import metres
+from waymark.sources.scratch import kept
 from waymark.sources.shipping import ship
 
 #: BM25 parameters (Robertson and Zaragoza).
@@ -54,12 +55,12 @@ def count_score(text: Column, words: list[str]) -> Column:
 
 
 def bm25(documents: DataFrame, words: list[str]) -> DataFrame:
-    """(doc_key, score) of documents that hold a word; one pass for frequencies, one row of statistics broadcast."""
+    """(doc_key, score) of documents that hold a word; texts are read once, their frequencies kept, one row of statistics broadcast."""
     found = F.regexp_extract_all(F.lower("text"), F.lit(TOKEN), F.lit(0))
     rows = documents.select("doc_key", found.alias("w"))
     count = lambda word: F.size(F.filter("w", lambda x: x == F.lit(word))).cast("double")
     tf = {f"f{i}": count(word) for i, word in enumerate(words)}
-    rows = rows.select("doc_key", F.size("w").cast("double").alias("dl"), *(c.alias(n) for n, c in tf.items()))
+    rows = kept(rows.select("doc_key", F.size("w").cast("double").alias("dl"), *(c.alias(n) for n, c in tf.items())), "frequencies")
     stats = rows.agg(F.count("*").alias("docs"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(n) > 0).alias(f"d{n}") for n in tf))
     score = F.lit(0.0)
     for n in tf:
