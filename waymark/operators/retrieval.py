@@ -29,8 +29,11 @@ def gather(captions: DataFrame, singles: DataFrame, screens: DataFrame, photos:
     captions: key, photo_ids, text; singles and screens: photo_id, text (screens also category).
     """
     at = photos.select("photo_id", "t", F.coalesce("preference", F.lit(True)).alias("may"))
-    stay = captions.filter("text is not null").select("key", "text", F.explode("photo_ids").alias("photo_id")).join(at, "photo_id")
-    stay = stay.groupBy("key", "text").agg(F.min("t").alias("t")).select(F.concat(F.lit("stay:"), "key").alias("doc_key"), F.lit("stay").alias("kind"), "text", "t")
+    # Texts are shuffled once: photographs meet keys and digests of texts, and what they give meets the texts.
+    told = captions.filter("text is not null").select("key", "text", "photo_ids", F.md5("text").alias("digest"))
+    first = told.select("key", "digest", F.explode("photo_ids").alias("photo_id")).join(at, "photo_id").groupBy("key", "digest").agg(F.min("t").alias("t"))
+    stay = told.select("key", "digest", "text").dropDuplicates(["key", "digest"]).join(first, ["key", "digest"])
+    stay = stay.select(F.concat(F.lit("stay:"), "key").alias("doc_key"), F.lit("stay").alias("kind"), "text", "t")
     one = singles.filter("text is not null").join(at.filter("may"), "photo_id").select(F.concat(F.lit("single:"), "photo_id").alias("doc_key"), F.lit("single").alias("kind"), "text", "t")
     screen = screens.filter("text is not null").filter(~F.col("category").isin("chat", "auth", "finance")).join(at, "photo_id")
     screen = screen.select(F.concat(F.lit("screen:"), "photo_id").alias("doc_key"), F.lit("screen").alias("kind"), "text", "t")
