@@ -26,19 +26,17 @@ def located(photos: DataFrame) -> DataFrame:
 def gap_sessions(photos: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
     """Photographs with ``session``: the instant at which their run without a silence over the limit began.
 
-    The window never spans more than a day of an owner: what a day takes over from the days before is one row per owner and
-    day. So an owner with very many photographs does not end in one task.
+    Photographs of one stretch as long as the limit are of one session, so sessions begin at stretches alone. What is put in order is
+    a row an owner and stretch, counted before the shuffle: no photograph is, so an owner with very many does not end in one task.
     """
-    rows = photos.withColumn("day", F.floor(F.col("t") / DAY_US))
-    own = Window.partitionBy("owner_id", "day").orderBy("t", "photo_id")
-    by_day = Window.partitionBy("owner_id").orderBy("day")
-    last = rows.groupBy("owner_id", "day").agg(F.max("t").alias("last")).withColumn("carried", F.lag("last").over(by_day)).drop("last")
-    rows = rows.withColumn("prev", F.lag("t").over(own)).join(last, ["owner_id", "day"])
-    gap = F.col("t") - F.coalesce("prev", "carried")
-    rows = rows.withColumn("starts", F.when(gap.isNull() | (gap > cfg.max_gap_s * 1_000_000), F.col("t"))).drop("prev", "carried")
-    begun = rows.groupBy("owner_id", "day").agg(F.max("starts").alias("m")).withColumn("carried", F.max("m").over(by_day.rowsBetween(Window.unboundedPreceding, -1))).drop("m")
-    running = F.max("starts").over(own.rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("running", running).join(begun, ["owner_id", "day"]).withColumn("session", F.coalesce("running", "carried")).drop("running", "carried", "starts", "day")
+    limit = cfg.max_gap_s * 1_000_000
+    stretch = F.col("t") - F.pmod("t", F.lit(max(1, int(limit))))
+    order = Window.partitionBy("owner_id").orderBy("stretch")
+    ends = photos.groupBy("owner_id", stretch.alias("stretch")).agg(F.min("t").alias("first"), F.max("t").alias("last"))
+    gap = F.col("first") - F.lag("last").over(order)
+    ends = ends.withColumn("starts", F.when(gap.isNull() | (gap > limit), F.col("first")))
+    ends = ends.select("owner_id", "stretch", F.max("starts").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("session"))
+    return photos.withColumn("stretch", stretch).join(ends, ["owner_id", "stretch"]).drop("stretch")
 
 
 def point_metres(a: float, b: float, c: float, d: float) -> float:
@@ -135,7 +133,7 @@ def stays(photos: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
 def numbered_stops(stays: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
     """Stays with ``outing`` (a number per owner): a new one after a silence of more than the longest absence.
 
-    Like the silence cut of photographs it works by owner and day; what a day takes over is the end of the last stay before it and how
+    It works by owner and day; what a day takes over is the end of the last stay before it and how
     many outings have begun, one row per owner and day.
     """
     rows = stays.withColumn("day", F.floor(F.col("t0") / DAY_US))

@@ -146,5 +146,9 @@ def included_files(spark, d):
     select owner_id, rank, kind, reference, confidence from r where rank <= 5"""
 )
 def suggestions(spark, d):
+    return suggested(spark, d, journey_queries.suggest_revisit(spark, d))
+
+
+def suggested(spark, d, revisits):
     topics = reading_queries.suggest_revive(spark, d).withColumn("owner_id", F.explode(F.array(*(F.lit(i).cast("long") for i in range(7)))))
-    return C.suggestions(journey_queries.suggest_revisit(spark, d), topics)
+    return C.suggestions(revisits, topics)

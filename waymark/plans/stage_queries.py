@@ -249,11 +249,12 @@ def _annotated_sql() -> str:
 @query(_annotated_sql())
 def suggestions_annotated(spark, d):
     from waymark.operators.change import annotate
-    from waymark.plans.evidence_queries import suggestions
+    from waymark.plans.evidence_queries import suggested
     from waymark.sources.bindings import table
 
     i = F.col("doc_id")
     notes = table(spark, d, "documents").select(F.concat(F.lit("src "), i % 13).alias("reference"), (i % 3).alias("source"), i.alias("seq"), F.concat(F.lit("note "), i).alias("note"))
-    late = V.suggest_revisit(spark, d).select("reference", (3 + F.col("owner_id") % 2).alias("source"), F.col("owner_id").alias("seq"), F.concat(F.lit("unseen for "), "days_since", F.lit(" days")).alias("note"))
-    got = annotate(suggestions(spark, d), notes.unionByName(late))
+    revisits = kept(V.suggest_revisit(spark, d), "revisits")
+    late = revisits.select("reference", (3 + F.col("owner_id") % 2).alias("source"), F.col("owner_id").alias("seq"), F.concat(F.lit("unseen for "), "days_since", F.lit(" days")).alias("note"))
+    got = annotate(suggested(spark, d, revisits), notes.unionByName(late))
     return got.select("owner_id", "rank", "reference", F.coalesce(F.array_join("notes", "|"), F.lit("")).alias("notes"))
