@@ -55,22 +55,23 @@ def retrieve(channels: dict[str, DataFrame], questions: DataFrame, documents: Da
 def ask(found: DataFrame, questions: DataFrame, documents: DataFrame, exclusions: DataFrame, insights: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
     """A row for each question: n, confidence, first_seen, last_seen, evidence (doc_keys, best first) and supporting topics.
 
-    ``found`` is what ``retrieve`` gives. Excluded documents go after the cut, so an exclusion takes an answer's ground and
+    ``found`` is what ``retrieve`` gives; it is worked out once and kept, and so is what each question rests on. Excluded documents go after the cut, so an exclusion takes an answer's ground and
     gives it no other. Without ground all is 0, null or empty, and no model is asked. insights: topic, rank.
     """
     banned = exclusions.select(document_key(F.col("reference")).alias("doc_key")).filter("doc_key is not null").distinct()
-    ground = found.join(banned, "doc_key", "left_anti").join(documents.select("doc_key", "t", "text"), "doc_key")
+    ground = kept(found, "found").join(banned, "doc_key", "left_anti").join(documents.select("doc_key", "t", "text"), "doc_key")
     per = ground.groupBy("query_id").agg(
         F.count("*").alias("n"), F.max("score").alias("top"), F.min("t").alias("first_seen"), F.max("t").alias("last_seen"),
         F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("o"), "doc_key", "text"))).alias("all"),
     )
     coverage = F.col("n") / (F.col("n") + cfg.coverage_half)
     told = F.lower(F.concat(F.coalesce("question", F.lit("")), F.lit(" "), F.array_join(F.transform("all", lambda x: x["text"]), " ")))
-    rows = questions.select("query_id", "question").join(per, "query_id", "left").withColumn("told", F.when(F.col("n") > 0, told))
+    rows = questions.select("query_id", "question").join(per, "query_id", "left")
+    rows = kept(rows.select("query_id", "n", "top", "first_seen", "last_seen", F.transform("all", lambda x: x["doc_key"]).alias("evidence"), F.when(F.col("n") > 0, told).alias("told")), "told")
     support = supporting(rows.filter("n > 0").select("query_id", "told"), insights, cfg)
     return rows.join(support, "query_id", "left").select(
         "query_id", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce(F.least(F.lit(1.0), F.col("top") * (cfg.rrf_k + 1) / 2) * coverage, F.lit(0.0)).alias("confidence"), "first_seen", "last_seen",
-        F.coalesce(F.transform("all", lambda x: x["doc_key"]), F.array().cast("array<string>")).alias("evidence"), F.coalesce("supporting", F.array().cast("array<string>")).alias("supporting"),
+        F.coalesce("evidence", F.array().cast("array<string>")).alias("evidence"), F.coalesce("supporting", F.array().cast("array<string>")).alias("supporting"),
     )
 
 
